@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +25,20 @@ def get_session(app: str = "hearthspark", master: str | None = None, shuffle_par
     builder = builder.master(master or f"local[{cores}]")
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application: they need it for Arrow functions."""
+    context = spark.sparkContext
+    if getattr(context, "_hearthspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="hearthspark-"), "hearthspark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("hearthspark", os.path.relpath(full, root)))
+    context.addPyFile(path)
+    context._hearthspark_shipped = True
