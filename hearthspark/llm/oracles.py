@@ -40,3 +40,38 @@ select d.id doc_id,
   count(*) filter (live) n_live, count(*) filter (not live) n_shared
 from d left join kept using (rid) group by d.rid, d.id
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION = f"""
+with d as (select row_number() over () rid, doc_id, {_WORDS} w from documents),
+b as (select coalesce(cast(item_id as varchar), '') item, {_WORDS} w from benchmark),
+win as (
+  select distinct item, least(len(w), 13) n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') g
+  from (select item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) i from b where len(w) > 0)
+),
+hit as (
+  select d.rid, d.i, win.n, win.item
+  from (select rid, w, n, unnest(range(1, len(w) - n + 2)) i from d, (select distinct n from win)) d
+  join win on win.n = d.n and win.g = array_to_string(d.w[d.i:d.i + d.n - 1], ' ')
+),
+words as (select rid, count(distinct p) n_hit from (select rid, unnest(range(i, i + n)) p from hit) group by rid),
+its as (select rid, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct rid, item from hit) group by rid)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join words using (rid) left join its using (rid)
+"""
+
+TOP_K = """
+with v as (
+  select distinct vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+  select q.vec_id query_id, c.vec_id vec_id, cast(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 0) as bigint) score, q.e e
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)
+)
+select query_id, cast(rank as int) rank, vec_id, score
+from (select *, row_number() over (partition by query_id, e order by score desc, vec_id) rank from s) where rank <= 10
+"""

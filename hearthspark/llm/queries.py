@@ -5,14 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hearthspark.llm import oracles, secrets
-from hearthspark.sources.tables import table
+from hearthspark.llm import decontaminate, oracles, secrets, simhash, topk
+from hearthspark.sources.tables import table, tables
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans,)}
-ORACLES: dict[str, str] = {"op1_secret_scans": oracles.SECRETS}
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = tables(spark, sf_dir, "documents", "benchmark")
+    return decontaminate.digest(decontaminate.find_contamination(docs, bench))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_secret_scans, op2_simhash_near_dedup, op3_decontamination, op8_exact_top_k,
+)}
+ORACLES: dict[str, str] = {"op1_secret_scans": oracles.SECRETS, "op3_decontamination": oracles.DECONTAMINATION, "op8_exact_top_k": oracles.TOP_K}
