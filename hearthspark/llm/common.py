@@ -24,8 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/hearth-{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, with its scheme."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/hearth-{what}-{uuid.uuid4().hex}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hearthspark.llm import secrets as _secrets
+from hearthspark.llm import urlfilter as _urls
 
 
 def _quote(s: str) -> str:
@@ -75,3 +76,49 @@ s as (
 select query_id, cast(rank as int) rank, vec_id, score
 from (select *, row_number() over (partition by query_id, e order by score desc, vec_id) rank from s) where rank <= 10
 """
+
+WARC = """
+with p as (select page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) h from pages),
+k as (select h, n, max(page_id) keeper from p where n >= 1000 group by h, n)
+select page_id, cast(p.n as bigint) payload_bytes, p.h payload_digest,
+  case when keeper is not null and page_id <> keeper then 'revisit' else 'response' end record_type,
+  case when page_id <> keeper then keeper end refers_to
+from p left join k on k.h = p.h and k.n = p.n
+"""
+
+SHARDS = "select doc_id, lang, source, n_chars, cast(length(text) as bigint) text_chars, sha256(text) text_sha256 from documents"
+
+
+def _rule(what: int | None) -> str:
+    whens = []
+    for host, path, action in sorted(_urls.RULES, key=lambda r: -len(r[0] + r[1])):
+        whens.append(f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}') then '{action if what else host + path}'")
+    return "case " + " ".join(whens) + " end"
+
+
+def _rounds() -> str:
+    out, last = "", "base where seed > 0"
+    for i in range(_urls.ROUNDS):
+        flow = f"select w.kind, w.dst host, {100 - _urls.RESTART} * sum(r.mass // w.deg)::bigint // 100 m from (select kind, host, {'seed' if i == 0 else 'mass'} mass from {last}) r join ways w on w.kind = r.kind and w.src = r.host group by 1, 2"
+        out += f", r{i} as (select kind, host, sum(m)::bigint mass from ({flow} union all select kind, host, {_urls.RESTART} * seed // 100 from base where {_urls.RESTART} * seed // 100 > 0) group by 1, 2)"
+        last = f"r{i}"
+    return out
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+URLS = f"""
+with u as (select page_id, html, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end rest from pages),
+h as (select page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') path from u),
+p as (select page_id, html, host, path, {_rule(None)} rule, {_rule(2)} said from h),
+e as (select distinct host src, translate(unnest(regexp_extract_all(html, '{_urls.LINK.replace("'", "''")}', 1)), {_AZ}) dst from p),
+edges as (select * from e where src <> dst and src <> ''),
+dir as (select 1 kind, src, dst from edges union all select 0, dst, src from edges),
+ways as (select *, count(*) over (partition by kind, src) deg from dir),
+hosts as (select host, count(*) n, count(*) filter (said = 'allow') good, count(*) filter (said = 'block') bad from p group by host),
+base as (select 1 kind, host, {_urls.SCALE} * good // n seed from hosts union all select 0, host, {_urls.SCALE} * bad // n from hosts){_rounds()},
+ranks as (select host, coalesce(sum(mass) filter (kind = 1), 0)::bigint trust, coalesce(sum(mass) filter (kind = 0), 0)::bigint distrust from r{_urls.ROUNDS - 1} group by host)
+select page_id, p.host, path, rule, coalesce(said, case when coalesce(distrust, 0) >= {_urls.LEAST} and coalesce(distrust, 0) > {_urls.RATIO} * coalesce(trust, 0) then 'block' else 'allow' end) verdict,
+  coalesce(trust, 0) trust, coalesce(distrust, 0) distrust
+from p left join ranks on ranks.host = p.host
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm import decontaminate, oracles, secrets, simhash, topk
+from hearthspark.llm import decontaminate, oracles, secrets, sharding, simhash, topk, toxicity, urlfilter, warc
 from hearthspark.sources.tables import table, tables
 
 
@@ -24,11 +24,27 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(docs, bench))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.archive(table(spark, sf_dir, "pages")))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(*tables(spark, sf_dir, "documents", "labels"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_secret_scans, op2_simhash_near_dedup, op3_decontamination, op8_exact_top_k,
+    op1_secret_scans, op2_simhash_near_dedup, op3_decontamination, op4_warc, op5_url_filters, op6_toxicity, op7_sharding, op8_exact_top_k,
 )}
-ORACLES: dict[str, str] = {"op1_secret_scans": oracles.SECRETS, "op3_decontamination": oracles.DECONTAMINATION, "op8_exact_top_k": oracles.TOP_K}
+ORACLES: dict[str, str] = {"op1_secret_scans": oracles.SECRETS, "op3_decontamination": oracles.DECONTAMINATION, "op4_warc": oracles.WARC, "op5_url_filters": oracles.URLS, "op7_sharding": oracles.SHARDS, "op8_exact_top_k": oracles.TOP_K}
