@@ -54,6 +54,8 @@ def skew_safe_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, s
     hot = right.filter(heavy).select(F.col(key).alias("_hk"), F.lit(True).alias("_hot"), *[F.col(v).alias(f"_h_{v}") for v in values])
     cold = right.filter(~heavy).select(F.col(key).alias("_ck"), F.lit(True).alias("_cold"), *[F.col(v).alias(f"_c_{v}") for v in values])
     rows = left.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
+    if cold.isEmpty():  # all keys are heavy: nothing left to shuffle for
+        return rows.select(*left.columns, *[F.col(f"_h_{v}").alias(v) for v in values])
     open_ = F.col("_hot").isNull() & F.col(key).isNotNull()
     type_ = dict(right.dtypes)[key]
     spare = F.xxhash64(spread) if type_ == "bigint" else F.col(spread).cast(type_)

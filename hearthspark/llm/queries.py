@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm import decontaminate, oracles, secrets, sharding, simhash, topk, toxicity, urlfilter, warc
+from hearthspark.llm import decontaminate, htmltext, oracles, sampling, secrets, sharding, simhash, topk, toxicity, urlfilter, warc
 from hearthspark.sources.tables import table, tables
 
 
@@ -44,7 +44,16 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.digest(sampling.encode_samples(table(spark, sf_dir, "documents"), with_ids=False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_secret_scans, op2_simhash_near_dedup, op3_decontamination, op4_warc, op5_url_filters, op6_toxicity, op7_sharding, op8_exact_top_k,
+    op1_secret_scans, op2_simhash_near_dedup, op3_decontamination, op4_warc, op5_url_filters, op6_toxicity, op7_sharding, op8_exact_top_k, op9_html_extraction,
+    op10_sentencepiece,
 )}
 ORACLES: dict[str, str] = {"op1_secret_scans": oracles.SECRETS, "op3_decontamination": oracles.DECONTAMINATION, "op4_warc": oracles.WARC, "op5_url_filters": oracles.URLS, "op7_sharding": oracles.SHARDS, "op8_exact_top_k": oracles.TOP_K}
