@@ -36,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a row number ``name`` that stays the same whenever it is read: written to the shared folder."""
+    path = fresh_dir(df.sparkSession, "rows")
+    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else; all-ASCII texts take the faster built-in."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))

@@ -36,8 +36,8 @@ K = 3
 ALPHA = 1.0
 SEED = 42
 MARK = "▁"
-#: Stands for a mark in the text itself; a noncharacter, which no piece holds.
-_LITERAL = "﷐"
+#: Stands for a mark in the text itself; a lone surrogate, which no UTF-8 text holds.
+_LITERAL = "\udfff"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Characters of one round of array work.
 _ROUND = 1_500_000
@@ -200,6 +200,9 @@ class Lattices:
         self.first = np.concatenate([*first, [n_edges]])
         self.first[: count[0]] = 0
         self.piece, self.to, self.cum, self.logp = (np.concatenate(x) if x else np.zeros(0) for x in (piece, to, cum, logp))
+        with np.errstate(divide="ignore"):
+            p = np.exp(self.logp)
+            self.rest = np.where(p < 1 - 1e-12, np.log1p(-np.minimum(p, 1.0)), -np.inf)  # what the node's other edges hold
         self.ends = int(count[0])  # nodes below this are words' ends
         self.beta = np.concatenate(beta)
 
@@ -220,10 +223,9 @@ def _uniform(key: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.nd
     """In (0, 1), of a hash (splitmix64) of key and two numbers."""
     with np.errstate(over="ignore"):
         z = key + np.asarray(a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-        for _ in range(2):
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z = z ^ (z >> np.uint64(31))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
@@ -246,16 +248,19 @@ def _walk(lat: Lattices, node: np.ndarray, key: np.ndarray, place: np.ndarray, s
     return edges, count
 
 
-def _truncated(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbels at ``mass`` given that they are below ``bound``."""
-    g = mass - np.log(-np.log(u))
-    return -np.logaddexp(-bound, -g)
+class _Numbers(dict):
+    """Numbers the keys it is asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 class _Sample:
-    """The s-th sample of each text that has one: edges, the place of each edge's word, bounds of the regions it leaves."""
+    """The s-th sample of each text that has one: edges, the place of each edge's word, and for the region that each edge leaves
+    the logarithm of an exponential arrival time of rate exp(mass): minus a Gumbel at ``mass``, before its parent's bound is put on."""
 
-    __slots__ = ("docs", "edges", "place", "start", "logp", "value", "gumbel", "branch", "excluded")
+    __slots__ = ("docs", "edges", "place", "start", "logp", "value", "time", "branch", "excluded")
 
 
 def sample_texts(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: int = K) -> list[list[tuple[np.ndarray, float, float]]]:
@@ -269,8 +274,8 @@ def sample_texts(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: in
     out: list[list] = [[] if n else [(np.zeros(0, np.int32), 0.0, 1.0)] for n in n_units]
     if not units:
         return out
-    index: dict[str, int] = {}
-    word = np.fromiter((index.setdefault(u, len(index)) for u in units), np.int64, len(units))
+    index = _Numbers()
+    word = np.fromiter(map(index.__getitem__, units), np.int64, len(units))
     del units
     lat = Lattices(v, list(index))
     del index
@@ -289,16 +294,15 @@ def sample_texts(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: in
         before = np.cumsum(lp) - lp
         before -= before[s.start[:-1]][which]
         s.logp = np.add.reduceat(lp, s.start[:-1])
-        taken = np.exp(lp)
+        mass = before + lat.rest[s.edges]
+        at = np.arange(len(lp)) - s.start[:-1][which]
         for i, extra in enumerate(s.excluded):
             if extra:
-                taken[s.start[i] + s.branch[i]] += float(np.exp(lat.logp[list(extra)]).sum())
-        at = np.arange(len(lp)) - s.start[:-1][which]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            mass = np.where(taken < 1 - 1e-12, before + np.log1p(-np.minimum(taken, 1.0)), -np.inf)
-            mass[at < s.branch[which]] = -np.inf  # those regions are the parent's
-            u = _uniform(keys[s.docs][which], at, 1_000_003 + number)
-            s.gumbel = np.where(np.isfinite(mass), _truncated(mass, s.value[which], u), -np.inf)
+                j = s.start[i] + s.branch[i]
+                left = 1 - float(np.exp(lat.logp[[*extra, s.edges[j]]]).sum())
+                mass[j] = before[j] + math.log(left) if left > 1e-12 else -np.inf
+                mass[s.start[i] : j] = -np.inf  # those regions are the parent's
+        s.time = np.log(-np.log(_uniform(keys[s.docs][which], at, 1_000_003 + number))) - mass
 
     first = _Sample()
     first.docs = live
@@ -315,7 +319,8 @@ def sample_texts(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: in
         # The best region of each text over all its samples.
         best, chosen = np.full(len(texts), -np.inf), {}
         for m, s in enumerate(samples):
-            top = np.maximum.reduceat(s.gumbel, s.start[:-1])
+            soonest = np.minimum.reduceat(s.time, s.start[:-1])
+            top = np.where(np.isfinite(soonest), -np.logaddexp(-s.value, np.where(np.isfinite(soonest), soonest, 0.0)), -np.inf)  # a Gumbel below the parent's
             for i in np.flatnonzero(top > best[s.docs]).tolist():
                 best[s.docs[i]] = top[i]
                 chosen[int(s.docs[i])] = (m, i)
@@ -330,8 +335,8 @@ def sample_texts(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: in
             m, at = chosen[d]
             s = samples[m]
             a, b = int(s.start[at]), int(s.start[at + 1])
-            j = int(np.argmax(s.gumbel[a:b]))
-            s.gumbel[a + j] = -np.inf
+            j = int(np.argmin(s.time[a:b]))
+            s.time[a + j] = np.inf
             edge = int(s.edges[a + j])
             # The node of an edge: the last whose edges begin at or before it.
             gone = (*(s.excluded[at] if j == s.branch[at] else ()), edge)

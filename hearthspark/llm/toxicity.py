@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -286,6 +287,17 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", at_least:
     return kept.mapInArrow(run, f"{schema},{SCORED}" if schema else SCORED)
 
 
+def score_column(model: Model, text: Column) -> Column:
+    """The score of a text column; the other columns stay in the JVM."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        emissions = _Emissions(model.weights)
+        for texts in batches:
+            yield pd.Series([model.score(tag(model, emissions, t)[1]) for t in texts], dtype="float64")
+
+    return F.pandas_udf(run, "double", functionType=F.PandasUDFType.SCALAR_ITER)(text)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The contract's columns, and ``spans``."""
     model = fit(docs, labels, id_col, text_col)
