@@ -39,6 +39,11 @@ def _run(h: str, at: Column, n: int, salt: int = 0) -> Column:
     return F.xxhash64(F.lit(salt), *[F.get(h, at + j) for j in range(n)])
 
 
+def _short_run(n: int):
+    """What transform() does to each word hash: the fingerprint of the ``n`` words from there."""
+    return lambda x, i: F.struct(i.alias("pos"), _run("_h", i, n, n).alias("h"), F.lit(n).alias("len"), F.lit(None).cast("array<bigint>").alias("near"))
+
+
 def fingerprints(df: DataFrame, text: str, span: int, k: int, short: list[int]) -> DataFrame:
     """Replaces ``text`` by n_words and ``fps``, array of (pos, h, len, near).
 
@@ -58,7 +63,7 @@ def fingerprints(df: DataFrame, text: str, span: int, k: int, short: list[int])
     fps = F.transform(pos, lambda p: F.struct(p.alias("pos"), _run("_h", p, k).alias("h"), F.lit(0).alias("len"), F.array(*[F.get("_h", p + j) for j in range(-r, k + r)]).alias("near")))
     for n in short:
         whole = F.slice("_h", F.lit(1), F.greatest(F.col("n_words") - n + 1, F.lit(0)))
-        fps = F.concat(fps, F.transform(whole, lambda x, i, n=n: F.struct(i.alias("pos"), _run("_h", i, n, n).alias("h"), F.lit(n).alias("len"), F.lit(None).cast("array<bigint>").alias("near"))))
+        fps = F.concat(fps, F.transform(whole, _short_run(n)))
     return df.withColumn("fps", fps).drop("_h", "_k", "_w")
 
 
