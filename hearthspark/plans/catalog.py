@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hearthspark.functions import expr as E
 from hearthspark.operators import filters, membership, quality, reports, views
+from hearthspark.operators.household_text import parse_households
 from hearthspark.sources.exports import archive_errors, snapshot_manifest
 from hearthspark.sources.tables import table
 
@@ -547,3 +548,39 @@ def content_hash(spark, d):
 def mime_sniff(spark, d):
     head = F.when(c("page_id") % 3 == 0, F.unhex(F.lit("255044462D"))).when(c("page_id") % 3 == 1, F.unhex(F.lit("FFD8FF"))).otherwise(F.encode(F.lit("<htm"), "UTF-8"))
     return table(spark, d, "pages").select("page_id", E.mime_type(F.concat(head, F.encode("html", "UTF-8"))).alias("m"))
+
+
+def household_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A scanned card per customer, its orders the members."""
+    pick = lambda values, key: F.element_at(F.array(*[F.lit(v) for v in values]), (c(key) % len(values) + 1).cast("int"))
+    nik = E.pad_left(c("o_orderkey").cast("string"), 16)
+    spread = F.concat_ws(" ", *[F.substring(nik, i, 4) for i in (1, 5, 9, 13)])
+    row = F.concat_ws(
+        " ", F.lit("1 NAMA"), F.concat(F.lit("X"), c("o_orderkey").cast("string")), F.when(c("o_orderkey") % 3 == 0, spread).otherwise(nik), pick(["LAKI-LAKI", "PEREMPUAN", "LAKI LAKI"], "o_orderkey"), F.lit("KOTA TUA"),
+        F.date_format("o_orderdate", "dd-MM-yyyy"), pick(["ISLAM", "KAT0LIK", "H1NDU"], "o_orderkey"), pick(["SD", "DIPLOMA I/II", "BELUM TAMAT SD/SEDERAJAT"], "o_orderkey"),
+        pick(["PETANI", "BURUH", "BURUH HARIAN LEPAS", "IBU RUMAH TANGGA"], "o_orderkey"), pick(["KAWIN", "BELUM KAW1N"], "o_orderkey"), pick(["ISTRI", "KEPALA KELUARGA", "AN4K"], "o_orderkey"),
+    )
+    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("row")))).alias("m"))
+    top = F.concat(F.lit("NOMOR KK : "), E.pad_left(c("o_custkey").cast("string"), 16), F.lit("\nALAMAT : Jl. "), c("o_custkey").cast("string"), F.lit("\nRT/RW : 0"), (1 + c("o_custkey") % 9).cast("string"), F.lit("/"), (1 + c("o_custkey") % 90).cast("string"), F.lit("\nNO NAMA NIK\n"))
+    return lists.select(c("o_custkey").alias("id"), F.concat(top, F.array_join(F.col("m.row"), "\n")).alias("raw_text"), F.lit(90.0).alias("confidence"))
+
+
+@query("parse_header", sql="select distinct o_custkey id, lpad(cast(o_custkey as varchar), 16, '0') kk_number, 'JL. ' || o_custkey address, lpad(cast(1 + o_custkey % 9 as varchar), 2, '0') rt, case when 1 + o_custkey % 90 < 10 then '0' else '' end || (1 + o_custkey % 90) rw from orders")
+def parse_header(spark, d):
+    return parse_households(household_texts(spark, d), 2100).select("id", "kk_number", "address", "rt", "rw")
+
+
+_NTH = "list_extract([{}], cast(o_orderkey % {} + 1 as int))"
+
+
+@query(
+    "parse_members", "merge_digit_runs", "vocab_match", "member_ordinals",
+    sql="select o_custkey id, cast(row_number() over (partition by o_custkey order by o_orderkey) as int) ordinal, 'NAMA X' || o_orderkey nama, lpad(cast(o_orderkey as varchar), 16, '0') nik, "
+    + _NTH.format("'LAKI_LAKI','PEREMPUAN','LAKI_LAKI'", 3) + " gender, 'KOTA TUA' birth_place, strftime(o_orderdate, '%Y-%m-%d') birth_date, " + _NTH.format("'ISLAM','KATOLIK','HINDU'", 3) + " religion, "
+    + _NTH.format("'SD','DIPLOMA I/II','BELUM TAMAT SD/SEDERAJAT'", 3) + " education, " + _NTH.format("'PETANI','BURUH','BURUH HARIAN LEPAS','IBU RUMAH TANGGA'", 4) + " occupation, "
+    + _NTH.format("'KAWIN','BELUM_KAWIN'", 2) + " marital_status, " + _NTH.format("'ISTRI','KEPALA_KELUARGA','ANAK'", 3) + " family_relation from orders",
+)
+def parse_members(spark, d):
+    # Aliases are values only where phrases match; the text of a phrase is its canonical spelling.
+    rows = parse_households(household_texts(spark, d), 2100).select("id", F.posexplode("members").alias("i", "m"))
+    return rows.select("id", (c("i") + 1).alias("ordinal"), "m.nama", "m.nik", "m.gender", "m.birth_place", "m.birth_date", "m.religion", "m.education", "m.occupation", "m.marital_status", "m.family_relation")
