@@ -26,7 +26,8 @@ def export_rows(view: DataFrame, as_of: date) -> DataFrame:
         "gender": E.label(F.col("gender"), GENDER), "birth_date": F.date_format("birth_date", "dd-MM-yyyy"), "age": E.age_years(F.col("birth_date"), as_of), "rt": F.col("rt_number"),
         "area_unit": E.area_label(F.col("area_type"), F.col("area_code"), F.col("area_name")), "resident_status": E.label(F.col("resident_status"), RESIDENT_STATUS),
     }
-    return view.select(*[dash(values.get(k, F.col(k))).alias(title) for k, title in EXPORT_COLUMNS.items()])
+    there = lambda k: F.col(k) if k in view.columns else F.lit(None)  # noqa: E731  lookups that were not joined
+    return view.select(*[dash(values[k] if k in values else there(k)).alias(title) for k, title in EXPORT_COLUMNS.items()])
 
 
 def write_csv(rows: DataFrame, path: str, single: bool = False) -> None:
@@ -66,8 +67,6 @@ def read_xlsx(path: str) -> list[list[str]]:
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, sha256, mime_type) of every file under a folder."""
-    from pyspark.sql import functions as F
-
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), E.mime_type(F.col("content")).alias("mime_type"))
 
