@@ -67,7 +67,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
     rank = base.filter("seed > 0").select("kind", "host", F.col("seed").alias("mass"))
     if not ways.isEmpty():
         for i in range(rounds):
-            flow = rank.join(ways, (rank["kind"] == ways["kind"]) & (rank["host"] == ways["src"])).select(ways["kind"], F.col("dst").alias("host"), F.expr("mass div deg").alias("m"))
+            flow = rank.withColumnRenamed("host", "src").join(ways, ["kind", "src"]).select("kind", F.col("dst").alias("host"), F.expr("mass div deg").alias("m"))
             moved = flow.groupBy("kind", "host").agg(F.sum("m").alias("m")).select("kind", "host", F.expr(f"{100 - RESTART} * m div 100").alias("m"))
             rank = moved.unionByName(start.select("kind", "host", F.col("given").alias("m"))).groupBy("kind", "host").agg(F.sum("m").alias("mass"))
             if i % 4 == 3:
