@@ -168,8 +168,11 @@ def _phrase(df: DataFrame, field: str) -> DataFrame:
 
 
 def _starts(n: int, phrases: list[str]) -> Column:
-    """Whether a phrase of ``n`` words begins at each word of ``v``."""
-    return F.transform("v", lambda x, i: F.concat_ws(" ", x, *[F.coalesce(F.get("v", i + j), F.lit("")) for j in range(1, n)]).isin(phrases))
+    """Whether a phrase of ``n`` words begins at each word of ``v``. Words that begin none are settled by their own."""
+    if n == 1:
+        return F.transform("v", lambda x: x.isin(phrases))
+    begins = sorted({p.split()[0] for p in phrases})
+    return F.transform("v", lambda x, i: x.isin(begins) & F.concat_ws(" ", x, *[F.coalesce(F.get("v", i + j), F.lit("")) for j in range(1, n)]).isin(phrases))
 
 
 def _members(members: DataFrame, newest_year: int) -> DataFrame:
@@ -195,7 +198,8 @@ def _members(members: DataFrame, newest_year: int) -> DataFrame:
     loose = E.trim_ws(F.regexp_replace(F.regexp_replace(F.array_join(F.slice(F.col("a")["raw"], F.lit(1), F.greatest(F.col("d") - 1, F.lit(0))), " "), r"(?i)\b(LAKI(-?LAKI)?|PEREMPUAN)\b", ""), r"\s+", " "))
     df = df.withColumn("birth_place", F.nullif(F.when((F.col("d") > 0) & (F.col("g") > 0) & (F.col("d") > start), between).when((F.col("d") > 1) & (F.col("g") == 0), loose), F.lit("")))
     begin = F.when(F.col("d") > 0, F.col("d") + 1).when(F.col("g") > 0, start).otherwise(1)
-    df = df.withColumn("v", F.transform("a", lambda x, i: F.when(i + 1 < begin, "").otherwise(E.label(x["norm"], ALIASES, None)))).withColumn("v", F.transform("v", lambda x, i: F.coalesce(x, word(i))))
+    mended = lambda x: F.coalesce(E.label(x["norm"], ALIASES, None), x["norm"])
+    df = df.withColumn("v", F.transform(F.slice("a", begin, F.size("a")), mended))
     for field in VOCABULARY:
         df = _phrase(df, field)
     missing = F.filter(F.array(*[F.when(F.col(f).isNull(), text) for f, text in (("gender", "jenis kelamin"), ("birth_date", "tanggal lahir"), ("religion", "agama"), ("family_relation", "hubungan keluarga"))]), lambda x: x.isNotNull())
