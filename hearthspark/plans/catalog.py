@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from hearthspark.functions import expr as E
 from hearthspark.operators import filters, membership, quality, reports, views
 from hearthspark.operators.household_text import parse_households
-from hearthspark.sources.exports import archive_errors, snapshot_manifest
+from hearthspark.sources.cuts import shared_path
+from hearthspark.sources.exports import archive_errors, file_inventory, snapshot_manifest, write_csv
 from hearthspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -417,6 +418,19 @@ def export_projection(spark, d):
     )
 
 
+@query("export_csv", sql=ORACLES["export_projection"])
+def export_csv(spark, d):
+    """Through the CSV sink and back."""
+    rows, path = export_projection(spark, d), shared_path(spark, "csv")
+    write_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@query("file_inventory")
+def inventory(spark, d):
+    return file_inventory(spark, f"{d}/region.parquet").select("size", "sha256", "mime_type")
+
+
 @query("rt_rw_label", sql="select n_nationkey, concat_ws(' / ', r_name, concat('RT ',n_name)) l from nation n left join region r on r.r_regionkey=n.n_regionkey and r.r_regionkey<3")
 def rt_rw_label(spark, d):
     r = table(spark, d, "region").filter("r_regionkey < 3")
