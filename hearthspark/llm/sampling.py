@@ -40,7 +40,7 @@ MARK = "▁"
 _LITERAL = "\udfff"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Characters of one round of array work.
-_ROUND = 1_500_000
+_ROUND = 400_000
 
 
 def load_vocabulary(path: str = MODEL) -> tuple[tuple[str, ...], tuple[float, ...], int]:
@@ -59,7 +59,7 @@ class Vocabulary:
 
     def __init__(self, pieces: tuple[str, ...], ranks: tuple[float, ...], byte0: int, alpha: float) -> None:
         self.size, self.byte0 = len(pieces), byte0
-        self.weight = -alpha * np.log(np.array(ranks) + 2.0)
+        self.weight = (np.array(ranks) + 2.0) ** -alpha
         self.bytes = [p.replace(MARK, " ").encode() for p in pieces]
         for b in range(256):
             self.bytes[byte0 + b] = bytes([b])
@@ -91,6 +91,10 @@ class Vocabulary:
             if p:
                 self.piece[nodes[p]] = i
         self.longest = max(map(len, pieces), default=1)
+        self.start = np.zeros(len(chars) + 1, np.int32)
+        for x, state in nodes.items():
+            if len(x) == 1:
+                self.start[number[x]] = state
 
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """Next trie states, 0 where there is none."""
@@ -142,12 +146,13 @@ class Lattices:
         self.unknown: list[bytes] = []
         known: dict[int, int] = {}
         byte_weight = float(v.weight[v.byte0])
-        beta = [np.zeros(count[0])]
-        first, piece, to, cum, logp = [np.zeros(count[0], np.int64)], [], [], [], []
+        # Total weight of the paths from each node to its word's end, up to a factor of the word: probabilities are ratios.
+        beta = [np.ones(count[0])]
+        first, piece, to, cum, prob = [np.zeros(count[0], np.int64)], [], [], [], []
         n_edges = 0
         for r in range(1, top + 1):
             n = int(count[r])
-            who, state, found = np.arange(n), v.step(np.zeros(n, np.int32), chars[r]), []
+            who, state, found = np.arange(n), v.start[chars[r]], []
             single = v.piece[state]
             single[state == 0] = -1
             missing = np.flatnonzero(single < 0)
@@ -156,7 +161,7 @@ class Lattices:
                 hit = np.flatnonzero((state > 0) & (ids >= 0))
                 if len(hit):
                     t = who[hit]
-                    found.append((j, t, ids[hit], v.weight[ids[hit]] + beta[r - j][t]))
+                    found.append((j, t, ids[hit], v.weight[ids[hit]] * beta[r - j][t]))
                 alive = np.flatnonzero((state > 0) & (state < v.inner))
                 if j == r or not len(alive):
                     break
@@ -172,39 +177,37 @@ class Lattices:
                             self.unknown.append(raw)
                     ids[i] = known[code]
                 many = np.array([1 if i < v.size else len(self.unknown[i - v.size]) for i in ids.tolist()])
-                found.append((1, missing, ids, many * byte_weight + beta[r - 1][missing]))
-            best = np.full(n, -np.inf)
-            for _, t, _, w in found:
-                best[t] = np.maximum(best[t], w)
+                found.append((1, missing, ids, byte_weight**many * beta[r - 1][missing]))
             total, degree = np.zeros(n), np.zeros(n, np.int64)
             for _, t, _, w in found:
-                total[t] += np.exp(w - best[t])
+                total[t] += w
                 degree[t] += 1
-            sums = best + np.log(total)
-            beta.append(sums)
+            beta.append(total.copy())
+            if len(far := np.flatnonzero((total < 1e-100) | (total > 1e100))):  # the nodes that later ones still reach are scaled alike
+                scale = 1.0 / total[far]
+                for q in range(max(0, r - v.longest), r + 1):
+                    beta[q][far] *= scale
             start = n_edges + np.concatenate([[0], np.cumsum(degree)])
             m = int(start[-1] - n_edges)
-            e_piece, e_to, e_cum, e_log = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m), np.empty(m)
+            e_piece, e_to, e_cum, e_prob = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m), np.empty(m)
             slot, run = start[:-1] - n_edges, np.zeros(n)
             for j, t, ids, w in found:
-                at = slot[t]
-                lp = w - sums[t]
-                run[t] += np.exp(lp)
-                e_piece[at], e_to[at], e_cum[at], e_log[at] = ids, self.base[r - j] + t, run[t], lp
+                at, p = slot[t], w / total[t]
+                run[t] += p
+                e_piece[at], e_to[at], e_cum[at], e_prob[at] = ids, self.base[r - j] + t, run[t], p
                 slot[t] += 1
             e_cum[start[1:] - n_edges - 1] = 2.0  # the last edge takes what rounding leaves
             first.append(start[:-1])
-            for whole, part in ((piece, e_piece), (to, e_to), (cum, e_cum), (logp, e_log)):
+            for whole, part in ((piece, e_piece), (to, e_to), (cum, e_cum), (prob, e_prob)):
                 whole.append(part)
             n_edges += m
         self.first = np.concatenate([*first, [n_edges]])
         self.first[: count[0]] = 0
-        self.piece, self.to, self.cum, self.logp = (np.concatenate(x) if x else np.zeros(0) for x in (piece, to, cum, logp))
+        self.piece, self.to, self.cum, p = (np.concatenate(x) for x in (piece, to, cum, prob))
         with np.errstate(divide="ignore"):
-            p = np.exp(self.logp)
+            self.logp = np.log(p)
             self.rest = np.where(p < 1 - 1e-12, np.log1p(-np.minimum(p, 1.0)), -np.inf)  # what the node's other edges hold
         self.ends = int(count[0])  # nodes below this are words' ends
-        self.beta = np.concatenate(beta)
 
     def start(self, word: np.ndarray) -> np.ndarray:
         return self.base[self.length[word]] + self.rank[word]

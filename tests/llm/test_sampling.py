@@ -26,7 +26,7 @@ def exact(v):
         for n in range(1, len(t) + 1):
             if t[:n] in ids:
                 for p, w in paths(t[n:]):
-                    yield (ids[t[:n]], *p), w + v.weight[ids[t[:n]]]
+                    yield (ids[t[:n]], *p), w + math.log(v.weight[ids[t[:n]]])
 
     found = dict(paths("▁hello▁w"))
     z = math.log(sum(map(math.exp, found.values())))
