@@ -42,7 +42,7 @@ PREFIXES = (3, 4, 5, 6)
 ALPHA = 0.05
 SEGMENT = 32
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 1_000_000
+_CACHE = 250_000
 
 
 def fold(id_col: str, folds: int = FOLDS) -> Column:
