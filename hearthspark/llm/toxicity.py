@@ -55,6 +55,12 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
+def least_shingle(text: Column, n: int = 5) -> Column:
+    """The least hash of the runs of ``n`` words: nearly always the same for near copies, hardly ever for other texts."""
+    hashes = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: F.xxhash64(x))
+    return F.array_min(F.transform(F.arrays_zip(*[F.slice(hashes, i + 1, 1 << 30).alias(f"h{i}") for i in range(n)]), lambda x: F.xxhash64(x)))
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -248,7 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull() & (fold("_id", folds) != 0))
     sample = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     # At most max_train rows of two numbers each, so this side may be broadcast.
-    train = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id").select("text", "toxic"))
+    train = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id").select("text", "toxic")
+    # Copies and near copies would count as independent witnesses for every word they hold: of texts with one least shingle, one is kept.
+    train = cut(train.withColumn("_key", least_shingle(F.col("text"))).dropDuplicates(["_key", "toxic"]).select("text", "toxic"))
     n = train.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     if not n["n"] or n["t"] in (0, n["n"]):
         return Model(constant=n["t"] / n["n"] if n["n"] else 0.0)
