@@ -1,7 +1,7 @@
 """A corpus pipeline over documents: toxicity, near-duplicates, benchmark contamination, secrets, SentencePiece samples.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's docs. All but
-the last return the columns of documents. Rows are told apart by a row number written with them, so null and repeated ids do no harm; null texts are empty
+the last return the columns of documents. Rows are told apart by their file and place in it, so null and repeated ids do no harm; null texts are empty
 texts and stay null.
 """
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a row number ``name`` that stays the same whenever it is read: written to the shared folder."""
-    path = fresh_dir(df.sparkSession, "rows")
-    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """``df`` with a row key ``name`` that stays the same whenever it is read.
+
+    Rows of a Parquet scan have one: their file and their place in it. Any other frame is written to the shared folder first.
+    """
+    key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return df.select("*", key.alias(name))
+    except AnalysisException:
+        path = fresh_dir(df.sparkSession, "rows")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path).select("*", key.alias(name))
 
 
 def lower_ascii(c: Column) -> Column:
