@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm import decontaminate, sampling, secrets, simhash, toxicity
-from hearthspark.llm.common import fresh_dir, numbered
+from hearthspark.llm import decontaminate, jaccard, sampling, secrets, simhash, toxicity
+from hearthspark.llm.common import cut, fresh_dir, numbered
 from hearthspark.sources.tables import table
 
 _ROW = "_pipeline_row"
@@ -32,6 +32,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.join(kept, _ROW, "left_semi").drop(_ROW)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What drop_near_duplicates() keeps, without near copies by the general rule: five-word shingles, Jaccard similarity 0.8 or more."""
+    rows = numbered(drop_near_duplicates(spark, docs, sf_dir), _ROW)
+    # Numbers in the order of the ids, so that the smallest id of a group stays.
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(_ROW))
+    ids = cut(rows.select("doc_id", _ROW).orderBy(order).select(_ROW, F.monotonically_increasing_id().alias("rid")))
+    keyed = cut(rows.select(_ROW, "text").join(ids, _ROW).select("rid", "text"))
+    gone = ids.join(jaccard.near_copies(keyed), "rid", "left_semi").select(_ROW)
+    return rows.join(gone, _ROW, "left_anti").drop(_ROW)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with less than a twentieth of their words inside benchmark passages."""
     rows = numbered(docs, _ROW)
@@ -58,7 +69,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash near-dedup", drop_near_duplicates),
+    ("simhash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("secret scans", redact_secrets),
     ("sentencepiece sampling", encode),
