@@ -29,7 +29,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"))
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rounds=None)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Rules (host suffix, path prefix, action) judge the URLs they fit; the longest wins. Hosts pass judgement on the rest: the share of a
 host's pages that rules allow is its trust seed, the share that they block its distrust seed. Personalised PageRank carries trust along the links between
 hosts and distrust against them, both in one join and one aggregate per round, in whole numbers (units of 1 / SCALE), so results don't depend
-on the order of sums. A host is blocked if its distrust reaches ``least`` and is more than ``ratio`` times its trust.
+on the order of sums. The query's rounds go on until less than TOLERANCE of all mass changes. A host is blocked if its distrust reaches ``least`` and is more than ``ratio`` times its trust.
 
 Links are aggregated to distinct host pairs before anything is joined; pages meet their host's verdict in a join that survives hot
 hosts.
@@ -27,6 +27,9 @@ ROUNDS = 8
 RESTART = 15
 RATIO = 2
 LEAST = SCALE * RESTART // 400
+#: Sum of all hosts' changes below which ranks are settled, and the rounds (a multiple of four) in which they must be.
+TOLERANCE = LEAST // 1000
+MOST_ROUNDS = 400
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)"""
 
 
@@ -55,8 +58,16 @@ def links(pages: DataFrame, host: str, html: str) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) of every host in ``seeds`` (host, trust, distrust) and ``edges`` (src, dst)."""
+def _total(rank: DataFrame) -> int:
+    return int(rank.agg(F.sum(F.col("mass").cast("decimal(38,0)")).alias("n")).first()["n"] or 0)
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
+    """(host, trust, distrust) of every host in ``seeds`` (host, trust, distrust) and ``edges`` (src, dst).
+
+    ``rounds``: so many rounds from the full seeds; with None, rounds from RESTART of the seeds, by which masses only grow, until they are settled. Ranks that
+    don't settle in MOST_ROUNDS raise an error.
+    """
     # Kind 1 follows links, kind 0 goes against them.
     ways = edges.select(F.lit(1).alias("kind"), "src", "dst").unionByName(edges.select(F.lit(0).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     out = ways.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("deg"))
@@ -65,20 +76,31 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
     start = base.select("kind", "host", F.expr(f"{RESTART} * seed div 100").alias("given")).filter("given > 0")
     start = cut(start)
     rank = base.filter("seed > 0").select("kind", "host", F.col("seed").alias("mass"))
+    if rounds is None:
+        rank = start.select("kind", "host", F.col("given").alias("mass"))
+        before = _total(rank)
     if not ways.isEmpty():
-        for i in range(rounds):
+        for i in range(MOST_ROUNDS if rounds is None else rounds):
             flow = rank.withColumnRenamed("host", "src").join(ways, ["kind", "src"]).select("kind", F.col("dst").alias("host"), F.expr("mass div deg").alias("m"))
             moved = flow.groupBy("kind", "host").agg(F.sum("m").alias("m")).select("kind", "host", F.expr(f"{100 - RESTART} * m div 100").alias("m"))
             rank = moved.unionByName(start.select("kind", "host", F.col("given").alias("m"))).groupBy("kind", "host").agg(F.sum("m").alias("mass"))
             if i % 4 == 3:
                 rank = cut(rank)
+                if rounds is None:
+                    now = _total(rank)
+                    if now - before < TOLERANCE:
+                        break
+                    before = now
+        else:
+            if rounds is None:
+                raise RuntimeError(f"ranks did not settle in {MOST_ROUNDS} rounds")
     else:  # nothing flows
         rank = start.select("kind", "host", F.col("given").alias("mass"))
     return rank.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("mass"))), F.lit(0)).alias("trust"), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("mass"))), F.lit(0)).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-          rounds: int = ROUNDS, ratio: int = RATIO, least: int = LEAST) -> DataFrame:
+          rounds: int | None = ROUNDS, ratio: int = RATIO, least: int = LEAST) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, and the host's ``trust`` and ``distrust``."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
