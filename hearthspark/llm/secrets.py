@@ -2,8 +2,8 @@
 
 Every whole text is scanned for candidates of three base kinds (assignments, access keys, long hex runs) and one weak kind
 (long mixed tokens). Each candidate's value is hashed; the hashes are aggregated by distinct owners and repositories over
-the whole corpus. A value that more than ``max_owners`` owners hold is a widely copied example; the others are
-owner-specific and look live. Base spans are always reported; weak candidates are added (kind ``owned``) only if they
+the whole corpus. A value that more than ``max_owners`` owners hold, or more than ``max_repos`` repositories of whatever owners, is a widely
+copied example; the others are owner-specific and look live. Base spans are always reported; weak candidates are added (kind ``owned``) only if they
 are owner-specific and touch no base span.
 
 Cases: a null text is empty; a null id, owner or repository counts as one value of its own; repeated rows each give a row
@@ -27,6 +27,8 @@ WEAK = r"[A-Za-z0-9+/_=-]{20,}"
 MIN_VALUE = 12
 #: Values held by more owners than this are examples that were copied around.
 MAX_OWNERS = 2
+#: So are those in more repositories than this, over all owners.
+MAX_REPOS = 10
 
 _SPAN = "struct<s:int,k:int,e:int,h:bigint>"
 
@@ -77,10 +79,10 @@ def ownership(cands: DataFrame) -> DataFrame:
     return by_owner.groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_repos").alias("n_repos"), F.sum("n").alias("n_rows"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row per input row: ``row_id``, ``id`` and ``spans``, array of (s, k, e, live, n_owners, n_repos) by start and kind.
 
-    ``live``: at most ``max_owners`` owners hold the value. Weak candidates that aren't live are gone; base spans stay.
+    ``live``: at most ``max_owners`` owners and ``max_repos`` repositories hold the value. Weak candidates that aren't live are gone; base spans stay.
     ``row_id`` is fixed by a checkpoint and tells repeated rows apart.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("_text"))
@@ -88,7 +90,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some = rows.filter(F.size("cands") > 0).select("row_id", "id", "repo", "owner", F.explode("cands").alias("c"))
     some = some.select("row_id", "id", "repo", "owner", "c.s", "c.k", "c.e", "c.h")
     freq = cut(ownership(some))
-    known = skew_safe_lookup(some, freq, "h", "n_rows", "row_id", ["n_owners", "n_repos"]).withColumn("live", F.col("n_owners") <= max_owners)
+    known = skew_safe_lookup(some, freq, "h", "n_rows", "row_id", ["n_owners", "n_repos"]).withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     span = F.struct("s", "k", "e", "live", "n_owners", "n_repos")
     found = known.groupBy("row_id", "id").agg(F.array_sort(F.collect_list(F.when((F.col("k") < 3) | F.col("live"), span))).alias("spans"))
     none = rows.filter(F.size("cands") == 0).select("row_id", "id", F.expr("cast(array() as array<struct<s:int,k:int,e:int,live:boolean,n_owners:bigint,n_repos:bigint>>)").alias("spans"))
