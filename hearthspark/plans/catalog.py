@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hearthspark.functions import expr as E
 from hearthspark.operators import filters, membership, quality, reports, views
 from hearthspark.operators.household_text import parse_households
-from hearthspark.sources.cuts import shared_path
+from hearthspark.sources.cuts import fresh_dir
 from hearthspark.sources.exports import archive_errors, file_inventory, snapshot_manifest, write_csv
 from hearthspark.sources.tables import table
 
@@ -421,7 +421,7 @@ def export_projection(spark, d):
 @query("export_csv", sql=ORACLES["export_projection"])
 def export_csv(spark, d):
     """Through the CSV sink and back."""
-    rows, path = export_projection(spark, d), shared_path(spark, "csv")
+    rows, path = export_projection(spark, d), fresh_dir(spark, "csv")
     write_csv(rows, path)
     return spark.read.schema(rows.schema).option("header", True).csv(path)
 

@@ -1,4 +1,4 @@
-"""Session defaults: UTC, AQE, Arrow. A session that already runs is used as it is."""
+"""Session defaults: UTC, AQE, Arrow. A session that runs already is used as it is, and what spark-submit or spark-defaults.conf set stays."""
 
 from __future__ import annotations
 
@@ -6,25 +6,39 @@ import os
 import tempfile
 import zipfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 
+def _configured() -> set[str]:
+    """Settings that others made: by spark-submit (its process is there before ours) or in spark-defaults.conf."""
+    found: set[str] = set()
+    if "PYSPARK_GATEWAY_PORT" in os.environ:
+        SparkContext._ensure_initialized()
+        found |= {k for k, _ in SparkConf().getAll()}
+    folder = os.environ.get("SPARK_CONF_DIR") or (os.path.join(os.environ["SPARK_HOME"], "conf") if "SPARK_HOME" in os.environ else "")
+    path = os.path.join(folder, "spark-defaults.conf")
+    if folder and os.path.exists(path):
+        with open(path) as f:
+            found |= {line.replace("=", " ").split()[0] for line in f if line.strip() and not line.startswith("#")}
+    return found
+
+
 def get_session(app: str = "hearthspark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session for local runs and tests; on a cluster, spark-submit's settings win."""
-    cores = os.environ.get("BENCH_CPUS", "8")
-    builder = (
-        SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("HEARTH_DRIVER_MEMORY", "8g"))
-    )
-    builder = builder.master(master or f"local[{cores}]")
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
-    return builder.getOrCreate()
+    """A session for local runs and tests. Arguments that are given hold; all other settings are defaults, for what is set nowhere."""
+    if SparkContext._active_spark_context is not None:
+        return SparkSession.builder.getOrCreate()
+    cores, known = os.environ.get("BENCH_CPUS", "8"), _configured()
+    local = master is None and "spark.master" not in known
+    defaults = {
+        "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+    if local:  # one machine: as many partitions as cores
+        defaults |= {"spark.master": f"local[{cores}]", "spark.sql.shuffle.partitions": cores, "spark.ui.enabled": "false", "spark.driver.memory": os.environ.get("HEARTH_DRIVER_MEMORY", "8g")}
+    given = {"spark.master": master, "spark.sql.shuffle.partitions": shuffle_partitions and str(shuffle_partitions)}
+    conf = {k: v for k, v in defaults.items() if k not in known} | {k: v for k, v in given.items() if v}
+    return SparkSession.builder.appName(app).config(map=conf).getOrCreate()
 
 
 def ship(spark: SparkSession) -> None:
