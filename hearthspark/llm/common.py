@@ -1,40 +1,21 @@
-"""Helpers that several operators share: shared folder, lineage cuts, joins that survive hot keys."""
+"""Helpers that several operators share: row keys and joins that survive hot keys. Lineage cuts and folders are those of the whole library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key with more than 1/HEAVY of all rows is heavy; there are at most HEAVY such keys, whatever the input.
-HEAVY = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a folder of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="hearth-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, with its scheme."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/hearth-{what}-{uuid.uuid4().hex}")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
+from hearthspark.sources.cuts import cut, fresh_dir, remove, shared_dir, written
 
+__all__ = ["cut", "fresh_dir", "spread_lookup", "lower_ascii", "numbered", "remove", "shared_dir", "written"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: later plans start from files in the shared folder, so lost executors lose nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: A lookup table of at most so many bytes (as measured) is broadcast.
+SMALL = 8 << 20
+#: Most rows of one key that one task of a lookup should meet.
+PER_TASK = 100_000
+#: Bound on the keys that are split, whatever the input: a key with a smaller share of all rows never is.
+MOST_HOT = 100_000
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -46,9 +27,7 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     try:
         return df.select("*", key.alias(name))
     except AnalysisException:
-        path = fresh_dir(df.sparkSession, "rows")
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path).select("*", key.alias(name))
+        return written(df, "rows").select("*", key.alias(name))
 
 
 def lower_ascii(c: Column) -> Column:
@@ -56,24 +35,26 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def skew_safe_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: str, values: list[str]) -> DataFrame:
-    """Left join of ``left`` with ``right``, whose keys are unique.
+def spread_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: str, values: list[str], small: int = SMALL, per_task: int = PER_TASK) -> DataFrame:
+    """Left join of ``left`` with ``right``, whose keys are unique; rows of ``left`` are kept, each once.
 
-    ``weight`` (in ``right``) is the number of rows the key has in ``left``. Keys with over 1/HEAVY of all rows are joined by
-    broadcast: by that definition there are at most HEAVY of them. The others meet in an ordinary shuffle join, in which
-    the rows already served (or with a null key) are dealt out by ``spread`` and match nothing. ``right`` should be
-    cut: it is read three times. Rows of ``left`` are kept, each once; the values of unknown keys are null.
+    ``right`` is measured first: up to ``small`` bytes it is broadcast. Beyond, both sides are shuffled by key and salt. ``weight`` (in ``right``) is the
+    number of rows the key has in ``left``; a key that outweighs a task's share is hot, its rows are dealt out by ``spread`` over
+    as many salts as it fills shares, and its one row of ``right`` is repeated for each. Of hot keys only hashes and salts are broadcast: a share is at least
+    1/MOST_HOT of all rows, so there are at most MOST_HOT of them. Rows with a null key match nothing and are dealt out too.
+    ``right`` should be cut: it is read several times.
     """
-    total = right.agg(F.sum(weight).alias("n")).first()["n"] or 0
-    heavy = F.col(weight) * HEAVY > F.lit(total)
-    hot = right.filter(heavy).select(F.col(key).alias("_hk"), F.lit(True).alias("_hot"), *[F.col(v).alias(f"_h_{v}") for v in values])
-    cold = right.filter(~heavy).select(F.col(key).alias("_ck"), F.lit(True).alias("_cold"), *[F.col(v).alias(f"_c_{v}") for v in values])
-    rows = left.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    if cold.isEmpty():  # all keys are heavy: nothing left to shuffle for
-        return rows.select(*left.columns, *[F.col(f"_h_{v}").alias(v) for v in values])
-    open_ = F.col("_hot").isNull() & F.col(key).isNotNull()
-    type_ = dict(right.dtypes)[key]
-    spare = F.xxhash64(spread) if type_ == "bigint" else F.col(spread).cast(type_)
-    rows = rows.withColumn("_k", F.when(open_, F.col(key)).otherwise(spare)).withColumn("_open", open_)
-    rows = rows.join(cold, (F.col("_k") == F.col("_ck")) & (F.col("_open") == F.col("_cold")), "left")
-    return rows.select(*left.columns, *[F.coalesce(f"_h_{v}", f"_c_{v}").alias(v) for v in values])
+    size = F.octet_length(F.to_json(F.struct(key, *values))) + 32
+    facts = right.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.sum(weight).alias("rows")).first()
+    found = right.select(F.col(key).alias("_k"), F.col(weight).alias("_w"), *[F.col(v).alias(f"_v_{v}") for v in values])
+    out = [*left.columns, *[F.col(f"_v_{v}").alias(v) for v in values]]
+    if (facts["bytes"] or 0) <= small:
+        return left.join(F.broadcast(found.drop("_w")), F.col(key) == F.col("_k"), "left").select(*out)
+    share = max(min(per_task, facts["rows"] // 1000), facts["rows"] // MOST_HOT, 1)
+    salts = F.ceil(F.col("_w") / share).cast("int")
+    hot = F.broadcast(cut(found.filter(salts > 1).groupBy(F.xxhash64("_k").alias("_hot")).agg(F.max(salts).alias("_salts"))))
+    found = found.join(hot, F.xxhash64("_k") == F.col("_hot"), "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_w", "_hot", "_salts")
+    rows = left.join(hot, F.xxhash64(key) == F.col("_hot"), "left")
+    salt = F.when(F.col(key).isNull(), F.xxhash64(spread).cast("int")).otherwise(F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int"))
+    rows = rows.withColumn("_salt", salt)
+    return rows.join(found, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left").select(*out)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthspark.llm.common import cut, skew_safe_lookup
+from hearthspark.llm.common import cut, spread_lookup
 from hearthspark.llm.urlfilter import host_and_path
 
 SAMPLE = 5
@@ -356,5 +356,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     wrappers = few.groupBy("host").applyInPandas(_induce_host, "host string, wrapper string")
     known = cut(counts.join(wrappers, "host", "left"))
     rows = rows.withColumn("row_id", F.monotonically_increasing_id())
-    met = skew_safe_lookup(rows, known, "host", "n", "row_id", ["wrapper"])
+    met = spread_lookup(rows, known, "host", "n", "row_id", ["wrapper"])
     return met.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthspark.llm.common import cut, skew_safe_lookup
+from hearthspark.llm.common import cut, spread_lookup
 
 # The contract's kinds, in its order, and the added kind.
 KINDS = ["assign", "access", "hex", "owned"]
@@ -90,7 +90,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some = rows.filter(F.size("cands") > 0).select("row_id", "id", "repo", "owner", F.explode("cands").alias("c"))
     some = some.select("row_id", "id", "repo", "owner", "c.s", "c.k", "c.e", "c.h")
     freq = cut(ownership(some))
-    known = skew_safe_lookup(some, freq, "h", "n_rows", "row_id", ["n_owners", "n_repos"]).withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
+    known = spread_lookup(some, freq, "h", "n_rows", "row_id", ["n_owners", "n_repos"]).withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     span = F.struct("s", "k", "e", "live", "n_owners", "n_repos")
     found = known.groupBy("row_id", "id").agg(F.array_sort(F.collect_list(F.when((F.col("k") < 3) | F.col("live"), span))).alias("spans"))
     none = rows.filter(F.size("cands") == 0).select("row_id", "id", F.expr("cast(array() as array<struct<s:int,k:int,e:int,live:boolean,n_owners:bigint,n_repos:bigint>>)").alias("spans"))

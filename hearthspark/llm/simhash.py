@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthspark.llm.common import cut, skew_safe_lookup
+from hearthspark.llm.common import cut, spread_lookup
 from hearthspark.llm.graph import components
 
 DISTANCE = 3
@@ -147,8 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     labelled = cut(labelled)
     owners = cut(labelled.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n_fps")))
-    by_fp = cut(skew_safe_lookup(labelled, owners, "root", "n_fps", "fp", ["component"]).select("fp", "n", "component"))
-    return skew_safe_lookup(rows, by_fp, "fp", "n", "row_id", ["component"])
+    by_fp = cut(spread_lookup(labelled, owners, "root", "n_fps", "fp", ["component"]).select("fp", "n", "component"))
+    return spread_lookup(rows, by_fp, "fp", "n", "row_id", ["component"])
 
 
 def digest(found: DataFrame) -> DataFrame:

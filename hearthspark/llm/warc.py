@@ -2,16 +2,18 @@
 
 Rows are dealt by range of their reversed-host (SURT) URL key. Each task writes one archive, a gzip member per record, and beside it one
 index file: capture lines in key order, cut into blocks of ``block_lines`` lines, a gzip member per block. The rows it returns, one per
-block (first and last key, file, offset, length), are the sparse block directory, kept as a Parquet table in key order. A lookup
-binary-searches the directory, range-reads one block, binary-searches its lines and range-reads the record.
+block (first and last key, file, offset, length), are the sparse block directory, kept as a Parquet table in key order. Lookups
+take two steps: tasks with sorted keys load their stretch of the directory and binary-search it for the blocks of each key; then each block is range-read once,
+by whichever task it falls to, its lines are binary-searched for the keys that want it, and their records are range-read. A key with very many captures is thus spread over as
+many tasks as its blocks. The query reads every page back in this way, by its URL.
 
 Of records with equal payloads of ``min_dedup`` bytes or more, that with the largest id holds the payload; the others are
 revisit records that refer to it. The table of digests is counted with map-side combining and met by a join that survives hot
 payloads; the decisions travel to the writers as rows of their own, sorted before the page they belong to, so the
 payloads are shuffled once.
 
-Files are written under a name of the attempt and renamed when complete, so a repeated task replaces its own files only. Paths may be of
-any store that pyarrow's file systems know (file, hdfs, s3, gs).
+Each attempt of a task writes files of its own name, and only the directory rows of the attempt that Spark commits name any, so repeated or lost tasks leave
+files that nothing refers to and never overwrite. Paths may be of any store that pyarrow's file systems know (file, hdfs, s3, gs).
 
 Cases: a null url or payload is empty; a null id is written as an empty id and read back as null; repeated rows are records of
 their own (of rows that share the largest id and payload, all are responses); an empty table gives an empty archive; other columns are
@@ -36,13 +38,15 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm.common import cut, fresh_dir, skew_safe_lookup
+from hearthspark.llm.common import cut, fresh_dir, spread_lookup
 
 MIN_DEDUP = 1000
 BLOCK_LINES = 512
+#: Compressed bytes of records that a task should read back.
+TASK_BYTES = 32 << 20
 #: Fixed, so that equal archives have equal bytes.
 DATE = "2024-01-01T00:00:00Z"
-DIRECTORY = "first_key string, last_key string, path string, block_offset long, block_length long, n_lines int"
+DIRECTORY = "first_key string, last_key string, path string, block_offset long, block_length long, n_lines int, record_bytes long"
 
 
 def surt(url: str) -> str:
@@ -96,9 +100,8 @@ def _writer(root: str, block_lines: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in key order; a row without payload says what the next page of its id refers to."""
         store, base = pafs.FileSystem.from_uri(root)
-        name, part = f"{base}/{uuid.uuid4().hex}", None
         archive = index = None
-        at = lines_at = 0
+        at = lines_at = block_at = 0
         lines: list[str] = []
         directory: list[tuple] = []
         refers: dict[str, int] = {}
@@ -106,21 +109,20 @@ def _writer(root: str, block_lines: int):
         final = ""
 
         def end_block() -> None:
-            nonlocal lines, lines_at
+            nonlocal lines, lines_at, block_at
             if lines:
                 block = gzip.compress("".join(x + "\n" for x in lines).encode(), 6, mtime=0)
                 index.write(block)
-                directory.append((lines[0].split("\t", 1)[0], lines[-1].split("\t", 1)[0], final + ".cdx.gz", lines_at, len(block), len(lines)))
-                lines, lines_at = [], lines_at + len(block)
+                directory.append((lines[0].split("\t", 1)[0], lines[-1].split("\t", 1)[0], final + ".cdx.gz", lines_at, len(block), len(lines), at - block_at))
+                lines, lines_at, block_at = [], lines_at + len(block), at
 
         for batch in batches:
             for row in batch.to_pylist():
                 if archive is None:
                     from pyspark import TaskContext
 
-                    part = TaskContext.get().partitionId()
-                    final = f"{base}/part-{part:06d}"
-                    archive, index = store.open_output_stream(name + ".warc.gz", compression=None), store.open_output_stream(name + ".cdx.gz", compression=None)
+                    final = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+                    archive, index = store.open_output_stream(final + ".warc.gz", compression=None), store.open_output_stream(final + ".cdx.gz", compression=None)
                 if page != (row["key"], row["id"]):
                     page, refers = (row["key"], row["id"]), {}
                 if row["tag"] == 0:
@@ -139,10 +141,8 @@ def _writer(root: str, block_lines: int):
             end_block()
             archive.close()
             index.close()
-            for kind in (".warc.gz", ".cdx.gz"):
-                store.move(name + kind, final + kind)
-        columns = list(zip(*directory, strict=True)) if directory else [[]] * 6
-        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+        columns = list(zip(*directory, strict=True)) if directory else [[]] * 7
+        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in DIRECTORY.split(", ")])
 
     return write
@@ -165,7 +165,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html"))
     facts = cut(rows.filter(F.octet_length("html") >= min_dedup).select("id", key_column(F.col("url")).alias("key"), F.sha1(F.encode("html", "UTF-8")).alias("digest")).withColumn("spread", F.monotonically_increasing_id()))
     same = cut(facts.groupBy("digest").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    told = skew_safe_lookup(facts, same, "digest", "n", "spread", ["keeper"]).filter("keeper is not null and not (id <=> keeper)")
+    told = spread_lookup(facts, same, "digest", "n", "spread", ["keeper"]).filter("keeper is not null and not (id <=> keeper)")
     told = told.select("id", "key", F.lit("").alias("url"), F.lit("").alias("html"), "digest", F.col("keeper").alias("refers_to"), F.lit(0).alias("tag")).dropDuplicates(["id", "key", "digest"])
     sent = rows.select("id", key_column(F.col("url")).alias("key"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("tag"))
     _make_dir(spark, root)
@@ -185,22 +185,39 @@ def _read_range(store: pafs.FileSystem, path: str, offset: int, length: int) ->
         return f.read_at(length, offset)
 
 
-def lookup(root: str, directory: list[tuple], key: str) -> list[dict]:
-    """All captures of one SURT key; ``directory``: (first_key, last_key, path, offset, length) of the blocks that may hold it, in key order."""
-    store, _ = pafs.FileSystem.from_uri(root)
-    found = []
-    i = bisect.bisect_left([d[1] for d in directory], key)
-    while i < len(directory) and directory[i][0] <= key:
-        lines = zlib.decompress(_read_range(store, *directory[i][2:5]), 31).decode().split("\n")[:-1]
-        for line in lines[bisect.bisect_left(lines, key + "\t") : bisect.bisect_left(lines, key + "\t\U0010ffff")]:
-            at = json.loads(line.split("\t", 1)[1])
-            found.append(parse_record(_read_range(store, directory[i][2].replace(".cdx.gz", ".warc.gz"), at["offset"], at["length"])))
-        i += 1
-    return found
+def blocks_of(directory: list[tuple], key: str) -> list[tuple]:
+    """The blocks of ``directory`` (first_key, last_key, ...; in key order) that may hold a key: a binary search, then on while blocks begin with it or before."""
+    i = j = bisect.bisect_left(directory, key, key=lambda d: d[1])
+    while j < len(directory) and directory[j][0] <= key:
+        j += 1
+    return directory[i:j]
 
 
-def lookup_urls(urls: DataFrame, root: str, url_col: str = "url") -> DataFrame:
-    """Captures of the distinct URLs in ``urls``: each task loads only the stretch of the directory that its own range of keys needs."""
+def captures(store: pafs.FileSystem, path: str, offset: int, length: int, keys: list[str]) -> Iterator[dict]:
+    """The records of ``keys`` in one block: one range read of the block, a binary search of its lines for each key, one range read for each record."""
+    lines = zlib.decompress(_read_range(store, path, offset, length), 31).decode().split("\n")[:-1]
+    with store.open_input_file(path.replace(".cdx.gz", ".warc.gz")) as f:
+        for key in keys:
+            for i in range(bisect.bisect_left(lines, key, key=lambda x: x.split("\t", 1)[0]), len(lines)):
+                found, at = lines[i].split("\t", 1)
+                if found != key:
+                    break
+                at = json.loads(at)
+                yield parse_record(f.read_at(at["length"], at["offset"])) | {"key": key}
+
+
+BLOCK = "key string, path string, block_offset long, block_length long"
+CAPTURE = "key string, id long, url string, type string, n_bytes long, digest string, refers_to long"
+
+
+def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
+    types = {"string": pa.string(), "long": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types[t]) for n, t in (x.split() for x in schema.split(", "))], names=[x.split()[0] for x in schema.split(", ")])
+
+
+def lookup_urls(urls: DataFrame, root: str, url_col: str = "url", task_bytes: int = TASK_BYTES) -> DataFrame:
+    """All captures of the distinct URLs in ``urls``, each once. Payloads are checked against their digests and let go, one at a time."""
+    spark = urls.sparkSession
     keys = urls.select(key_column(F.col(url_col)).alias("key")).distinct()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,37 +229,31 @@ def lookup_urls(urls: DataFrame, root: str, url_col: str = "url") -> DataFrame:
             if wanted:
                 part = pq.read_table(f"{base}/directory", filesystem=store, filters=[("last_key", ">=", wanted[0]), ("first_key", "<=", wanted[-1])])
                 rows = sorted(tuple(r[c] for c in ("first_key", "last_key", "path", "block_offset", "block_length")) for r in part.to_pylist())
-                yield _batch([hit | {"key": key} for key in wanted for hit in lookup(root, rows, key)])
-
-    return keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(search, CAPTURE)
-
-
-CAPTURE = "key string, id long, url string, type string, n_bytes long, digest string, refers_to long"
-
-
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    types = {"string": pa.string(), "long": pa.int64()}
-    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types[t]) for n, t in (x.split() for x in CAPTURE.split(", "))], names=[x.split()[0] for x in CAPTURE.split(", ")])
-
-
-def read_archives(spark: SparkSession, root: str) -> DataFrame:
-    """All captures, by the index: each block of the directory is range-read and its records after it. One row per record."""
+                yield _batch([{"key": key, "path": d[2], "block_offset": d[3], "block_length": d[4]} for key in wanted for d in blocks_of(rows, key)], BLOCK)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(root)
+        last, keys, out = None, [], []
         for batch in batches:
-            for d in batch.to_pylist():
-                lines = zlib.decompress(_read_range(store, d["path"], d["block_offset"], d["block_length"]), 31).decode().split("\n")[:-1]
-                out = []
-                with store.open_input_file(d["path"].replace(".cdx.gz", ".warc.gz")) as f:
-                    for line in lines:
-                        key, at = line.split("\t", 1)
-                        at = json.loads(at)
-                        out.append(parse_record(f.read_at(at["length"], at["offset"])) | {"key": key})
-                yield _batch(out)
-
-    blocks = spark.read.parquet(f"{root}/directory")
-    return blocks.repartition("path", "block_offset").mapInArrow(read, CAPTURE)
+            for row in batch.to_pylist():
+                block = (row["path"], row["block_offset"], row["block_length"])
+                if block != last and keys:
+                    out += ({n: v for n, v in hit.items() if n != "payload"} for hit in captures(store, *last, keys))
+                    keys = []
+                    if len(out) >= 4096:
+                        yield _batch(out, CAPTURE)
+                        out = []
+                last = block
+                keys.append(row["key"])
+        if keys:
+            out += ({n: v for n, v in hit.items() if n != "payload"} for hit in captures(store, *last, keys))
+        yield _batch(out, CAPTURE)
+
+    facts = spark.read.parquet(f"{root}/directory").agg(F.coalesce(F.sum("record_bytes"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    tasks = max(1, -(-facts["bytes"] // task_bytes), min(facts["n"], spark.sparkContext.defaultParallelism))
+    blocks = keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(search, BLOCK)
+    # The number is stated: by the few bytes of these rows, AQE would put all blocks into one task.
+    return blocks.repartition(tasks, "path", "block_offset").sortWithinPartitions("path", "block_offset", "key").mapInArrow(read, CAPTURE)
 
 
 def digest(captures: DataFrame) -> DataFrame:
@@ -251,7 +262,7 @@ def digest(captures: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Writes ``pages`` to a new place in the shared folder and reads the records back."""
+    """Writes ``pages`` to a new place in the shared folder and looks the records of all its URLs up again."""
     root = fresh_dir(pages.sparkSession, "warc")
     write_archives(pages, root)
-    return read_archives(pages.sparkSession, root)
+    return lookup_urls(pages.select(F.col("url")), root)

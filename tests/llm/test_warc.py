@@ -40,6 +40,15 @@ def test_lookup_reads_single_blocks(spark):
     assert sorted((r["id"], r["url"]) for r in got.collect()) == [(5, rows[5][1]), (60, rows[60][1]), (199, rows[199][1])]
 
 
+def test_captures_of_a_hot_key_lie_in_many_blocks(spark):
+    root = fresh_dir(spark, "test")
+    rows = [(i, "http://hot.example.com/", f"page {i}", "") for i in range(300)] + [(900 + i, f"http://hot.example.com/{x}", "p", "") for i, x in enumerate("\x01 !a")]
+    assert warc.write_archives(frame(spark, rows).repartition(4), root, block_lines=16).count() >= 19
+    got = warc.lookup_urls(frame(spark, rows[:1]), root, task_bytes=1000)
+    assert got.rdd.getNumPartitions() > 1 and sorted(r["id"] for r in got.collect()) == list(range(300))
+    assert sorted(r["id"] for r in warc.lookup_urls(frame(spark, rows[300:]), root).collect()) == [900, 901, 902, 903]
+
+
 def test_keys(spark):
     urls = [u for _, u, _, _ in PAGES if u] + ["HTTPS://Www.Example.COM", "http://h?x"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
