@@ -1,9 +1,11 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express. Patterns, rules and figures are restated here from the contract, so the operators' own can't vouch for themselves."""
 
 from __future__ import annotations
 
-from hearthspark.llm import secrets as _secrets
-from hearthspark.llm import urlfilter as _urls
+_ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+for _c in "PASWDECRTOKNIY":  # letters of the keywords, in either case
+    _ASSIGN = _ASSIGN[: _ASSIGN.index(")")].replace(_c.lower(), f"[{_c}{_c.lower()}]") + _ASSIGN[_ASSIGN.index(")") :]
+_ACCESS, _HEX, _LONG = "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_=-]+"
 
 
 def _quote(s: str) -> str:
@@ -20,19 +22,19 @@ select rid, {kind} k, s, s + length(m) e, m from (
 
 
 SECRETS = f"""
-with d as (select row_number() over () rid, doc_id id, coalesce(source, '') owner, coalesce(text, '') t from documents),
+with d as (select row_number() over () rid, doc_id id, {{'o': source}} owner, {{'o': source, 'r': doc_id}} repo, coalesce(text, '') t from documents),
 base as (
-  select rid, k, s, e, v from (select rid, k, s, e, regexp_extract(m, {_quote(_secrets.ASSIGN)}, 2) v from ({_spans(0, _secrets.ASSIGN)})) where length(v) >= {_secrets.MIN_VALUE}
-  union all select rid, k, s, e, m from ({_spans(1, _secrets.ACCESS)})
-  union all select rid, k, s, e, m from ({_spans(2, _secrets.HEX)})
+  select rid, k, s, e, v from (select rid, k, s, e, regexp_extract(m, {_quote(_ASSIGN)}, 2) v from ({_spans(0, _ASSIGN)})) where length(v) >= 12
+  union all select rid, k, s, e, m from ({_spans(1, _ACCESS)}) where length(m) >= 18
+  union all select rid, k, s, e, m from ({_spans(2, _HEX)}) where length(m) >= 16
 ),
 weak as (
-  select w.rid, k, s, e, m v from ({_spans(3, _secrets.WEAK)}) w
-  where regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')
+  select w.rid, k, s, e, m v from ({_spans(3, _LONG)}) w
+  where length(m) >= 20 and regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')
     and not exists (select 1 from base b where b.rid = w.rid and b.s < w.e and w.s < b.e)
 ),
-c as (select c.*, d.id, d.owner from (select * from base union all select * from weak) c join d using (rid)),
-freq as (select v, count(distinct owner) <= {_secrets.MAX_OWNERS} live from c group by v),
+c as (select c.*, d.id, d.owner, d.repo from (select * from base union all select * from weak) c join d using (rid)),
+freq as (select v, count(distinct owner) <= 2 and count(distinct repo) <= 10 live from c group by v),
 kept as (select c.rid, k, s, e, live, ['assign', 'access', 'hex', 'owned'][k + 1] || ':' || s || ':' || e name from c join freq using (v) where k < 3 or live)
 select d.id doc_id,
   count(*) filter (k = 0) n_assign, count(*) filter (k = 1) n_access, count(*) filter (k = 2) n_hex,
@@ -66,15 +68,15 @@ from d left join words using (rid) left join its using (rid)
 
 TOP_K = """
 with v as (
-  select distinct vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
+  select row_number() over () rid, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ),
 s as (
-  select q.vec_id query_id, c.vec_id vec_id, cast(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 0) as bigint) score, q.e e
-  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)
+  select q.vec_id query_id, c.vec_id vec_id, cast(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 0) as bigint) score, q.rid rid
+  from v q join v c on q.vec_id % 100 = 0 and c.rid <> q.rid and len(c.e) = len(q.e)
 )
 select query_id, cast(rank as int) rank, vec_id, score
-from (select *, row_number() over (partition by query_id, e order by score desc, vec_id) rank from s) where rank <= 10
+from (select *, row_number() over (partition by rid order by score desc, vec_id) rank from s) where rank <= 10
 """
 
 WARC = """
@@ -89,36 +91,43 @@ from p left join k on k.h = p.h and k.n = p.n
 SHARDS = "select doc_id, lang, source, n_chars, cast(length(text) as bigint) text_chars, sha256(text) text_sha256 from documents"
 
 
-def _rule(what: int | None) -> str:
-    whens = []
-    for host, path, action in sorted(_urls.RULES, key=lambda r: -len(r[0] + r[1])):
-        whens.append(f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}') then '{action if what else host + path}'")
+# The contract's rules, longest first.
+_RULES = [("example.org", "/en/1", "block"), ("example.org", "/es/", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("org", "/", "allow")]
+#: Rounds in SQL: after these, less than a ten-thousandth of the mass still moves. Masses are in units of 1e-12 of a seed.
+_ROUNDS = 64
+
+
+def _rule(action: bool) -> str:
+    whens = [f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}') then '{what if action else host + path}'" for host, path, what in _RULES]
     return "case " + " ".join(whens) + " end"
 
 
 def _rounds() -> str:
-    out, last = "", "base where seed > 0"
-    for i in range(_urls.ROUNDS):
-        flow = f"select w.kind, w.dst host, {100 - _urls.RESTART} * sum(r.mass // w.deg)::bigint // 100 m from (select kind, host, {'seed' if i == 0 else 'mass'} mass from {last}) r join ways w on w.kind = r.kind and w.src = r.host group by 1, 2"
-        out += f", r{i} as (select kind, host, sum(m)::bigint mass from ({flow} union all select kind, host, {_urls.RESTART} * seed // 100 from base where {_urls.RESTART} * seed // 100 > 0) group by 1, 2)"
+    out, last = "", "given"
+    for i in range(_ROUNDS):
+        flow = f"select w.kind, w.dst host, 85 * sum(r.mass // w.deg)::bigint // 100 mass from {last} r join ways w on w.kind = r.kind and w.src = r.host group by 1, 2"
+        out += f", r{i} as (select kind, host, sum(mass)::bigint mass from ({flow} union all select kind, host, mass from given) group by 1, 2)"
         last = f"r{i}"
     return out
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_LINK = r"""(?i)href\s*=\s*["'']?(?:https?:)?//([^/"''?#\s>]+)"""
+
 URLS = f"""
 with u as (select page_id, html, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end rest from pages),
 h as (select page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') path from u),
-p as (select page_id, html, host, path, {_rule(None)} rule, {_rule(2)} said from h),
-e as (select distinct host src, translate(unnest(regexp_extract_all(html, '{_urls.LINK.replace("'", "''")}', 1)), {_AZ}) dst from p),
+p as (select page_id, html, host, path, {_rule(False)} rule, {_rule(True)} said from h),
+e as (select distinct host src, translate(unnest(regexp_extract_all(html, '{_LINK}', 1)), {_AZ}) dst from p),
 edges as (select * from e where src <> dst and src <> ''),
 dir as (select 1 kind, src, dst from edges union all select 0, dst, src from edges),
 ways as (select *, count(*) over (partition by kind, src) deg from dir),
 hosts as (select host, count(*) n, count(*) filter (said = 'allow') good, count(*) filter (said = 'block') bad from p group by host),
-base as (select 1 kind, host, {_urls.SCALE} * good // n seed from hosts union all select 0, host, {_urls.SCALE} * bad // n from hosts){_rounds()},
-ranks as (select host, coalesce(sum(mass) filter (kind = 1), 0)::bigint trust, coalesce(sum(mass) filter (kind = 0), 0)::bigint distrust from r{_urls.ROUNDS - 1} group by host)
-select page_id, p.host, path, rule, coalesce(said, case when coalesce(distrust, 0) >= {_urls.LEAST} and coalesce(distrust, 0) > {_urls.RATIO} * coalesce(trust, 0) then 'block' else 'allow' end) verdict,
+base as (select 1 kind, host, 1000000000000 * good // n seed from hosts union all select 0, host, 1000000000000 * bad // n from hosts),
+given as (select kind, host, 15 * seed // 100 mass from base where 15 * seed // 100 > 0){_rounds()},
+ranks as (select host, coalesce(sum(mass) filter (kind = 1), 0)::bigint trust, coalesce(sum(mass) filter (kind = 0), 0)::bigint distrust from r{_ROUNDS - 1} group by host)
+select page_id, p.host, path, rule, coalesce(said, case when coalesce(distrust, 0) >= 37500000000 and coalesce(distrust, 0) > 2 * coalesce(trust, 0) then 'block' else 'allow' end) verdict,
   coalesce(trust, 0) trust, coalesce(distrust, 0) distrust
 from p left join ranks on ranks.host = p.host
 """

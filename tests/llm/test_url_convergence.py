@@ -55,4 +55,4 @@ def test_query_follows_long_chains(spark, tmp_path):
 def test_unsettled_ranks_raise(spark, monkeypatch):
     monkeypatch.setattr(u, "MOST_ROUNDS", 4)
     with pytest.raises(RuntimeError):
-        u.judge(spark.createDataFrame(pages(), "page_id long, url string, html string"), rounds=None)
+        u.judge(spark.createDataFrame(pages(), "page_id long, url string, html string"))
