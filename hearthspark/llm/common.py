@@ -55,6 +55,6 @@ def spread_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spre
     hot = F.broadcast(cut(found.filter(salts > 1).groupBy(F.xxhash64("_k").alias("_hot")).agg(F.max(salts).alias("_salts"))))
     found = found.join(hot, F.xxhash64("_k") == F.col("_hot"), "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_w", "_hot", "_salts")
     rows = left.join(hot, F.xxhash64(key) == F.col("_hot"), "left")
-    salt = F.when(F.col(key).isNull(), F.xxhash64(spread).cast("int")).otherwise(F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int"))
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 30)).cast("int")).otherwise(F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int"))
     rows = rows.withColumn("_salt", salt)
     return rows.join(found, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left").select(*out)

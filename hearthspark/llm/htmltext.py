@@ -1,360 +1,576 @@
 """Operator 9, HTML extraction by wrapper induction.
 
-Of each host, up to ``sample`` pages (by a hash of the id; only these are gathered) are parsed and their trees of block elements aligned in turn by
-simple tree matching. Aligned nodes whose own text is the same in most of the host's differing sample pages are template; nodes whose text varies are
-slots; the element under which the slots hold most text is the host's content element. Every page is then read whole: its article (or
-main) element if it has one, else its host's content element, else its body, without boilerplate elements (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, comments: by tag, role, class or id) and, outside an article or main element, without template nodes.
-
-Wrappers meet their pages in a join that survives hot hosts; a host's group has at most ``sample`` pages.
+Pages of a host that share a layout (the keys of their upper containers) form a group. Every page is parsed into an outline, the tree of its block
+elements with hashes of their own texts. Of each group one page is the reference: of SAMPLE distinct ones, that which matches the others best. All
+distinct pages of the group are aligned with it by simple tree matching, and what they have at each of its nodes is counted: a node at which at least
+TEMPLATE_SHARE of three or more pages have the same text is template, other nodes are slots. The article or main element, else the innermost container, that holds the bulk of the slots'
+text is the group's content element. Every page is then read whole: aligned with its group's wrapper, it gives the texts of its content elements, without
+template nodes and without elements that HTML itself marks as something else (nav, header, footer, aside, form and its controls, menu, dialog, hidden ones, roles;
+an article inside an article, which is HTML's form of a reader's comment). Names of classes and ids only tell nodes apart. A page that shares its layout with no other page, or whose
+group's text doesn't vary, is judged by where its own text lies.
+
+Outlines and references are small (25 bytes an element); they meet in lookups that deal out hot hosts, statistics are combined in tasks before they are shuffled,
+and pages travel only if the wrappers are too large to be broadcast (by their measured size). Tree matching is exact: scores are shared between equal
+shapes, long lists of children are aligned in linear space.
 
 Blocks are the texts between block-level tags, with character references decoded and each run of white space one space; empty ones are left out, the others
 joined by a blank line.
 
-Cases: null html or one without text gives an empty text; a null URL, or one without ``://``, belongs to host ''; hosts with one page (or copies of one) have no
-template; repeated rows each give a row; broken markup is closed as browsers do, roughly; an unfinished tag at the end is dropped; an
-empty table gives an empty result; other columns are ignored.
+Cases: null html or one without text gives an empty text; a null URL, or one without ``://``, belongs to host ''; repeated rows each give a row, and count once for the
+wrapper; broken markup is closed as browsers do, roughly; of an unfinished tag at the end, the name and attributes are dropped and other text is kept; an
+empty table gives an empty result; other columns are ignored. Depth, length and number of elements are not bounded.
 """
 
 from __future__ import annotations
 
 import html as _html
-import json
-import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthspark.llm.common import cut, spread_lookup
 from hearthspark.llm.urlfilter import host_and_path
 
+#: Distinct pages of a group among which the reference is chosen. Statistics are of all pages.
 SAMPLE = 5
-#: Share of a host's sample pages in which a node must have the same text to be template.
-TEMPLATE_SHARE = 0.6
-#: Children lists with a larger product of lengths are matched in order, without the table of simple tree matching.
-MAX_TABLE = 250_000
+#: Share of the pages at a node that must have one text, and their least number, for a template node.
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 3
+#: Share of the varying text that an article or main element must hold, and that a container must hold of the one around it, to be the content element.
+ARTICLE_SHARE, INNER_SHARE = 0.5, 0.8
+#: Levels of the tree, from html and body, whose containers tell layouts apart.
+LAYOUT_DEPTH = 4
+#: Cells of a table of tree matching that is held at once; larger ones are computed in linear space.
+CELLS = 1 << 21
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video select textarea button title".split())
+#: Elements whose content is no markup: it ends at their own end tag only.
+RAW = frozenset("script style iframe textarea title noembed noframes xmp".split())
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption "
     "address header footer nav aside form fieldset details summary hr center head menu dialog search".split()
 )
-BOILER_TAGS = frozenset("nav header footer aside form menu dialog search fieldset head".split()) | RAW
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
-BOILER_WORDS = frozenset(
-    "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies respond disqus share sharing social "
-    "related newsletter subscribe subscription signup login search pagination pager toolbar widget skip copyright commentlist commentform usercomments readercomments "
-    "adbox adslot adbanner cookiebar cookiebanner sitenav mainnav topnav subnav sidenav navlinks pagenav siteheader sitefooter pageheader pagefooter leftbar rightbar topbar".split()
-)
-CONTAINERS = frozenset("body main article section div td center".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[A-Za-z/!?][^<>]*\Z", re.S)
+#: Elements that HTML itself sets apart from the main text, and those roles.
+APART = frozenset("nav header footer aside form fieldset menu dialog search head button select datalist noscript template".split()) | RAW
+ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
+CONTAINERS = frozenset("html body main article section div td center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[A-Za-z/][^<>]*\Z", re.S)
 _ATTR = re.compile(r"""([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNFINISHED = re.compile(r"""<[A-Za-z/][\w:-]*(?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"?|'[^']*'?|[^\s"']+))*""")
 #: An opening tag of the key ends open elements of these tags, up to the nearest of the limits.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Flags of a node.
+SET_APART, CONTAINER, ARTICLE, MAIN, HEADER, HEADING, TEMPLATE = (1 << i for i in range(7))
+NODE = np.dtype([("key", "<u8"), ("parent", "<i4"), ("text", "<u8"), ("chars", "<i4"), ("flags", "u1")])
+
+
+def _hash(s: str) -> int:
+    return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
+
+
+def _element(tag: str, attrs: str) -> tuple[str, int]:
+    """Key (tag, class and id names without numbers) and flags."""
+    key, apart, main = tag, tag in APART, tag == "main"
+    if "=" in attrs or "hidden" in attrs:
+        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
+        names = re.sub(r"\d+", "#", f"{found.get('class', '')} {found.get('id', '')}".lower()).split()
+        if names:
+            key = tag + "." + ".".join(sorted(set(names)))
+        role, style = found.get("role", "").lower(), found.get("style", "").replace(" ", "").lower()
+        main = main or role == "main"
+        if tag not in ("html", "body", "article", "main"):
+            apart = apart or role in ROLES or "hidden" in found or "display:none" in style or found.get("aria-hidden") == "true"
+    flags = SET_APART * apart | CONTAINER * (tag in CONTAINERS) | ARTICLE * (tag == "article") | MAIN * main | HEADER * (tag == "header") | HEADING * (tag in HEADINGS)
+    return key, flags
+
+
+class Outline:
+    """Block elements in page order: ``nodes`` (key, parent, hash and length of the own text, flags), ``children`` lists, and ``runs``, (node, text) in page order."""
+
+    def __init__(self, keys: list[str], parents: list[int], flags: list[int], runs: list[tuple[int, str]]) -> None:
+        self.runs = runs
+        own: dict[int, list[str]] = {}
+        for at, text in runs:
+            own.setdefault(at, []).append(text)
+        known = {k: _hash(k) for k in set(keys)}
+        self.nodes = np.zeros(len(keys), NODE)
+        self.nodes["key"], self.nodes["parent"], self.nodes["flags"] = [known[k] for k in keys], parents, flags
+        for at, texts in own.items():
+            self.nodes["text"][at], self.nodes["chars"][at] = _hash("\n".join(texts)) or 1, sum(map(len, texts))
+        top: set[str] = set()
+        paths = [""] * len(keys)
+        depth = [0] * len(keys)
+        for i in range(1, len(keys)):
+            depth[i] = depth[parents[i]] + 1
+            if depth[i] <= LAYOUT_DEPTH and flags[i] & (CONTAINER | SET_APART):
+                paths[i] = f"{paths[parents[i]]}/{keys[i]}"
+                top.add(paths[i])
+        self.layout = f"{_hash('|'.join(sorted(top))):016x}"
+
+
+def outline(text: str | None) -> Outline:
+    """Parses a page, without recursion."""
+    text = text or ""
+    keys, parents, flags, runs = ["#root"], [-1], [CONTAINER], []
+    parts: list[str] = []
+    # Per open element: tag, block it belongs to, place of the nearest open block, whether its texts are left out (it is inline and set apart).
+    tags, block, near, mute = ["#root"], [0], [0], [False]
+    opened: dict[str, int] = {}
+
+    def flush() -> None:
+        if parts:
+            run = " ".join(_html.unescape("".join(parts)).split())
+            parts.clear()
+            if run:
+                runs.append((block[-1], run))
+
+    def close(i: int) -> None:
+        """Ends the open elements from place ``i`` on."""
+        if any(t in BLOCK for t in tags[i:]):
+            flush()
+        for t in tags[i:]:
+            opened[t] -= 1
+        del tags[i:], block[i:], near[i:], mute[i:]
+
+    def last(ends: set[str], limits: set[str]) -> int:
+        """Place of the last open element of ``ends`` after any of ``limits``; 0 without one."""
+        if any(opened.get(t) for t in ends):
+            for i in range(len(tags) - 1, 0, -1):
+                if tags[i] in limits:
+                    break
+                if tags[i] in ends:
+                    return i
+        return 0
 
-
-class Node:
-    """An element; ``items``: texts and elements in page order."""
-
-    __slots__ = ("tag", "key", "boiler", "items")
-
-    def __init__(self, tag: str, attrs: str = "") -> None:
-        self.tag, self.key, self.boiler, self.items = tag, tag, tag in BOILER_TAGS, []
-        if attrs and "=" in attrs or " hidden" in attrs:
-            found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-            names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
-            if names:
-                self.key = tag + "." + ".".join(sorted(set(names)))
-            if tag not in ("html", "body", "article", "main"):
-                words = {w for n in names for w in re.split(r"[-_]+", n)}
-                style = found.get("style", "").replace(" ", "").lower()
-                self.boiler = self.boiler or bool(words & BOILER_WORDS) or found.get("role", "").lower() in BOILER_ROLES or "hidden" in found or "display:none" in style or found.get("aria-hidden") == "true"
-            if found.get("role", "").lower() == "main":
-                self.key, self.tag = "main", "main"
-
-
-def parse(text: str) -> Node:
-    """A tree of elements; raw-text elements are left out with their content."""
-    root = Node("#root")
-    stack, at = [root], 0
+    at = 0
     while m := _TOKEN.search(text, at):
-        if m.start() > at:
-            stack[-1].items.append(text[at : m.start()])
+        if m.start() > at and not mute[-1]:
+            parts.append(text[at : m.start()])
         at = m.end()
         if not m[2]:
+            if at == len(text) and re.match("<[A-Za-z/]", m[0]) and not m[0].endswith(">") and not mute[-1]:
+                parts.append(m[0][_UNFINISHED.match(m[0]).end() :])
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "main", "table") and tag not in BLOCK:
-                    break
+            if i := last({tag}, frozenset() if tag in BLOCK else frozenset({"article", "main", "table"})):
+                close(i)
             continue
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
             at = end.end() if end else len(text)
             continue
         if tag in _CLOSES:
-            ends, limits = _CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in limits:
-                    break
-                if stack[i].tag in ends:
-                    del stack[i:]
+            if i := last(*_CLOSES[tag]):
+                # The outermost of these ends: a row with its cells.
+                while i > 1 and tags[i - 1] in _CLOSES[tag][0]:
+                    i -= 1
+                close(i)
         elif tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-        node = Node(tag, m[3])
-        stack[-1].items.append(node)
+            if tags[near[-1]] == "p":
+                close(near[-1])
+            if (opened.get("button") or opened.get("select")) and (i := last({"button", "select"}, {"form"})):
+                close(i)
+        if tag == "br":
+            parts.append(" ")
+        if tag in VOID and tag not in BLOCK:
+            continue
+        key, flag = _element(tag, m[3])
+        if tag in BLOCK:
+            flush()
+            # What lies in an inline element that is left out is left out too.
+            keys.append(key)
+            parents.append(block[-1])
+            flags.append(flag | SET_APART * mute[-1])
         if tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-    if at < len(text):
-        stack[-1].items.append(text[at:])
-    return root
-
-
-def _clean(parts: list[str]) -> str:
-    return " ".join(_html.unescape("".join(parts)).split())
+            opened[tag] = opened.get(tag, 0) + 1
+            is_block = tag in BLOCK
+            block.append(len(keys) - 1 if is_block else block[-1])
+            near.append(len(tags) if is_block else near[-1])
+            mute.append(False if is_block else mute[-1] or bool(flag & SET_APART))
+            tags.append(tag)
+    if at < len(text) and not mute[-1]:
+        parts.append(text[at:])
+    flush()
+    return Outline(keys, parents, flags, runs)
+
+
+def _children(parents: np.ndarray) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in parents]
+    for i, p in enumerate(parents.tolist()):
+        if p >= 0:
+            out[p].append(i)
+    return out
 
 
-def blocks(node: Node, path: str = "", skip: frozenset[tuple[str, str]] = frozenset()) -> list[str]:
-    """Texts of the blocks under ``node``, without boilerplate elements and the (path, text) in ``skip``."""
-    out: list[str] = []
-    parts: list[str] = []
-
-    def flush(where: str) -> None:
-        text = _clean(parts)
-        parts.clear()
-        if text and (where, text) not in skip:
-            out.append(text)
+class Matcher:
+    """Simple tree matching: the largest number of node pairs with equal keys that keeps order and ancestry. Trees of equal shape share their scores."""
+
+    def __init__(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.shapes: list[tuple] = []
+        self.sizes: list[int] = []
+        self.memo: dict[tuple[int, int], int] = {}
+
+    def classes(self, nodes: np.ndarray, children: list[list[int]]) -> list[int]:
+        """Number of each node's shape."""
+        out, keys = [0] * len(nodes), nodes["key"].tolist()
+        for i in range(len(nodes) - 1, -1, -1):
+            shape = (keys[i], *[out[c] for c in children[i]])
+            if shape not in self.ids:
+                self.ids[shape] = len(self.shapes)
+                self.shapes.append(shape)
+                self.sizes.append(1 + sum(self.sizes[c] for c in shape[1:]))
+            out[i] = self.ids[shape]
+        return out
 
-    work: list[tuple] = [("in", node, path)]
-    while work:
-        what, x, where = work.pop()
-        if what == "text":
-            parts.append(x)
-        elif what == "flush":
-            flush(where)
-        else:
-            if x.boiler and x is not node:
-                # A heading in an article's own header is part of the article.
-                if x.tag == "header" and "/article" in where:
-                    heads = [y for y in _elements(x) if y.tag in ("h1", "h2", "h3", "h4", "h5", "h6")]
-                    work += [("in", y, where) for y in reversed(heads)]
+    def score(self, a: int, b: int) -> int:
+        """Of two shapes; 0 if the roots differ."""
+        if self.shapes[a][0] != self.shapes[b][0]:
+            return 0
+        if a == b:
+            return self.sizes[a]
+        work = [(a, b)]
+        while work:
+            x, y = work[-1]
+            if (x, y) in self.memo:
+                work.pop()
                 continue
-            if x.tag == "br":
-                parts.append(" ")
+            xs, ys = self.shapes[x][1:], self.shapes[y][1:]
+            # Equal shapes at either end match each other in some best matching.
+            lo = 0
+            while lo < min(len(xs), len(ys)) and xs[lo] == ys[lo]:
+                lo += 1
+            hi = 0
+            while hi < min(len(xs), len(ys)) - lo and xs[-1 - hi] == ys[-1 - hi]:
+                hi += 1
+            same = sum(self.sizes[c] for c in xs[:lo]) + sum(self.sizes[c] for c in xs[len(xs) - hi :])
+            xs, ys = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
+            kinds = set(ys)
+            missing = [(p, q) for p in set(xs) for q in kinds if p != q and self.shapes[p][0] == self.shapes[q][0] and (p, q) not in self.memo]
+            if missing:
+                work += missing
                 continue
-            here = f"{where}/{x.key}" if x.tag in BLOCK else where
-            if x.tag in BLOCK:
-                flush(where)
-                work.append(("flush", None, here))
-            for y in reversed(x.items):
-                work.append(("text", y, here) if isinstance(y, str) else ("in", y, here))
-    flush(path)
+            self.memo[x, y] = 1 + same + (int(_rows(self._weights(xs, ys), 0, len(xs), 0, len(ys))[-1]) if xs and ys else 0)
+            work.pop()
+        return self.memo[a, b]
+
+    def _known(self, p: int, q: int) -> int:
+        return self.sizes[p] if p == q else self.memo.get((p, q), 0)
+
+    def _weights(self, xs: tuple, ys: tuple):
+        """What gives the row of weights of a place in ``xs`` against all of ``ys``."""
+        kinds, where = np.unique(np.array(ys), return_inverse=True)
+        rows: dict[int, np.ndarray] = {}
+
+        def row(i: int) -> np.ndarray:
+            if xs[i] not in rows:
+                rows[xs[i]] = np.array([self._known(xs[i], q) for q in kinds.tolist()], np.int64)[where]
+            return rows[xs[i]]
+
+        return row
+
+    def align(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """Matched pairs of two outlines' nodes, roots first. Of matchings with as many pairs, one with more equal texts is taken."""
+        if len(self.shapes) > 200_000:
+            self.__init__()
+        below, above = _children(a["parent"]), _children(b["parent"])
+        x, y = self.classes(a, below), self.classes(b, above)
+        s, t = _texts(a, below), _texts(b, above)
+        pairs = [(0, 0)] if a["key"][0] == b["key"][0] else []
+        for i, j in pairs:
+            xs, ys = below[i], above[j]
+            if not xs or not ys:
+                continue
+            if len(xs) == len(ys) == 1:
+                if a["key"][xs[0]] == b["key"][ys[0]]:
+                    pairs.append((xs[0], ys[0]))
+                continue
+            kinds = {y[c] for c in ys}
+            for p in {x[c] for c in xs}:
+                for q in kinds:
+                    self.score(p, q)
+            shapes = self._weights(tuple(x[c] for c in xs), tuple(y[c] for c in ys))
+            texts = np.array([t[c] for c in ys], np.int64)
+            row = lambda k, xs=xs, shapes=shapes, texts=texts: (r := shapes(k)) * 2 + ((texts == s[xs[k]]) & (texts != 0) & (r > 0))
+            pairs += [(xs[k], ys[n]) for k, n in _best(row, len(xs), len(ys))]
+        return pairs
+
+
+def _texts(nodes: np.ndarray, children: list[list[int]]) -> list[int]:
+    """Hash of all text at and below each node; 0 without any."""
+    out = nodes["text"].tolist()
+    for i in range(len(out) - 1, -1, -1):
+        if children[i]:
+            found = (out[i], *[out[c] for c in children[i]])
+            out[i] = hash(found) & (2**63 - 1) or 1 if any(found) else 0
+        else:
+            out[i] &= 2**63 - 1
     return out
 
 
-def _elements(node: Node) -> Iterator[Node]:
-    work = [node]
+def _rows(row, lo: int, hi: int, left: int, right: int, table: list | None = None, back: bool = False) -> np.ndarray:
+    """Last row of the table of best sums of rows lo..hi and columns left..right, or of its mirror image; all rows go to ``table``."""
+    now = np.zeros(right - left + 1, np.int64)
+    if table is not None:
+        table.append(now)
+    for i in range(hi - 1, lo - 1, -1) if back else range(lo, hi):
+        w = row(i)[left:right]
+        new = now.copy()
+        np.maximum(new[1:], now[:-1] + (w[::-1] if back else w), out=new[1:])
+        now = np.maximum.accumulate(new)
+        if table is not None:
+            table.append(now)
+    return now
+
+
+def _best(row, n: int, m: int, cells: int = CELLS) -> list[tuple[int, int]]:
+    """Pairs (place, place), ascending in both, of the greatest sum of weights; large tables are halved, so that memory stays linear."""
+    out, work = [], [(0, n, 0, m)]
     while work:
-        x = work.pop()
-        yield x
-        work += [y for y in reversed(x.items) if not isinstance(y, str)]
+        lo, hi, left, right = work.pop()
+        if lo == hi or left == right:
+            continue
+        if hi - lo > 1 and (hi - lo + 1) * (right - left + 1) > cells:
+            mid = (lo + hi) // 2
+            cut_at = left + int(np.argmax(_rows(row, lo, mid, left, right) + _rows(row, mid, hi, left, right, back=True)[::-1]))
+            work += [(mid, hi, cut_at, right), (lo, mid, left, cut_at)]
+            continue
+        table: list[np.ndarray] = []
+        _rows(row, lo, hi, left, right, table)
+        i, j, found = hi - lo, right - left, []
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((lo + i, left + j))
+        out += reversed(found)
+    return out
 
 
-def _roots(root: Node) -> list[Node]:
-    """Outermost article elements outside boilerplate, else main elements."""
-    for tag in ("article", "main"):
-        found, work = [], [root]
-        while work:
-            x = work.pop()
-            if x.tag == tag:
-                found.append(x)
-            elif not x.boiler or x.tag == "head":
-                work += [y for y in reversed(x.items) if not isinstance(y, str)]
-        if found:
-            return found
-    return []
-
-
-@dataclass
-class Aligned:
-    """A block element of the wrapper: the own texts that the sample pages have there, and its children."""
-
-    key: str
-    boiler: bool
-    texts: list[str]
-    children: list[Aligned] = field(default_factory=list)
-    size: int = 1
-
-
-def outline(node: Node) -> Aligned:
-    """The tree of block elements with their own texts (inline elements are part of their block)."""
-
-    def make(x: Node, depth: int) -> Aligned:
-        parts: list[str] = []
-        out = Aligned(x.key, x.boiler, [])
-
-        def inline(y: Node) -> None:
-            for z in y.items:
-                if isinstance(z, str):
-                    parts.append(z)
-                elif z.tag == "br":
-                    parts.append(" ")
-                elif z.tag in BLOCK and depth < 200:
-                    out.children.append(make(z, depth + 1))
-                    parts.append("\0")
-                elif depth < 200:
-                    inline(z)
-
-        inline(x)
-        # Texts between children blocks are blocks of their own, as in blocks().
-        out.texts = ["\n".join(t for t in (_clean([p]) for p in "".join(parts).split("\0")) if t)]
-        out.size = 1 + sum(c.size for c in out.children)
-        return out
+def paths(nodes: np.ndarray) -> list[int]:
+    """Hash of each node's path of keys."""
+    out = [0] * len(nodes)
+    keys, parents = nodes["key"].tolist(), nodes["parent"].tolist()
+    for i in range(1, len(out)):
+        out[i] = hash((out[parents[i]], keys[i])) & (2**63 - 1)
+    return out
+
 
-    return make(node, 0)
+def apart(nodes: np.ndarray) -> np.ndarray:
+    """Whether a node lies in an element that HTML sets apart; headings in an article's header don't."""
+    out, flags, parents = np.zeros(len(nodes), bool), nodes["flags"].tolist(), nodes["parent"].tolist()
+    inside = [0] * len(nodes)  # 1: in an article; 2: in the header of one, where headings stay
+    for i in range(1, len(nodes)):
+        f, p = flags[i], parents[i]
+        inside[i] = inside[p]
+        if inside[p] == 2 and f & HEADING and not f & SET_APART:
+            continue
+        nested = f & ARTICLE and inside[p]
+        out[i] = out[p] or bool(f & SET_APART) or bool(nested)
+        if f & ARTICLE and not out[i]:
+            inside[i] = 1
+        elif f & HEADER and inside[p] == 1 and not out[p]:
+            inside[i] = 2
+        elif f & SET_APART:
+            inside[i] = 0 if inside[p] != 2 else inside[i]
+    return out
 
 
-def _match(a: Aligned, b: Aligned, memo: dict) -> int:
-    """Simple tree matching: the largest number of node pairs that keeps order and ancestry; 0 if the roots differ."""
-    if a.key != b.key:
+def content_path(nodes: np.ndarray, weight: np.ndarray) -> int:
+    """Path of the content element, by the weight (varying text) of each node; 0 if there is no text."""
+    parents, flags, path, out = nodes["parent"].tolist(), nodes["flags"].tolist(), paths(nodes), apart(nodes)
+    below = np.where(out, 0, weight).tolist()
+    for i in range(len(nodes) - 1, 0, -1):
+        below[parents[i]] += below[i]
+    total: dict[int, int] = {}
+    for i, p in enumerate(path):
+        if not out[i] and (i == 0 or path[parents[i]] != p):
+            total[p] = total.get(p, 0) + below[i]
+    if not below[0]:
         return 0
-    if (id(a), id(b)) not in memo:
-        memo[id(a), id(b)] = 1 + (_table(a.children, b.children, memo)[-1][-1] if a.children and b.children and len(a.children) * len(b.children) <= MAX_TABLE else 0)
-    return memo[id(a), id(b)]
-
-
-def _table(xs: list[Aligned], ys: list[Aligned], memo: dict) -> list[list[int]]:
-    m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i, x in enumerate(xs, 1):
-        row, above = m[i], m[i - 1]
-        for j, y in enumerate(ys, 1):
-            both = above[j - 1] + _match(x, y, memo)
-            row[j] = max(both, above[j], row[j - 1])
-    return m
-
-
-def align(a: Aligned, b: Aligned, memo: dict | None = None) -> None:
-    """Merges ``b`` into the wrapper ``a``: matched nodes gain b's text, others of ``a`` stay as they are."""
-    memo = {} if memo is None else memo
-    a.texts.append(b.texts[0])
-    xs, ys = a.children, b.children
-    if len(xs) * len(ys) > MAX_TABLE:
-        j = 0
-        for x in xs:
-            k = next((k for k in range(j, len(ys)) if ys[k].key == x.key), None)
-            if k is not None:
-                align(x, ys[k], memo)
-                j = k + 1
-        return
-    m = _table(xs, ys, memo)
-    i, j = len(xs), len(ys)
-    while i and j:
-        if m[i][j] == m[i - 1][j]:
-            i -= 1
-        elif m[i][j] == m[i][j - 1]:
-            j -= 1
-        else:
-            align(xs[i - 1], ys[j - 1], memo)
-            i, j = i - 1, j - 1
-
-
-def induce(pages: list[str]) -> dict:
-    """A host's wrapper: template nodes (path, text) and the path of the content element; empty for fewer than two differing pages."""
-    trees = [outline(parse(p)) for p in dict.fromkeys(pages)]
-    if len(trees) < 2:
-        return {}
-    # The page that matches the others best begins the wrapper, so an odd one among them does no harm.
-    memo: dict = {}
-    first = max(range(len(trees)), key=lambda i: (sum(_match(trees[i], x, memo) for x in trees if x is not trees[i]), -i))
-    n, wrapper = len(trees), trees.pop(first)
-    for tree in trees:
-        align(wrapper, tree)
-    template: list[tuple[str, str]] = []
-    weight: dict[str, int] = {}
-
-    def walk(x: Aligned, path: str) -> int:
-        here = path if x.key == "#root" else f"{path}/{x.key}"
-        if x.boiler and x.key != "#root":
-            return 0
-        usual = max(x.texts, key=x.texts.count)
-        constant = x.texts.count(usual) >= max(2, math.ceil(TEMPLATE_SHARE * n))
-        if constant and usual:
-            template.extend((here, t) for t in usual.split("\n"))
-        own = 0 if constant else sum(map(len, x.texts))
-        below = own + sum(walk(c, here) for c in x.children)
-        weight[here] = weight.get(here, 0) + below
-        return below
-
-    total = walk(wrapper, "")
-    # The deepest container that holds nine tenths of the varying text.
-    inner = [p for p, w in weight.items() if total and w * 10 >= total * 9 and p.rsplit("/", 1)[-1].split(".")[0] in CONTAINERS]
-    return {"template": template, "content": max(inner, key=lambda p: (p.count("/"), p)) if inner else ""}
-
-
-def extract(text: str | None, wrapper: dict | None = None) -> str:
-    """Main text of one page."""
-    if not text:
-        return ""
-    root = parse(text)
-    if roots := _roots(root):
-        return "\n\n".join(t for r in roots for t in blocks(r, "/article" if r.tag == "article" else ""))
-    skip, content = frozenset(), ""
-    if wrapper:
-        skip, content = frozenset(map(tuple, wrapper["template"])), wrapper["content"]
-    found, work = [], [(root, "")]
-    while work and content:
-        x, path = work.pop()
-        here = path if x.tag == "#root" else f"{path}/{x.key}" if x.tag in BLOCK else path
-        if here == content and x.tag in BLOCK:
-            found.append((x, path))
-        elif not x.boiler:
-            work += [(y, here) for y in reversed(x.items) if not isinstance(y, str)]
-    return "\n\n".join(t for x, path in (found or [(root, "")]) for t in blocks(x, path, skip))
-
-
-def _induce_host(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("rn")
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(induce(rows["html"].tolist()), ensure_ascii=True)]})
+    for kind in (ARTICLE, MAIN):
+        found = {path[i]: total[path[i]] for i in range(len(nodes)) if flags[i] & kind and not out[i]}
+        best = max(found, key=found.get, default=0)
+        if best and found[best] >= ARTICLE_SHARE * below[0]:
+            return best
+    inner: dict[int, set[int]] = {}
+    for i in range(1, len(nodes)):
+        if flags[i] & CONTAINER and not out[i]:
+            inner.setdefault(path[parents[i]], set()).add(path[i])
+    now = 0
+    while best := max(sorted(inner.get(now, ())), key=total.get, default=0):
+        if total[best] < INNER_SHARE * total[now]:
+            break
+        now = best
+    return now
+
+
+def induce(reference: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The wrapper (nodes with TEMPLATE set, path of the content element) of a reference and, for each of its nodes, ``counts``: pages there, pages with its text, varying characters."""
+    nodes = reference.copy()
+    template = (nodes["text"] != 0) & (counts[:, 0] >= TEMPLATE_PAGES) & (counts[:, 1] >= TEMPLATE_SHARE * counts[:, 0])
+    nodes["flags"] |= np.where(template, TEMPLATE, 0).astype("u1")
+    return nodes, content_path(nodes, np.where(template, 0, counts[:, 2]))
+
+
+def tally(matcher: Matcher, reference: np.ndarray, page: np.ndarray, counts: np.ndarray) -> None:
+    """Adds what a page has at the reference's nodes. Text of nodes that match nothing counts for the nearest one around them that does."""
+    to = np.full(len(page), -1)
+    for i, j in matcher.align(reference, page):
+        to[j] = i
+    same = np.zeros(len(page), bool)
+    same[to >= 0] = page["text"][to >= 0] == reference["text"][to[to >= 0]]
+    counts[to[to >= 0], 0] += 1
+    counts[to[same], 1] += 1
+    parents = page["parent"].tolist()
+    for j in range(1, len(page)):
+        if to[j] < 0:
+            to[j] = to[parents[j]]
+    # A whole page of one text varies nowhere; the text of the reference itself counts as varying, and is set aside at template nodes.
+    np.add.at(counts[:, 2], to[to >= 0], page["chars"][to >= 0])
+
+
+def extract(text: str | None, wrapper: tuple[np.ndarray, int] | None = None, matcher: Matcher | None = None) -> tuple[str, bool]:
+    """Main text of one page, and whether its group's wrapper found the content."""
+    page = outline(text)
+    return _read(page, wrapper, matcher or Matcher())
+
+
+def _read(page: Outline, wrapper: tuple[np.ndarray, int] | None, matcher: Matcher) -> tuple[str, bool]:
+    nodes, path, skip, content = page.nodes, paths(page.nodes), set(), 0
+    if wrapper and wrapper[1]:
+        reference, content = wrapper
+        for i, j in matcher.align(reference, nodes):
+            if reference["flags"][i] & TEMPLATE and reference["text"][i] == nodes["text"][j]:
+                skip.add(j)
+    out = apart(nodes)
+    found = bool(content) and any(p == content and not out[i] for i, p in enumerate(path))
+    if not found:
+        skip, content = set(), content_path(nodes, nodes["chars"])
+    parents, inside = nodes["parent"].tolist(), [False] * len(nodes)
+    for i in range(len(nodes)):
+        inside[i] = path[i] == content or (i > 0 and inside[parents[i]])
+    return "\n\n".join(t for i, t in page.runs if inside[i] and not out[i] and i not in skip), found
+
+
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) to (grp, page, nodes)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            groups, pages, nodes = [], [], []
+            for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                found = outline(html)
+                groups.append(f"{host}|{found.layout}")
+                pages.append(_hash(html) - 2**63)
+                nodes.append(found.nodes.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array(pages, pa.int64()), pa.array(nodes, pa.binary())], names=["grp", "page", "nodes"])
+
+
+def _reference(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a group's sample, the page that matches the others best."""
+    rows = rows.sort_values("page")
+    trees, matcher = [np.frombuffer(b, NODE) for b in rows["nodes"]], Matcher()
+
+    def fit(i: int) -> int:
+        return sum(2 * len(p := matcher.align(trees[i], x)) + sum(int(trees[i]["text"][a] == x["text"][b] != 0) for a, b in p) for k, x in enumerate(trees) if k != i)
+
+    best = max(range(len(trees)), key=lambda i: (fit(i), -i)) if len(trees) > 1 else 0
+    return pd.DataFrame({"grp": [rows["grp"].iloc[0]], "reference": [rows["nodes"].iloc[best]]})
+
+
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, nodes, reference) to (grp, node, pages, same, chars), combined in the task."""
+    matcher, sums, held = Matcher(), {}, 0
+
+    def combined() -> pa.RecordBatch:
+        rows = [(g, i, *c) for g, (_, counts) in sums.items() for i, c in enumerate(counts.tolist()) if c[0] or c[2]]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["grp", "node", "pages", "same", "chars"])
+
+    for batch in batches:
+        for grp, nodes, reference in zip(*(batch.column(i) for i in range(3)), strict=True):
+            g = grp.as_py()
+            if g not in sums:
+                tree = np.frombuffer(reference.as_py(), NODE)
+                sums[g] = tree, np.zeros((len(tree), 3), np.int64)
+                held += len(tree)
+            tally(matcher, sums[g][0], np.frombuffer(nodes.as_py(), NODE), sums[g][1])
+            if held > 200_000:
+                yield combined()
+                sums, held = {}, 0
+    yield combined()
+
+
+def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, n, reference, counts) to (grp, n, wrapper): the content path in front of the nodes."""
+    for batch in batches:
+        out = []
+        for reference, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            tree = np.frombuffer(reference, NODE)
+            sums = np.zeros((len(tree), 3), np.int64)
+            for c in counts:
+                sums[c["node"]] = c["pages"], c["same"], c["chars"]
+            nodes, path = induce(tree, sums)
+            out.append(np.int64(path).tobytes() + nodes.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["grp", "n", "wrapper"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, host, html) to the same with grp for the host."""
+    for batch in batches:
+        groups = [f"{host}|{outline(html).layout}" for host, html in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(groups, pa.string()), batch.column(3)], names=["page_id", "url", "grp", "html"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str | None, dict | None] = {}
+    matcher, known = Matcher(), {}
     for batch in batches:
-        texts = []
-        for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if wrapper not in known:
-                if len(known) > 1000:
+        texts, by = [], []
+        for html, blob in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if blob not in known:
+                if len(known) > 200:
                     known.clear()
-                known[wrapper] = json.loads(wrapper) if wrapper else None
-            texts.append(extract(page, known[wrapper]).encode("utf-8", "replace").decode())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                known[blob] = (np.frombuffer(blob[8:], NODE), int.from_bytes(blob[:8], "little")) if blob else None
+            text, found = extract(html, known[blob], matcher)
+            texts.append(text.encode("utf-8", "replace").decode())
+            by.append(found)
+        cols = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(by, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars", "by_wrapper"])
+
+
+def wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
+    """(grp, n, wrapper) of each group of two or more distinct pages; n: the rows it has."""
+    rows = cut(pages.filter(F.col(html_col).isNotNull()).select(host_col, html_col).mapInArrow(_outlines, "grp string, page long, nodes binary"))
+    distinct = cut(rows.groupBy("grp", "page").agg(F.first("nodes").alias("nodes"), F.count(F.lit(1)).alias("n")))
+    groups = distinct.groupBy("grp").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pages")).filter("pages > 1")
+    # The rank's limit is applied in each task before the shuffle, so a group sends at most ``sample`` outlines per task.
+    few = distinct.select("grp", "page", "nodes", F.row_number().over(Window.partitionBy("grp").orderBy("page")).alias("rn")).filter(F.col("rn") <= sample)
+    found = few.groupBy("grp").applyInPandas(_reference, "grp string, reference binary")
+    references = cut(groups.join(found, "grp"))
+    met = spread_lookup(distinct, references, "grp", "pages", "page", ["reference"]).filter("reference is not null")
+    counts = met.select("grp", "nodes", "reference").mapInArrow(_tallies, "grp string, node int, pages long, same long, chars long")
+    counts = counts.groupBy("grp", "node").agg(*[F.sum(c).alias(c) for c in ("pages", "same", "chars")])
+    # A group has as many counts as its reference has nodes.
+    lists = counts.groupBy("grp").agg(F.collect_list(F.struct("node", "pages", "same", "chars")).alias("counts"))
+    return cut(references.join(lists, "grp").select("grp", "n", "reference", "counts").mapInArrow(_wrappers, "grp string, n long, wrapper binary"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """``page_id``, ``url``, ``text``, ``n_chars`` of every row."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_and_path(F.col("url"))[0])
-    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    # The rank's limit is applied in each task before the shuffle, so a host sends at most ``sample`` pages per task.
-    first = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html"))
-    few = rows.filter("html is not null").select("host", "html", F.row_number().over(first).alias("rn")).filter(F.col("rn") <= sample)
-    wrappers = few.groupBy("host").applyInPandas(_induce_host, "host string, wrapper string")
-    known = cut(counts.join(wrappers, "host", "left"))
-    rows = rows.withColumn("row_id", F.monotonically_increasing_id())
-    met = spread_lookup(rows, known, "host", "n", "row_id", ["wrapper"])
-    return met.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    """``page_id``, ``url``, ``text``, ``n_chars`` of every row, and ``by_wrapper``, whether a wrapper found its content."""
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_and_path(F.col(url_col))[0].alias("host"), F.col(html_col).alias("html"))
+    known = wrappers(rows, sample=sample)
+    grouped = rows.mapInArrow(_grouped, "page_id long, url string, grp string, html string")
+    met = spread_lookup(grouped, known, "grp", "n", "page_id", ["wrapper"])
+    return met.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, by_wrapper boolean")

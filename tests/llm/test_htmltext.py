@@ -1,38 +1,135 @@
+import random
+from functools import cache
+
+import numpy as np
+
 from hearthspark.llm import htmltext as h
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav>
-<!-- ad 1 --><div class="ad">buy</div><header>site</header><article><h1>T &amp;
- U</h1><p><b>one<br><p>two&nbsp;&lt;b&gt; &#233;</p><aside>side</aside><div class="cookie-notice">cookies</div><section id="comments"><p>reader</p></section><ul><li>a<li>b</ul></article><footer>&copy; f</footer>"""
+<!-- ad 1 --><div class="ad">buy</div><header>site</header><article><header><h1>T &amp;
+ U</h1><p>by line</p></header><p><b>one<br><p>two&nbsp;&lt;b&gt; &#233;</p><aside>side</aside><div role=alert>cookies</div><article><p>reader</p></article><ul><li>a<li>b</ul></article><footer>&copy; f</footer>"""
+
+
+def text(page, *wrapper):
+    return h.extract(page, *wrapper)[0]
+
+
+def test_single_pages():
+    assert text(PAGE) == "T & U\n\none\n\ntwo <b> é\n\na\n\nb"
+    assert text(None) == text("") == text("<nav>x</nav>") == text(" <p> </p>") == ""
+    assert text("plain <b>text</b> 1 < 2 <div") == "plain text 1 < 2" and text("a <b and c") == "a and c" and text("a <a href='x' t") == "a t"
+    assert text("<article><p>cut off &am") == "cut off &am"
+
+
+def test_nothing_else_is_dropped():
+    assert text("<article><p>x <math><mi>y</mi></math> <svg><text>z</text></svg></p></article>") == "x y z"
+    assert text("<article><p>a</p><button>go<p>b</p><video>c<p>d</p><select><option>o<p>e</article>") == "a\n\nb\n\nc\n\nd\n\ne"
+    assert text('<article class="breaking-alert"><div class="social-policy">kept</div><div class="ads">kept too</div></article>') == "kept\n\nkept too"
+    table = "<article><table>" + "".join(f"<tr><td>{i}<td>b" for i in range(3)) + "</table></article>"
+    assert text(table) == "0\n\nb\n\n1\n\nb\n\n2\n\nb"
+
+
+def test_deep_and_long_pages():
+    assert text("<article>" + "<span>" * 5000 + "deep" + "</span>" * 5000) == "deep" and text("<p>" + "<b>" * 5000 + "open") == "open"
+    nested = "<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000
+    assert text(nested) == "deep"
+    a, b = (h.outline(nested + f"<p>{i}").nodes for i in (1, 2))
+    assert len(h.Matcher().align(a, b)) == len(a) == 5003
+    rows = lambda ns: h.outline("<table>" + "".join(f"<tr><td>{i}<td>x{i % 7}" for i in ns)).nodes
+    a, b = rows(range(3000)), rows(range(500, 3500))
+    pairs = h.Matcher().align(a, b)
+    assert len(pairs) == len(a) and sorted({i - j for i, j in pairs}) == [0]  # as many pairs as there are nodes leave no choice
+    a, b = rows(range(3000)), rows(range(500, 2500))
+    same = [(i, j) for i, j in h.Matcher().align(a, b) if a["text"][i] == b["text"][j] != 0]
+    assert len(same) == 4000  # the equal rows meet
+
+
+def brute(a, b):
+    """Simple tree matching of (key, children) trees, as it is defined."""
+
+    @cache
+    def match(x, y):
+        if x[0] != y[0]:
+            return 0
+        m = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
+        for i, p in enumerate(x[1], 1):
+            for j, q in enumerate(y[1], 1):
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + match(p, q))
+        return 1 + m[-1][-1]
+
+    return match(a, b)
+
+
+def as_tree(nodes, children, i=0):
+    return int(nodes["key"][i]), tuple(as_tree(nodes, children, c) for c in children[i])
+
+
+def random_page(rng, depth=0):
+    out = ""
+    for _ in range(rng.randint(0, 4) if depth < 4 else 0):
+        tag = rng.choice(["div", "ul", "section", "h2"] if depth < 3 else ["p", "h3"])
+        out += f"<{tag}>{rng.choice(['', 'x', 'y'])}{random_page(rng, depth + 1)}</{tag}>"
+    return out
+
+
+def test_matching_is_that_of_the_definition():
+    rng, matcher = random.Random(3), h.Matcher()
+    for _ in range(150):
+        a, b = (h.outline(random_page(rng)).nodes for _ in range(2))
+        below, above = h._children(a["parent"]), h._children(b["parent"])
+        want = brute(as_tree(a, below), as_tree(b, above))
+        assert matcher.score(matcher.classes(a, below)[0], matcher.classes(b, above)[0]) == want
+        pairs = matcher.align(a, b)
+        assert len(pairs) == want and all(a["key"][i] == b["key"][j] for i, j in pairs)
+        of = dict(pairs)
+        assert all(of[int(a["parent"][i])] == b["parent"][j] for i, j in pairs if i) and len(set(of.values())) == len(of)
+        assert [j for _, j in sorted(pairs)] == sorted(of.values())  # page order is kept
 
 
-def test_article():
-    assert h.extract(PAGE) == "T & U\n\none\n\ntwo <b> é\n\na\n\nb"
-    assert h.extract(None) == h.extract("") == h.extract("<nav>x</nav>") == ""
-    assert h.extract("plain <b>text</b> 1 < 2 <div") == "plain text 1 < 2"
-    assert h.extract("<article><p>cut off &am") == "cut off &am"
+def test_halved_tables_are_exact():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        w = rng.integers(0, 4, rng.integers(1, 12, 2))
+        total = lambda pairs, w=w: sum(int(w[p]) for p in pairs)
+        whole, halved = (h._best(lambda i, w=w: w[i], *w.shape, cells) for cells in (10**6, 4))
+        assert total(whole) == total(halved) == h._rows(lambda i, w=w: w[i], 0, len(w), 0, w.shape[1])[-1]
+        assert halved == sorted(halved) and len({j for _, j in halved}) == len(halved)
 
 
-def site(i):
-    return f'<body><div id="top">Always here</div><div id="main"><h2>Story {i}</h2><p>Text number {i} with words of its own {i * 7}.</p><p>Signed by the desk</p></div><div class="footer">x</div></body>'
+def plain(i):
+    """A site without article elements."""
+    return f'<body><div id="top">Always here</div><div id="main"><h2>Story {i}</h2><p>Text number {i} with words of its own {i * 7}.</p><p>Signed by the desk</p></div><div class="end">x</div></body>'
 
 
-def test_induction_finds_template_and_content():
-    wrapper = h.induce([site(i) for i in range(4)])
-    assert wrapper["content"] == "/body/div.main" and ("/body/div.top", "Always here") in map(tuple, wrapper["template"])
-    assert h.extract(site(9), wrapper) == "Story 9\n\nText number 9 with words of its own 63."
-    assert h.induce([site(1)] * 3) == {}  # copies of one page tell nothing
+def article(i):
+    """A site with them, a fixed notice inside and varying adverts outside."""
+    more = "".join(f"<p>More of {i}, {k}.</p>" for k in range(i % 4))
+    return f'<body><div class="b">Buy {i}</div><article><h1>Story {i}</h1><div>Read our terms first</div><p>Text number {i} with many words of its own {i * 7}.</p>{more}</article></body>'
 
 
-def test_matching_keeps_order():
-    a, b = (h.outline(h.parse(x)) for x in ("<div><p>1</p><ul></ul><p>2</p></div>", "<div><p>1</p><p>2</p></div>"))
-    assert h._match(a, b, {}) == 4  # root, div and two paragraphs
+def teasers(i):
+    """The main text is in a div, articles are teasers."""
+    body = "".join(f"<p>Paragraph {k} of the long text {i}, with words and more words.</p>" for k in range(8))
+    return f'<body><div class="text">{body}</div><div class="latest"><article>Teaser {i}</article><article>Other {i + 1}</article></div></body>'
 
 
 def test_rows(spark):
-    rows = [(i, f"http://h.example/{i}", site(i), "x") for i in range(6)] + [(7, None, None, "x"), (None, "http://h.example/z", PAGE, "x"), (7, None, None, "x"), (8, "http://solo.example/", "<p>" + "word " * 100_000, "x")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    rows = [(i, f"http://h.example/{i}", plain(i), "x") for i in range(6)] + [(7, None, None, "x"), (None, "http://h.example/z", PAGE, "x"), (7, None, None, "x"), (8, "http://solo.example/", "<p>" + "word " * 100_000, "x")]
+    rows += [(10 + i, "http://one.example/", plain(1), "x") for i in range(3)]  # copies of one page tell nothing
+    # Two layouts on one host, and a third.
+    rows += [(100 + i, f"http://two.example/{i}", article(i), "x") for i in range(20)] + [(200 + i, f"http://two.example/t/{i}", teasers(i), "x") for i in range(5)]
+    rows += [(300, "http://deep.example/1", "<article>" + "<div>" * 3000 + "a", "x"), (301, "http://deep.example/2", "<article>" + "<div>" * 3000 + "b", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string").repartition(5)
     got = h.main_text(df).collect()
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
-    by = {r["page_id"]: r["text"] for r in got}
-    assert by[3] == "Story 3\n\nText number 3 with words of its own 21." and by[7] == "" and by[None] == h.extract(PAGE) and len(by[8]) == 499_999
+    by = {r["page_id"]: r for r in got}
+    assert by[3]["text"] == "Story 3\n\nText number 3 with words of its own 21." and by[3]["by_wrapper"]
+    assert by[7]["text"] == "" and by[None]["text"] == text(PAGE) and by[8]["n_chars"] == 499_999 and not by[8]["by_wrapper"]
+    assert "Signed by the desk" in by[10]["text"] and not by[10]["by_wrapper"]
+    for i in range(20):
+        want = [f"Story {i}", f"Text number {i} with many words of its own {i * 7}.", *[f"More of {i}, {k}." for k in range(i % 4)]]
+        assert by[100 + i]["text"] == "\n\n".join(want) and by[100 + i]["by_wrapper"]
+    for i in range(5):
+        assert by[200 + i]["text"].count("\n\n") == 7 and "Teaser" not in by[200 + i]["text"]
+    assert (by[300]["text"], by[301]["text"]) == ("a", "b")
     assert h.main_text(df.limit(0)).count() == 0
