@@ -1,48 +1,55 @@
-"""Operator 6, toxicity by a linear-chain conditional random field.
-
-Labels are per document, so token labels are derived: over a bounded sample of labelled training texts, each token's features (the word and its
-prefixes) are counted by class, and those whose surplus in toxic texts passes a likelihood-ratio test over all features are the
-lexicon; in toxic texts, tokens with a lexicon feature are labelled toxic, all other tokens are not. On these labelled tokens a
-two-state chain (feature weights, bias, transitions) is fitted by maximum conditional likelihood. Every whole text is then
-tagged: forward-backward gives each token's marginal, runs of tokens without lexicon features are crossed by powers of one
-transfer matrix. A text's score is a logistic function, fitted on the training texts, of its largest marginal and of the sum of
-marginals at tokens with lexicon features.
-
-The model (lexicon, weights) is bounded by ``max_train`` and ``max_features`` and goes to the workers by value; texts are scored where they lie,
-without a shuffle.
-
-Cases: null and empty texts get the score of texts without lexicon tokens; without training rows of both classes the score is
-constant, the share of toxic training rows (0 if none); a null id's text is empty; repeated rows each give a row; labels of unknown ids and null labels are ignored;
-an empty table gives an empty result; columns other than the named ones are never read.
+"""Operator 6, toxicity by a linear-chain conditional random field with hidden token states.
+
+Each token is clean or toxic. All tokens have features: the word, its prefixes and its end, and the words beside it, hashed to SLOTS weights. Labels are
+per document, so token labels are those that a document's label implies: in a clean document every token is clean, in a toxic one at least one
+token is not, and which is left to the chain (a hidden-state field). The weights maximise the conditional likelihood of the labels, sum of -log Z over
+clean and of log(1 - 1/Z) over toxic documents, where the all-clean path has weight one: forward-backward gives each token's
+marginal and with it the gradient. A document's score is the chain's probability of any toxic token; spans are the tokens whose marginal is high.
+
+That likelihood is not concave, so the fit begins from evidence: features are counted by class, and those whose surplus in toxic documents passes a likelihood-ratio test over all
+features start at their log odds, the others at zero and under a stronger ridge, which leaves them to many documents' evidence.
+
+The fit is distributed: the training texts, at most ``max_train`` labelled rows and whole, are packed into arrays of token numbers once; each step of L-BFGS is
+a job whose tasks return one gradient each (half a megabyte). The driver holds weights and a few gradients, no texts. The model's size is fixed, it goes to the workers
+by value; texts are scored where they lie, without a shuffle. Chains are cut into segments of SEGMENT tokens whose transfer
+matrices are computed side by side, so long texts cost what their length costs.
+
+Cases: null and empty texts have score zero; without training rows of both classes the score is constant, the share of toxic training rows (0 if
+none); repeated rows each give a row; labels of unknown ids and null labels are ignored, of several labels of an id the larger counts; an empty table gives
+an empty result; columns other than the named ones are never read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthspark.llm.common import cut
 
-#: Bounds of the fit: labelled texts used, and lexicon features kept.
+#: Bound of the fit: labelled rows used.
 MAX_TRAIN = 12_000
-MAX_FEATURES = 5_000
 FOLDS = 5
-PREFIXES = (3, 4, 5, 6)
-#: Chance of any false lexicon feature, over all features tested.
-ALPHA = 0.05
-SEGMENT = 32
+#: Weights of hashed features.
+SLOTS = 1 << 17
+PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3,)
+#: Weight of the squared norm against the likelihood, of features with and without evidence of their own; chance of any false evidence; steps of the fit.
+RIDGE, WEAK_RIDGE, ALPHA, STEPS = 0.5, 50.0, 0.05, 20
+SEGMENT = 64
+#: Tokens that are held side by side, texts of a pack, and tasks of the fit.
+CHUNK, PACK, TASKS = 200_000, 256, 12
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 250_000
+_OWN = 1 + len(PREFIXES) + len(SUFFIXES)
 
 
 def fold(id_col: str, folds: int = FOLDS) -> Column:
@@ -50,9 +57,11 @@ def fold(id_col: str, folds: int = FOLDS) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def features(word: str) -> list[str]:
-    """The word itself and its proper prefixes, which stand for word stems."""
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+def slots(word: str) -> list[int]:
+    """Of a word: slots of the word, its prefixes and its end (SLOTS where it is too short), then of a word before and of a word after that is this one."""
+    w = word.lower()
+    names = [f"={w}", *(f"{w[:n]}*" if len(w) > n else "" for n in PREFIXES), *(f"*{w[-n:]}" if len(w) > n else "" for n in SUFFIXES), f"<{w}", f">{w}"]
+    return [xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) % SLOTS if x else SLOTS for x in names]
 
 
 def least_shingle(text: Column, n: int = 5) -> Column:
@@ -61,212 +70,307 @@ def least_shingle(text: Column, n: int = 5) -> Column:
     return F.array_min(F.transform(F.arrays_zip(*[F.slice(hashes, i + 1, 1 << 30).alias(f"h{i}") for i in range(n)]), lambda x: F.xxhash64(x)))
 
 
+@dataclass
+class Chains:
+    """Figures of several chains: ``log_z`` of each; if asked for, ``marginals`` of all tokens in a row and ``pairs``, expected moves (0 to 1, 1 to 0, 1 to 1) of each."""
+
+    log_z: np.ndarray
+    marginals: np.ndarray | None = None
+    pairs: np.ndarray | None = None
+
+
+def run_chains(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, full: bool = False) -> Chains:
+    """Forward (and backward) over chains that stand in a row. ``emit``: log weight of each token's toxic state; ``trans``: log weights of moves to
+    toxic, from it and of staying; the clean state, the move from clean to clean and the place before the first token count zero."""
+    n_seg = -(-lengths // SEGMENT)
+    first = np.concatenate([[0], np.cumsum(n_seg)])
+    size, starts = int(first[-1]), np.concatenate([[0], np.cumsum(lengths)])
+    where = np.repeat(first[:-1] * SEGMENT - starts[:-1], lengths) + np.arange(len(emit))
+    e, inside = np.ones(size * SEGMENT), np.zeros(size * SEGMENT, bool)
+    e[where], inside[where] = np.exp(np.clip(emit, -40, 40)), True
+    e, inside = e.reshape(size, SEGMENT).T.copy(), inside.reshape(size, SEGMENT).T.copy()
+    to, out, stay = np.exp(np.clip(trans, -20, 20))
+    # Transfer matrices of the segments, from state i to state j, up to the factor exp(scale).
+    m = np.zeros((2, 2, size))
+    m[0, 0] = m[1, 1] = 1
+    scale = np.zeros(size)
+    for t in range(SEGMENT):
+        a, b = m[:, 0] + m[:, 1] * out, (m[:, 0] * to + m[:, 1] * stay) * e[t]
+        top = np.maximum(a.max(axis=0), b.max(axis=0))
+        on = inside[t]
+        m[:, 0], m[:, 1] = np.where(on, a / top, m[:, 0]), np.where(on, b / top, m[:, 1])
+        scale += np.where(on, np.log(top), 0)
+    flat = m.reshape(4, size).T.tolist()
+    log_z, begin = np.zeros(len(lengths)), np.zeros((size, 2))
+    for d in range(len(lengths)):
+        x, y, logs = 1.0, 0.0, 0.0
+        for s in range(first[d], first[d + 1]):
+            begin[s] = x, y
+            a, b, c, f = flat[s]
+            x, y = x * a + y * c, x * b + y * f
+            z = x + y
+            x, y, logs = x / z, y / z, logs + np.log(z) + scale[s]
+        log_z[d] = max(logs, 0.0)
+    if not full:
+        return Chains(log_z)
+    end = np.ones((size, 2))
+    for d in range(len(lengths)):
+        x, y = 0.5, 0.5
+        for s in range(first[d + 1] - 1, first[d] - 1, -1):
+            end[s] = x, y
+            a, b, c, f = flat[s]
+            x, y = a * x + b * y, c * x + f * y
+            x, y = x / (x + y), y / (x + y)
+    forward, backward = np.zeros((SEGMENT + 1, 2, size)), np.zeros((SEGMENT, 2, size))
+    forward[0] = begin.T
+    for t in range(SEGMENT):
+        x, y = forward[t]
+        a, b = x + y * out, (x * to + y * stay) * e[t]
+        forward[t + 1] = np.where(inside[t], np.stack([a, b]) / (a + b), forward[t])
+    backward[-1] = end.T
+    for t in range(SEGMENT - 1, 0, -1):
+        x, y = backward[t]
+        a, b = x + to * e[t] * y, out * x + stay * e[t] * y
+        backward[t - 1] = np.where(inside[t], np.stack([a, b]) / (a + b), backward[t])
+    both = forward[1:] * backward
+    marginals = (both[:, 1] / both.sum(axis=1)).T.ravel()[where]
+    x, y = forward[:-1, 0], forward[:-1, 1]
+    moves = np.stack([x * to * e * backward[:, 1], y * out * backward[:, 0], y * stay * e * backward[:, 1]])
+    moves = np.where(inside, moves / (x * backward[:, 0] + moves.sum(axis=0)), 0).sum(axis=1)
+    pairs = np.zeros((len(lengths), 3))
+    for k in range(3):
+        pairs[:, k] = np.add.reduceat(np.append(moves[k], 0), np.minimum(first[:-1], size)) * (n_seg > 0)
+    return Chains(log_z, marginals, pairs)
+
+
+def emissions(u: np.ndarray, before: np.ndarray, after: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, bias: float) -> np.ndarray:
+    """Log weights of the tokens' toxic states: of the word, of the word before and of the word after, within each chain."""
+    emit = u[tokens] + bias
+    if len(tokens) > 1:
+        ends = np.cumsum(lengths)
+        inner = np.ones(len(tokens), bool)
+        inner[ends[(ends > 0) & (ends < len(tokens))]] = False  # the first tokens of later chains
+        link = inner[1:]
+        emit[1:] += before[tokens[:-1]] * link
+        emit[:-1] += after[tokens[1:]] * link
+    return emit
+
+
+def objective(theta: np.ndarray, ids: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log-likelihood of the labels and its gradient. ``theta``: SLOTS weights, one that stays zero, bias and three moves; ``ids``: slots() of each distinct word."""
+    w, bias, trans = theta[: SLOTS + 1], theta[SLOTS + 1], theta[SLOTS + 2 :]
+    u, before, after = w[ids[:, :_OWN]].sum(axis=1), w[ids[:, _OWN]], w[ids[:, _OWN + 1]]
+    found = run_chains(emissions(u, before, after, tokens, lengths, bias), lengths, trans, full=True)
+    z = np.maximum(found.log_z, 1e-12)
+    value = float(np.where(toxic, np.log(-np.expm1(-z)), -found.log_z).sum())
+    c = np.where(toxic, 1 / np.expm1(np.minimum(z, 700)), -1.0)
+    d = np.repeat(c, lengths) * found.marginals
+    grad = np.zeros_like(theta)
+    per = np.bincount(tokens, d, len(ids))
+    link = np.ones(max(len(tokens) - 1, 0), bool)
+    ends = np.cumsum(lengths)
+    link[ends[(ends > 0) & (ends < len(tokens))] - 1] = False
+    left, right = np.bincount(tokens[:-1], d[1:] * link, len(ids)), np.bincount(tokens[1:], d[:-1] * link, len(ids))
+    grad[: SLOTS + 1] = np.bincount(ids.ravel(), np.concatenate([np.repeat(per[:, None], _OWN, axis=1), left[:, None], right[:, None]], axis=1).ravel(), SLOTS + 1)
+    grad[SLOTS], grad[SLOTS + 1], grad[SLOTS + 2 :] = 0.0, d.sum(), c @ found.pairs
+    return value, grad
+
+
+def maximise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, steps: int = STEPS, memory: int = 8, small: float = 1e-4) -> np.ndarray:
+    """L-BFGS; ends when a step gains less than ``small`` of the value."""
+    value, grad = f(theta)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, kept = grad.copy(), []
+        for s, y in reversed(past):
+            a = s @ q / (s @ y)
+            q -= a * y
+            kept.append((a, s, y))
+        q *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(grad).max())
+        for a, s, y in reversed(kept):
+            q += (a - y @ q / (s @ y)) * s
+        if q @ grad <= 0:
+            q, past = grad / max(1.0, np.abs(grad).max()), []
+        # A step that gains enough and leaves a smaller slope: longer while the slope holds, shorter where too little is gained.
+        rate, low, high, slope = 1.0, 0.0, math.inf, float(q @ grad)
+        for _ in range(12):
+            new = theta + rate * q
+            new_value, new_grad = f(new)
+            if not new_value >= value + 1e-4 * rate * slope:
+                high = rate
+            elif new_grad @ q > 0.9 * slope:
+                low = rate
+            else:
+                break
+            rate = (low + high) / 2 if low and high < math.inf else low * 4 if low else high / 4
+        if new_value <= value:
+            break
+        s, y = new - theta, grad - new_grad
+        if s @ y > 1e-10:
+            past = [*past[1 - memory :], (s, y)]
+        gained, theta, value, grad = new_value - value, new, new_value, new_grad
+        if gained < small * abs(value):
+            break
+    return theta
+
+
 @dataclass
 class Model:
-    weights: dict[str, float] = field(default_factory=dict)
-    bias: float = -5.0
-    start: float = 0.0
-    trans: tuple[float, float, float] = (0.0, 0.0, 0.0)  # to toxic, from toxic, toxic to toxic
-    link: tuple[float, float, float] = (0.0, 0.0, 0.0)  # constant, logit of the largest marginal, log of one plus their sum
+    theta: np.ndarray | None = None
     constant: float | None = None
 
-    def __post_init__(self) -> None:
-        to, out, stay = self.trans
-        self.a = np.exp(np.array([[0.0, to], [out, stay]]))
-        m = self.a * np.exp([0.0, self.bias])
-        values, vectors = np.linalg.eig(m)
-        order = np.argsort(-np.abs(values.real))
-        values, vectors = values.real[order], vectors.real[:, order]
-        inverse = np.linalg.inv(vectors)
-        self.ratio = values[1] / values[0]
-        self.parts = [np.outer(vectors[:, i], inverse[i]) for i in (0, 1)]
-
-    def gap(self, n: int) -> np.ndarray:
-        """The transfer over n tokens without lexicon features, up to a factor."""
-        return self.parts[0] + self.ratio**n * self.parts[1]
-
-    def marginals(self, n: int, at: list[int], emit: list[float]) -> np.ndarray:
-        """Probability of the toxic state at positions ``at`` (ascending, with lexicon weights ``emit``) of ``n`` tokens."""
-        forward, backward = np.zeros((len(at), 2)), np.zeros((len(at), 2))
-        step = [self.a * np.array([1.0, math.exp(self.bias + w)]) for w in emit]
-        v = np.array([1.0, math.exp(self.start + self.bias + (emit[0] if at[0] == 0 else 0.0))])
-        for j, p in enumerate(at):
-            if p:
-                v = v @ self.gap(p - (at[j - 1] if j else 0) - 1) @ step[j]
-            v /= v.sum()
-            forward[j] = v
-        v = self.gap(n - 1 - at[-1]) @ np.ones(2)
-        for j in range(len(at) - 1, -1, -1):
-            backward[j] = v / v.sum()
-            if j:
-                v = self.gap(at[j] - at[j - 1] - 1) @ step[j] @ backward[j]
-        both = forward * backward
-        return both[:, 1] / both.sum(axis=1)
-
-    def pooled(self, marginals: np.ndarray) -> tuple[float, float]:
-        top = min(max(float(marginals.max()), 1e-6), 1 - 1e-6) if len(marginals) else 1e-6
-        return math.log(top / (1 - top)), math.log1p(float(marginals.sum()))
-
-    def score(self, marginals: np.ndarray) -> float:
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+
+class Scorer:
+    """Scores texts in a worker; the weights of words met are kept."""
+
+    def __init__(self, model: Model) -> None:
+        self.constant = model.constant
+        if self.constant is None:
+            theta = model.theta.astype(np.float64)
+            self.w, self.bias, self.trans = theta[: SLOTS + 1], theta[SLOTS + 1], theta[SLOTS + 2 :]
+            self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.rows = np.zeros((1024, 3))
+
+    def _number(self, word: str) -> int:
+        n = len(self.numbers)
+        if n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        ids = slots(word)
+        self.rows[n] = self.w[ids[:_OWN]].sum(), self.w[ids[_OWN]], self.w[ids[_OWN + 1]]
+        self.numbers[word] = n
+        return n
+
+    def chains(self, texts: list[str | None], full: bool = False) -> tuple[Chains, np.ndarray]:
+        if len(self.numbers) > _CACHE:
+            self._forget()
+        tokens, lengths, numbers = [], [], self.numbers
+        for text in texts:
+            words = _WORD.findall(text or "")
+            tokens += [numbers[w] if w in numbers else self._number(w) for w in words]
+            lengths.append(len(words))
+        tokens, lengths = np.array(tokens, np.int64), np.array(lengths, np.int64)
+        emit = emissions(*self.rows.T, tokens, lengths, self.bias)
+        return run_chains(emit, lengths, self.trans, full), lengths
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The probability of any toxic token."""
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
+        out, at, held = [], 0, 0
+        for i, text in enumerate(texts):
+            held += len(text or "") // 6
+            if held > CHUNK or i == len(texts) - 1:
+                out.append(-np.expm1(-self.chains(texts[at : i + 1])[0].log_z))
+                at, held = i + 1, 0
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def spans(self, text: str | None, at_least: float) -> list[dict]:
+        """Tokens of the text as it stands, in code points, end exclusive, whose marginal is ``at_least`` that."""
         if self.constant is not None:
-            return self.constant
-        x, y = self.pooled(marginals)
-        z = self.link[0] + self.link[1] * x + self.link[2] * y
-        return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
+            return []
+        p = self.chains([text], full=True)[0].marginals
+        return [{"start": m.start(), "end": m.end(), "score": float(x)} for m, x in zip(_WORD.finditer(text or ""), p, strict=True) if x >= at_least]
 
 
-class _Emissions(dict):
-    """Lexicon weight of each word met, none if it has no lexicon feature."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) to packs: slots of the distinct words, tokens, lengths, classes."""
 
-    def __init__(self, weights: dict[str, float]) -> None:
-        super().__init__()
-        self.weights = weights
+    def packed() -> pa.RecordBatch:
+        cols = [np.array([slots(w) for w in words], "<i4").reshape(len(words), _OWN + 2), np.array(tokens, "<i4"), np.array(lengths, "<i4"), np.array(toxic, "u1")]
+        counts = [pa.array([len(toxic)], pa.int64()), pa.array([sum(toxic)], pa.int64())]
+        return pa.RecordBatch.from_arrays([*[pa.array([c.tobytes()], pa.binary()) for c in cols], *counts], names=["ids", "tokens", "lengths", "toxic", "n", "t"])
 
-    def __missing__(self, word: str) -> float | None:
-        found = [self.weights[f] for f in features(word) if f in self.weights]
-        if len(self) >= _CACHE:
-            self.clear()
-        self[word] = out = sum(found) if found else None
-        return out
+    words: dict[str, int] = {}
+    tokens, lengths, toxic = [], [], []
+    for batch in batches:
+        for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            found = [w.lower() for w in _WORD.findall(text.as_py() or "")]
+            tokens += [words.setdefault(w, len(words)) for w in found]
+            lengths.append(len(found))
+            toxic.append(y)
+            if len(lengths) == PACK or len(tokens) > CHUNK:
+                yield packed()
+                words, tokens, lengths, toxic = {}, [], [], []
+    if lengths:
+        yield packed()
 
 
-def tag(model: Model, emissions: _Emissions, text: str | None) -> tuple[list[int], np.ndarray]:
-    """Positions of the tokens with lexicon features, and their marginals."""
-    words = _WORD.findall((text or "").lower())
-    emit = list(map(emissions.__getitem__, words))
-    at = [i for i, w in enumerate(emit) if w is not None]
-    return at, model.marginals(len(words), at, [emit[i] for i in at]) if at else np.zeros(0)
+def _arrays(row: tuple) -> tuple[np.ndarray, ...]:
+    ids, tokens, lengths, toxic = (np.frombuffer(x.as_py(), t) for x, t in zip(row, ("<i4", "<i4", "<i4", "u1"), strict=True))
+    return ids.reshape(-1, _OWN + 2), tokens.astype(np.int64), lengths.astype(np.int64), toxic == 1
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, toxic texts, other texts) of a task."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen[toxic].update({f for w in set(_WORD.findall((text or "").lower())) for f in features(w)})
-    names = list(seen[0].keys() | seen[1].keys())
-    for i in range(0, len(names), 50_000):
-        part = names[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([seen[1][x] for x in part], pa.int64()), pa.array([seen[0][x] for x in part], pa.int64())], names=["feature", "t", "c"])
-
-
-def lexicon(train: DataFrame, max_features: int, alpha: float) -> list[str]:
-    """Features whose share of toxic texts is beyond chance: a one-sided likelihood ratio above log(number of features / alpha)."""
-    n = train.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
-    counts = cut(train.select("text", "toxic").mapInArrow(_count, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter("t >= 3"))
-    tested = counts.count()
-    base, share = n["t"] / n["n"], F.col("t") / (F.col("t") + F.col("c"))
-    ratio = F.col("t") * F.log(share / base) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    kept = counts.withColumn("llr", ratio).filter((share >= 0.5) & (F.col("llr") > math.log(max(tested, 1) / alpha)))
-    return [r["feature"] for r in kept.orderBy(F.desc("llr"), "feature").limit(max_features).collect()]
-
-
-def _segments(lex: dict[str, int]):
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per training text: its length and class, positions with lexicon features, and these (joined by position)."""
-        known: dict[str, list[int]] = {}
+def _gradients(theta: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, grad = 0.0, np.zeros(len(theta))
         for batch in batches:
-            rows: list[tuple] = []
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = _WORD.findall((text or "").lower())
-                at, ids = [], []
-                for i, w in enumerate(words):
-                    if w not in known:
-                        known[w] = [lex[f] for f in features(w) if f in lex]
-                    if known[w]:
-                        at.append(i)
-                        ids.append(known[w])
-                rows.append((len(words), toxic, at, ids))
-            types = [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["n", "toxic", "at", "ids"])
-
-    return cut_up
-
-
-def _fit_chain(rows: list, names: list[str], steps: int = 60) -> Model:
-    """Adam on the mean conditional log-likelihood of segments: all with lexicon tokens, and the first of each other text."""
-    width, segs = len(PREFIXES) + 1, []
-    for r in rows:
-        by: dict[int, list] = {}
-        for p, ids in zip(r["at"], r["ids"], strict=True):
-            by.setdefault(p // SEGMENT, []).append((p % SEGMENT, ids))
-        if not by and r["n"]:
-            by[0] = []
-        segs += [(min(SEGMENT, r["n"] - SEGMENT * k), v, r["toxic"]) for k, v in by.items()]
-    n, none = len(segs), len(names)
-    ids, y, length = np.full((n, SEGMENT, width), none), np.zeros((n, SEGMENT), np.int64), np.array([s[0] for s in segs])
-    for i, (_, v, toxic) in enumerate(segs):
-        for p, f in v:
-            ids[i, p, : len(f)] = f
-            y[i, p] = toxic
-    inside = np.arange(SEGMENT)[None, :] < length[:, None]
-    theta = np.zeros(none + 6)  # weights, (no feature), bias, start, to, from, stay
-    theta[none + 1] = -4.0
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    order = np.arange(n)
-    for t in range(1, steps + 1):
-        w, (bias, start, to, out, stay) = theta[: none + 1], theta[none + 1 :]
-        emit = w[ids].sum(axis=2) + bias
-        trans = np.array([[0.0, to], [out, stay]])
-        alpha, beta = np.zeros((SEGMENT, n, 2)), np.zeros((SEGMENT, n, 2))
-        alpha[0, :, 1] = emit[:, 0] + start
-        for i in range(1, SEGMENT):
-            nxt = np.logaddexp(alpha[i - 1, :, :1] + trans[0], alpha[i - 1, :, 1:] + trans[1])
-            nxt[:, 1] += emit[:, i]
-            alpha[i] = np.where(inside[:, i, None], nxt, alpha[i - 1])
-        for i in range(SEGMENT - 2, -1, -1):
-            ahead = beta[i + 1] + np.stack([np.zeros(n), emit[:, i + 1]], axis=1)
-            prev = np.logaddexp(trans[:, 0][None] + ahead[:, :1], trans[:, 1][None] + ahead[:, 1:])
-            beta[i] = np.where(inside[:, i + 1, None], prev, beta[i + 1])
-        z = np.logaddexp(alpha[-1, :, 0], alpha[-1, :, 1])
-        p = np.exp(alpha[..., 1] + beta[..., 1] - z).T * inside
-        delta = (y - p) * inside
-        grad = np.zeros_like(theta)
-        grad[: none + 1] = np.bincount(ids.ravel(), np.repeat(delta.ravel(), width), none + 1)
-        grad[none + 1], grad[none + 2] = delta.sum(), delta[order, 0].sum()
-        for a, b, slot in ((0, 1, 3), (1, 0, 4), (1, 1, 5)):
-            pair = np.exp(alpha[:-1, :, a] + trans[a, b] + (emit.T[1:] if b else 0.0) + beta[1:, :, b] - z) * inside.T[1:]
-            grad[none + slot] = ((y.T[:-1] == a) & (y.T[1:] == b) & inside.T[1:]).sum() - pair.sum()
-        grad = grad / n - 1e-5 * theta
-        grad[none] = 0.0
-        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
-        theta = theta + 0.25 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
-    return Model(dict(zip(names, theta[:none].tolist(), strict=True)), float(theta[none + 1]), float(theta[none + 2]), tuple(float(x) for x in theta[none + 3 :]))
-
-
-def _fit_link(model: Model, rows: list, names: list[str]) -> tuple[float, float, float]:
-    """Logistic regression of the class on the pooled marginals, by Newton steps with a little ridge."""
-    x, y = np.ones((len(rows), 3)), np.array([float(r["toxic"]) for r in rows])
-    for i, r in enumerate(rows):
-        emit = [sum(model.weights[names[f]] for f in ids) for ids in r["ids"]]
-        x[i, 1:] = model.pooled(model.marginals(r["n"], r["at"], emit) if emit else np.zeros(0))
-    w = np.zeros(3)
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
-        w = w + np.linalg.solve(h, x.T @ (y - p) - 0.05 * w)
-    return float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2]))
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, folds: int = FOLDS) -> Model:
+            for row in zip(*(batch.column(i) for i in range(4)), strict=True):
+                value, part = objective(theta, *_arrays(row))
+                total, grad = total + value, grad + part
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([grad.astype("<f4").tobytes()], pa.binary())], names=["value", "grad"])
+
+    return run
+
+
+def _support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clean and toxic documents in which each slot occurs."""
+    counts = np.zeros((2, SLOTS + 1), "<i4")
+    for batch in batches:
+        for row in zip(*(batch.column(i) for i in range(4)), strict=True):
+            ids, tokens, lengths, toxic = _arrays(row)
+            for part, y in zip(np.split(tokens, np.cumsum(lengths)[:-1]), toxic, strict=True):
+                counts[int(y), np.unique(ids[np.unique(part)])] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
+
+
+def evidence(counts: np.ndarray, n: int, t: int, alpha: float = ALPHA) -> np.ndarray:
+    """Log odds of the slots (clean and toxic ``counts`` of ``n`` documents, ``t`` of them toxic) whose one-sided likelihood ratio is above log(slots tested / alpha); zero for the others."""
+    c, own = counts.astype(float)
+    share, base, seen = own / np.maximum(own + c, 1), t / n, own >= 3
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(seen, own * np.log(share / base) + np.where(c > 0, c * np.log((1 - share) / (1 - base)), 0), 0)
+    strong = seen & (share > base) & (ratio > np.log(max(seen.sum(), 1) / alpha))
+    strong[SLOTS] = False
+    return np.where(strong, np.log((own + 0.5) / (t + 1)) - np.log((c + 0.5) / (n - t + 1)), 0.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, folds: int = FOLDS) -> Model:
     """The model of the labelled rows outside fold 0; at most ``max_train`` of them, chosen by a hash of the id."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull() & (fold("_id", folds) != 0))
     sample = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     # At most max_train rows of two numbers each, so this side may be broadcast.
-    train = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id").select("text", "toxic")
-    # Copies and near copies would count as independent witnesses for every word they hold: of texts with one least shingle, one is kept.
-    train = cut(train.withColumn("_key", least_shingle(F.col("text"))).dropDuplicates(["_key", "toxic"]).select("text", "toxic"))
-    n = train.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
+    train = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id")
+    # Copies and near copies would count as independent witnesses: of texts with one least shingle, that of the least hash is kept.
+    order = F.struct(F.xxhash64("_id"), "_id", F.xxhash64("text"))
+    train = train.groupBy(F.coalesce(least_shingle(F.col("text")), F.lit(0)).alias("_key"), "toxic").agg(F.min_by("text", order).alias("text"))
+    packs = cut(train.select("text", "toxic").repartition(TASKS, "_key").mapInArrow(_pack, "ids binary, tokens binary, lengths binary, toxic binary, n long, t long"))
+    n = packs.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
     if not n["n"] or n["t"] in (0, n["n"]):
         return Model(constant=n["t"] / n["n"] if n["n"] else 0.0)
-    names = lexicon(train, max_features, ALPHA)
-    rows = train.mapInArrow(_segments({f: i for i, f in enumerate(names)}), "n int, toxic int, at array<int>, ids array<array<int>>").collect()
-    if not names:
-        return Model(constant=n["t"] / n["n"])
-    model = _fit_chain(rows, names)
-    model.link = _fit_link(model, rows, names)
-    return model
+
+    counts = np.zeros((2, SLOTS + 1), np.int64)
+    for row in packs.mapInArrow(_support, "counts binary").collect():
+        counts += np.frombuffer(row["counts"], "<i4").reshape(2, -1)
+    theta = np.zeros(SLOTS + 5)
+    theta[: SLOTS + 1] = evidence(counts, n["n"], n["t"])
+    ridge = np.where(theta != 0, RIDGE, WEAK_RIDGE)
+    # A word's features mostly come together, so each starts at less than its own odds; the bias starts low.
+    theta *= 0.7
+    theta[SLOTS + 1], ridge[SLOTS + 1 :] = -8.0, RIDGE / 10
+
+    def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        total, grad = 0.0, np.zeros(len(theta))
+        for row in packs.mapInArrow(_gradients(theta), "value double, grad binary").collect():
+            total, grad = total + row["value"], grad + np.frombuffer(row["grad"], "<f4")
+        return total - float(ridge @ theta**2) / 2, grad - ridge * theta
+
+    return Model(maximise(value, theta).astype(np.float32))
 
 
 SCORED = "score double, spans array<struct<start:int,end:int,score:double>>"
@@ -279,15 +383,12 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", at_least:
     at_text = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emissions = _Emissions(model.weights)
+        scorer = Scorer(model)
         for batch in batches:
-            scores, spans = [], []
-            for text in batch.column(at_text).to_pylist():
-                at, marginals = tag(model, emissions, text)
-                scores.append(model.score(marginals))
-                hot = {p: float(m) for p, m in zip(at, marginals, strict=True) if m >= at_least}
-                # Offsets are those of the lower-cased text where lower-casing keeps every character's place, as it does but for a few letters.
-                spans.append([{"start": m.start(), "end": m.end(), "score": hot[i]} for i, m in enumerate(_WORD.finditer(text.lower())) if i in hot] if hot else [])
+            texts = batch.column(at_text).to_pylist()
+            scores = scorer.scores(texts)
+            # A token's marginal is never above the score, the probability of any.
+            spans = [scorer.spans(t, at_least) if s >= at_least else [] for t, s in zip(texts, scores, strict=True)]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], names=[*names, "score", "spans"])
 
@@ -299,9 +400,9 @@ def score_column(model: Model, text: Column) -> Column:
     """The score of a text column; the other columns stay in the JVM."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        emissions = _Emissions(model.weights)
+        scorer = Scorer(model)
         for texts in batches:
-            yield pd.Series([model.score(tag(model, emissions, t)[1]) for t in texts], dtype="float64")
+            yield pd.Series(scorer.scores(list(texts)), dtype="float64")
 
     return F.pandas_udf(run, "double", functionType=F.PandasUDFType.SCALAR_ITER)(text)
 

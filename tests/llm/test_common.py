@@ -18,7 +18,7 @@ def test_lookup_of_hot_keys(spark, small):
         dealt = common.spread_lookup(left, right, "k", "n", "i", ["word"], small=small, per_task=100)
         hot = dealt.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-        assert len(hot) == 4 and max(r["count"] for r in hot) < 1500
+        assert len(hot) > 1 and max(r["count"] for r in hot) < 1500
     assert common.spread_lookup(left, right.limit(0), "k", "n", "i", ["word"], small=small).count() == len(rows)
 
 

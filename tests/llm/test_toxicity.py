@@ -8,17 +8,56 @@ import numpy as np
 from hearthspark.llm import toxicity as t
 
 
-def test_marginals_match_enumeration():
-    m = t.Model(weights={"x": 2.0, "y": 1.0}, bias=-1.5, start=-0.5, trans=(-0.7, -0.3, 0.9))
-    n, at, emit = 7, [0, 3, 4], [2.0, 1.0, 3.0]
-    to, out, stay = m.trans
-    score = lambda y: sum(
-        (m.bias + dict(zip(at, emit, strict=True)).get(i, 0.0)) * y[i] + (m.start * y[0] if i == 0 else {(0, 1): to, (1, 0): out, (1, 1): stay}.get((y[i - 1], y[i]), 0.0)) for i in range(n)
-    )
-    weights = {y: math.exp(score(y)) for y in itertools.product((0, 1), repeat=n)}
+def enumerated(emit, trans):
+    """log Z, marginals and expected moves over all paths."""
+    to, out, stay = trans
+    move = {(0, 0): 0.0, (0, 1): to, (1, 0): out, (1, 1): stay}
+    weights = {y: math.exp(sum(e * s for e, s in zip(emit, y, strict=True)) + sum(move[p] for p in zip((0, *y), y, strict=False))) for y in itertools.product((0, 1), repeat=len(emit))}
     z = sum(weights.values())
-    want = [sum(w for y, w in weights.items() if y[i]) / z for i in at]
-    assert np.allclose(m.marginals(n, at, emit), want)
+    count = lambda y, m: sum(p == m for p in zip((0, *y), y, strict=False))
+    return math.log(z), [sum(w for y, w in weights.items() if y[i]) / z for i in range(len(emit))], [sum(w * count(y, m) for y, w in weights.items()) / z for m in ((0, 1), (1, 0), (1, 1))]
+
+
+def test_chains_match_enumeration(monkeypatch):
+    rng = np.random.default_rng(1)
+    trans = np.array([-0.7, -0.3, 0.9])
+    for segment in (3, 64):
+        monkeypatch.setattr(t, "SEGMENT", segment)
+        lengths = np.array([5, 0, 1, 8, 3, 0])
+        emit = rng.normal(0, 2, lengths.sum())
+        got = t.run_chains(emit, lengths, trans, full=True)
+        at = 0
+        for d, n in enumerate(lengths):
+            z, p, moves = enumerated(emit[at : at + n], trans)
+            assert np.allclose(got.log_z[d], z) and np.allclose(got.marginals[at : at + n], p) and np.allclose(got.pairs[d], moves)
+            at += n
+
+
+def test_gradient_matches_differences(monkeypatch):
+    monkeypatch.setattr(t, "SLOTS", 50)
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 51, (6, t._OWN + 2))
+    lengths = np.array([4, 0, 1, 7, 70])
+    tokens, toxic = rng.integers(0, 6, lengths.sum()), np.array([True, False, False, True, False])
+    theta = rng.normal(0, 0.5, 55)
+    theta[50], theta[51] = 0.0, -2.0
+    lengths, toxic = lengths[[0, 2, 3, 4]], toxic[[0, 2, 3, 4]]
+    value, grad = t.objective(theta, ids, tokens, lengths, toxic)
+    # By the definition: the chance of a label is that of no toxic token, or of any.
+    for i in [*range(0, 50, 7), 51, 52, 53, 54]:
+        step = np.zeros(55)
+        step[i] = 1e-5
+        up, down = (t.objective(theta + s * step, ids, tokens, lengths, toxic)[0] for s in (1, -1))
+        assert abs((up - down) / 2e-5 - grad[i]) < 1e-4 * max(1, abs(grad[i]))
+    u, a, b = theta[:51][ids[:, : t._OWN]].sum(axis=1), theta[ids[:, t._OWN]], theta[ids[:, t._OWN + 1]]
+    want, at = 0.0, 0
+    for n, y in zip(lengths[:3], toxic[:3], strict=True):
+        w = tokens[at : at + n]
+        emit = [u[w[i]] + theta[51] + (a[w[i - 1]] if i else 0) + (b[w[i + 1]] if i + 1 < n else 0) for i in range(n)]
+        none = math.exp(-enumerated(emit, theta[52:])[0])
+        want += math.log(1 - none) if y else math.log(none)
+        at += n
+    assert abs(want - t.objective(theta, ids, tokens[:12], lengths[:3], toxic[:3])[0]) < 1e-9
 
 
 def corpus(n=600):
@@ -56,7 +95,14 @@ def test_labels_of_the_held_out_fold_are_not_used(spark):
     flipped = [(i, y if zlib.crc32(str(i).encode()) % 5 else 1 - y, s) for i, y, s in labels]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     a, b = (t.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int, text string")) for x in (labels, flipped))
-    assert a.weights.keys() == b.weights.keys() and np.allclose(list(a.weights.values()), list(b.weights.values()), atol=1e-6)
+    assert np.array_equal(a.theta, b.theta)
+
+
+def test_offsets_are_those_of_the_text_as_it_is():
+    theta = np.zeros(t.SLOTS + 5, np.float32)
+    theta[t.SLOTS + 1], theta[t.slots("kotz")[0]] = -6, 12
+    (span,) = t.Model(theta).scorer().spans("İİİ Kotz", 0.5)
+    assert (span["start"], span["end"]) == (4, 8)
 
 
 def test_without_training_rows(spark):
