@@ -26,6 +26,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthspark.llm.common import cut, spread_lookup
+from hearthspark.llm.common import SMALL, cut, spread_lookup
 from hearthspark.llm.urlfilter import host_and_path
 
 #: Distinct pages of a group among which the reference is chosen. Statistics are of all pages.
@@ -74,6 +75,12 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
 
 
+@lru_cache(1 << 14)
+def _key(key: str) -> int:
+    return _hash(key)
+
+
+@lru_cache(1 << 14)
 def _element(tag: str, attrs: str) -> tuple[str, int]:
     """Key (tag, class and id names without numbers) and flags."""
     key, apart, main = tag, tag in APART, tag == "main"
@@ -98,9 +105,8 @@ class Outline:
         own: dict[int, list[str]] = {}
         for at, text in runs:
             own.setdefault(at, []).append(text)
-        known = {k: _hash(k) for k in set(keys)}
         self.nodes = np.zeros(len(keys), NODE)
-        self.nodes["key"], self.nodes["parent"], self.nodes["flags"] = [known[k] for k in keys], parents, flags
+        self.nodes["key"], self.nodes["parent"], self.nodes["flags"] = [_key(k) for k in keys], parents, flags
         for at, texts in own.items():
             self.nodes["text"][at], self.nodes["chars"][at] = _hash("\n".join(texts)) or 1, sum(map(len, texts))
         top: set[str] = set()
@@ -132,7 +138,7 @@ def outline(text: str | None) -> Outline:
 
     def close(i: int) -> None:
         """Ends the open elements from place ``i`` on."""
-        if any(t in BLOCK for t in tags[i:]):
+        if near[-1] >= i:
             flush()
         for t in tags[i:]:
             opened[t] -= 1
@@ -201,28 +207,26 @@ def outline(text: str | None) -> Outline:
     return Outline(keys, parents, flags, runs)
 
 
-def _children(parents: np.ndarray) -> list[list[int]]:
-    out: list[list[int]] = [[] for _ in parents]
-    for i, p in enumerate(parents.tolist()):
-        if p >= 0:
-            out[p].append(i)
-    return out
-
-
 class Matcher:
     """Simple tree matching: the largest number of node pairs with equal keys that keeps order and ancestry. Trees of equal shape share their scores."""
 
     def __init__(self) -> None:
+        self.age = 0
+        self.restart()
+
+    def restart(self) -> None:
+        """Forgets all shapes."""
+        self.age += 1
         self.ids: dict[tuple, int] = {}
         self.shapes: list[tuple] = []
         self.sizes: list[int] = []
         self.memo: dict[tuple[int, int], int] = {}
 
-    def classes(self, nodes: np.ndarray, children: list[list[int]]) -> list[int]:
+    def classes(self, tree: Tree) -> list[int]:
         """Number of each node's shape."""
-        out, keys = [0] * len(nodes), nodes["key"].tolist()
-        for i in range(len(nodes) - 1, -1, -1):
-            shape = (keys[i], *[out[c] for c in children[i]])
+        out = [0] * len(tree.keys)
+        for i in range(len(out) - 1, -1, -1):
+            shape = (tree.keys[i], *[out[c] for c in tree.children[i]])
             if shape not in self.ids:
                 self.ids[shape] = len(self.shapes)
                 self.shapes.append(shape)
@@ -257,7 +261,11 @@ class Matcher:
             if missing:
                 work += missing
                 continue
-            self.memo[x, y] = 1 + same + (int(_rows(self._weights(xs, ys), 0, len(xs), 0, len(ys))[-1]) if xs and ys else 0)
+            if len(xs) * len(ys) <= 400:
+                best = _last([[self._known(p, q) for q in ys] for p in xs]) if xs and ys else 0
+            else:
+                best = int(_rows(self._weights(xs, ys), 0, len(xs), 0, len(ys))[-1])
+            self.memo[x, y] = 1 + same + best
             work.pop()
         return self.memo[a, b]
 
@@ -276,43 +284,80 @@ class Matcher:
 
         return row
 
-    def align(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """Matched pairs of two outlines' nodes, roots first. Of matchings with as many pairs, one with more equal texts is taken."""
-        if len(self.shapes) > 200_000:
-            self.__init__()
-        below, above = _children(a["parent"]), _children(b["parent"])
-        x, y = self.classes(a, below), self.classes(b, above)
-        s, t = _texts(a, below), _texts(b, above)
-        pairs = [(0, 0)] if a["key"][0] == b["key"][0] else []
+    def align(self, a: Tree, b: Tree) -> list[tuple[int, int]]:
+        """Matched pairs of two trees' nodes, roots first. Of matchings with as many pairs, one with more equal texts is taken."""
+        x, y = a.classes(self), b.classes(self)
+        pairs = [(0, 0)] if a.keys[0] == b.keys[0] else []
         for i, j in pairs:
-            xs, ys = below[i], above[j]
+            xs, ys = a.children[i], b.children[j]
             if not xs or not ys:
                 continue
             if len(xs) == len(ys) == 1:
-                if a["key"][xs[0]] == b["key"][ys[0]]:
+                if a.keys[xs[0]] == b.keys[ys[0]]:
                     pairs.append((xs[0], ys[0]))
                 continue
-            kinds = {y[c] for c in ys}
-            for p in {x[c] for c in xs}:
-                for q in kinds:
-                    self.score(p, q)
-            shapes = self._weights(tuple(x[c] for c in xs), tuple(y[c] for c in ys))
-            texts = np.array([t[c] for c in ys], np.int64)
+            cs, ds = [x[c] for c in xs], [y[c] for c in ys]
+            scores = {(p, q): self.score(p, q) for p in set(cs) for q in set(ds)}
+            s, t = a.texts, b.texts
+            if len(xs) * len(ys) <= 400:
+                weights = [[2 * v + (v > 0 and s[k] == t[n] != 0) if (v := scores[c, d]) else 0 for d, n in zip(ds, ys, strict=True)] for c, k in zip(cs, xs, strict=True)]
+                pairs += [(xs[k], ys[n]) for k, n in _small(weights)]
+                continue
+            shapes, texts = self._weights(cs, ds), np.array([t[c] for c in ys], np.int64)
             row = lambda k, xs=xs, shapes=shapes, texts=texts: (r := shapes(k)) * 2 + ((texts == s[xs[k]]) & (texts != 0) & (r > 0))
             pairs += [(xs[k], ys[n]) for k, n in _best(row, len(xs), len(ys))]
         return pairs
 
 
-def _texts(nodes: np.ndarray, children: list[list[int]]) -> list[int]:
-    """Hash of all text at and below each node; 0 without any."""
-    out = nodes["text"].tolist()
-    for i in range(len(out) - 1, -1, -1):
-        if children[i]:
-            found = (out[i], *[out[c] for c in children[i]])
-            out[i] = hash(found) & (2**63 - 1) or 1 if any(found) else 0
-        else:
-            out[i] &= 2**63 - 1
-    return out
+class Tree:
+    """Nodes of an outline, as lists for matching: ``children``, ``keys``, and ``texts``, a hash of all text at and below each node, 0 without any."""
+
+    def __init__(self, nodes: np.ndarray) -> None:
+        self.nodes = nodes
+        self.keys, self.parents, self.flags, self.own = (nodes[n].tolist() for n in ("key", "parent", "flags", "text"))
+        self.children: list[list[int]] = [[] for _ in self.keys]
+        for i, p in enumerate(self.parents):
+            if p >= 0:
+                self.children[p].append(i)
+        self.texts = [t & (2**63 - 1) for t in self.own]
+        for i in range(len(self.keys) - 1, -1, -1):
+            if self.children[i]:
+                found = (self.texts[i], *[self.texts[c] for c in self.children[i]])
+                self.texts[i] = hash(found) & (2**63 - 1) or 1 if any(found) else 0
+        self._by: Matcher | None = None
+
+    def classes(self, matcher: Matcher) -> list[int]:
+        """Number of each node's shape in a matcher, which may have begun anew."""
+        if len(matcher.shapes) > 200_000:
+            matcher.restart()
+        if self._by is not matcher or self._age != matcher.age:
+            self._by, self._age, self._classes = matcher, matcher.age, matcher.classes(self)
+        return self._classes
+
+    def paths(self) -> list[int]:
+        """Hash of each node's path of keys."""
+        out, keys, parents = [0] * len(self.keys), self.keys, self.parents
+        for i in range(1, len(out)):
+            out[i] = hash((out[parents[i]], keys[i])) & (2**63 - 1)
+        return out
+
+    def apart(self) -> list[bool]:
+        """Whether a node lies in an element that HTML sets apart; headings in an article's header don't."""
+        out, flags, parents = [False] * len(self.keys), self.flags, self.parents
+        inside = [0] * len(out)  # 1: in an article; 2: in the header of one, where headings stay
+        for i in range(1, len(out)):
+            f, p = flags[i], parents[i]
+            inside[i] = inside[p]
+            if inside[p] == 2 and f & HEADING and not f & SET_APART:
+                continue
+            out[i] = out[p] or bool(f & SET_APART) or bool(f & ARTICLE and inside[p])
+            if f & ARTICLE and not out[i]:
+                inside[i] = 1
+            elif f & HEADER and inside[p] == 1 and not out[p]:
+                inside[i] = 2
+            elif f & SET_APART and inside[p] != 2:
+                inside[i] = 0
+        return out
 
 
 def _rows(row, lo: int, hi: int, left: int, right: int, table: list | None = None, back: bool = False) -> np.ndarray:
@@ -330,6 +375,42 @@ def _rows(row, lo: int, hi: int, left: int, right: int, table: list | None = Non
     return now
 
 
+def _last(weights: list[list[int]]) -> int:
+    """The best sum of a small table of weights."""
+    now = [0] * (len(weights[0]) + 1)
+    for w in weights:
+        before, left = 0, 0
+        for j, v in enumerate(w, 1):
+            above = now[j]
+            if v and before + v > above:
+                left = max(left, before + v)
+            elif above > left:
+                left = above
+            before, now[j] = above, left
+    return now[-1]
+
+
+def _small(weights: list[list[int]]) -> list[tuple[int, int]]:
+    """What _best() finds, for a small table of weights."""
+    table = [[0] * (len(weights[0]) + 1)]
+    for w in weights:
+        above, now, left = table[-1], [0], 0
+        for j, v in enumerate(w):
+            left = max(left, above[j + 1], above[j] + v)
+            now.append(left)
+        table.append(now)
+    i, j, found = len(weights), len(weights[0]), []
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            found.append((i, j))
+    return found[::-1]
+
+
 def _best(row, n: int, m: int, cells: int = CELLS) -> list[tuple[int, int]]:
     """Pairs (place, place), ascending in both, of the greatest sum of weights; large tables are halved, so that memory stays linear."""
     out, work = [], [(0, n, 0, m)]
@@ -357,39 +438,10 @@ def _best(row, n: int, m: int, cells: int = CELLS) -> list[tuple[int, int]]:
     return out
 
 
-def paths(nodes: np.ndarray) -> list[int]:
-    """Hash of each node's path of keys."""
-    out = [0] * len(nodes)
-    keys, parents = nodes["key"].tolist(), nodes["parent"].tolist()
-    for i in range(1, len(out)):
-        out[i] = hash((out[parents[i]], keys[i])) & (2**63 - 1)
-    return out
-
-
-def apart(nodes: np.ndarray) -> np.ndarray:
-    """Whether a node lies in an element that HTML sets apart; headings in an article's header don't."""
-    out, flags, parents = np.zeros(len(nodes), bool), nodes["flags"].tolist(), nodes["parent"].tolist()
-    inside = [0] * len(nodes)  # 1: in an article; 2: in the header of one, where headings stay
-    for i in range(1, len(nodes)):
-        f, p = flags[i], parents[i]
-        inside[i] = inside[p]
-        if inside[p] == 2 and f & HEADING and not f & SET_APART:
-            continue
-        nested = f & ARTICLE and inside[p]
-        out[i] = out[p] or bool(f & SET_APART) or bool(nested)
-        if f & ARTICLE and not out[i]:
-            inside[i] = 1
-        elif f & HEADER and inside[p] == 1 and not out[p]:
-            inside[i] = 2
-        elif f & SET_APART:
-            inside[i] = 0 if inside[p] != 2 else inside[i]
-    return out
-
-
-def content_path(nodes: np.ndarray, weight: np.ndarray) -> int:
+def content_path(tree: Tree, weight: list[int], path: list[int], out: list[bool]) -> int:
     """Path of the content element, by the weight (varying text) of each node; 0 if there is no text."""
-    parents, flags, path, out = nodes["parent"].tolist(), nodes["flags"].tolist(), paths(nodes), apart(nodes)
-    below = np.where(out, 0, weight).tolist()
+    parents, flags, nodes = tree.parents, tree.flags, tree.keys
+    below = [0 if o else w for o, w in zip(out, weight, strict=True)]
     for i in range(len(nodes) - 1, 0, -1):
         below[parents[i]] += below[i]
     total: dict[int, int] = {}
@@ -416,49 +468,45 @@ def content_path(nodes: np.ndarray, weight: np.ndarray) -> int:
 
 
 def induce(reference: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The wrapper (nodes with TEMPLATE set, path of the content element) of a reference and, for each of its nodes, ``counts``: pages there, pages with its text, varying characters."""
+    """The wrapper (nodes with TEMPLATE set, path of the content element) of a reference and, for each of its nodes, ``counts``: pages there, pages with its text, characters."""
     nodes = reference.copy()
     template = (nodes["text"] != 0) & (counts[:, 0] >= TEMPLATE_PAGES) & (counts[:, 1] >= TEMPLATE_SHARE * counts[:, 0])
     nodes["flags"] |= np.where(template, TEMPLATE, 0).astype("u1")
-    return nodes, content_path(nodes, np.where(template, 0, counts[:, 2]))
+    tree = Tree(nodes)
+    return nodes, content_path(tree, np.where(template, 0, counts[:, 2]).tolist(), tree.paths(), tree.apart())
 
 
-def tally(matcher: Matcher, reference: np.ndarray, page: np.ndarray, counts: np.ndarray) -> None:
+def tally(matcher: Matcher, reference: Tree, page: Tree, counts: list[list[int]]) -> None:
     """Adds what a page has at the reference's nodes. Text of nodes that match nothing counts for the nearest one around them that does."""
-    to = np.full(len(page), -1)
+    to = [-1] * len(page.keys)
     for i, j in matcher.align(reference, page):
         to[j] = i
-    same = np.zeros(len(page), bool)
-    same[to >= 0] = page["text"][to >= 0] == reference["text"][to[to >= 0]]
-    counts[to[to >= 0], 0] += 1
-    counts[to[same], 1] += 1
-    parents = page["parent"].tolist()
-    for j in range(1, len(page)):
-        if to[j] < 0:
-            to[j] = to[parents[j]]
-    # A whole page of one text varies nowhere; the text of the reference itself counts as varying, and is set aside at template nodes.
-    np.add.at(counts[:, 2], to[to >= 0], page["chars"][to >= 0])
-
-
-def extract(text: str | None, wrapper: tuple[np.ndarray, int] | None = None, matcher: Matcher | None = None) -> tuple[str, bool]:
+        c = counts[i]
+        c[0] += 1
+        c[1] += reference.own[i] == page.own[j]
+    chars = page.nodes["chars"].tolist()
+    for j in range(len(to)):
+        if to[j] < 0 and j:
+            to[j] = to[page.parents[j]]
+        if chars[j] and to[j] >= 0:
+            counts[to[j]][2] += chars[j]
+
+
+def extract(page: str | Outline | None, wrapper: tuple[Tree, int] | None = None, matcher: Matcher | None = None) -> tuple[str, bool]:
     """Main text of one page, and whether its group's wrapper found the content."""
-    page = outline(text)
-    return _read(page, wrapper, matcher or Matcher())
-
-
-def _read(page: Outline, wrapper: tuple[np.ndarray, int] | None, matcher: Matcher) -> tuple[str, bool]:
-    nodes, path, skip, content = page.nodes, paths(page.nodes), set(), 0
+    page = page if isinstance(page, Outline) else outline(page)
+    tree = Tree(page.nodes)
+    path, out, skip, content = tree.paths(), tree.apart(), set(), 0
     if wrapper and wrapper[1]:
         reference, content = wrapper
-        for i, j in matcher.align(reference, nodes):
-            if reference["flags"][i] & TEMPLATE and reference["text"][i] == nodes["text"][j]:
+        for i, j in (matcher or Matcher()).align(reference, tree):
+            if reference.flags[i] & TEMPLATE and reference.own[i] == tree.own[j]:
                 skip.add(j)
-    out = apart(nodes)
-    found = bool(content) and any(p == content and not out[i] for i, p in enumerate(path))
+    found = bool(content) and any(p == content and not o for p, o in zip(path, out, strict=True))
     if not found:
-        skip, content = set(), content_path(nodes, nodes["chars"])
-    parents, inside = nodes["parent"].tolist(), [False] * len(nodes)
-    for i in range(len(nodes)):
+        skip, content = set(), content_path(tree, page.nodes["chars"].tolist(), path, out)
+    parents, inside = tree.parents, [False] * len(path)
+    for i in range(len(path)):
         inside[i] = path[i] == content or (i > 0 and inside[parents[i]])
     return "\n\n".join(t for i, t in page.runs if inside[i] and not out[i] and i not in skip), found
 
@@ -480,10 +528,10 @@ def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _reference(rows: pd.DataFrame) -> pd.DataFrame:
     """Of a group's sample, the page that matches the others best."""
     rows = rows.sort_values("page")
-    trees, matcher = [np.frombuffer(b, NODE) for b in rows["nodes"]], Matcher()
+    trees, matcher = [Tree(np.frombuffer(b, NODE)) for b in rows["nodes"]], Matcher()
 
     def fit(i: int) -> int:
-        return sum(2 * len(p := matcher.align(trees[i], x)) + sum(int(trees[i]["text"][a] == x["text"][b] != 0) for a, b in p) for k, x in enumerate(trees) if k != i)
+        return sum(2 * len(p := matcher.align(trees[i], x)) + sum(trees[i].own[a] == x.own[b] != 0 for a, b in p) for k, x in enumerate(trees) if k != i)
 
     best = max(range(len(trees)), key=lambda i: (fit(i), -i)) if len(trees) > 1 else 0
     return pd.DataFrame({"grp": [rows["grp"].iloc[0]], "reference": [rows["nodes"].iloc[best]]})
@@ -494,7 +542,7 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     matcher, sums, held = Matcher(), {}, 0
 
     def combined() -> pa.RecordBatch:
-        rows = [(g, i, *c) for g, (_, counts) in sums.items() for i, c in enumerate(counts.tolist()) if c[0] or c[2]]
+        rows = [(g, i, *c) for g, (_, counts) in sums.items() for i, c in enumerate(counts) if c[0] or c[2]]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["grp", "node", "pages", "same", "chars"])
@@ -503,10 +551,10 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for grp, nodes, reference in zip(*(batch.column(i) for i in range(3)), strict=True):
             g = grp.as_py()
             if g not in sums:
-                tree = np.frombuffer(reference.as_py(), NODE)
-                sums[g] = tree, np.zeros((len(tree), 3), np.int64)
-                held += len(tree)
-            tally(matcher, sums[g][0], np.frombuffer(nodes.as_py(), NODE), sums[g][1])
+                tree = Tree(np.frombuffer(reference.as_py(), NODE))
+                sums[g] = tree, [[0, 0, 0] for _ in tree.keys]
+                held += len(tree.keys)
+            tally(matcher, sums[g][0], Tree(np.frombuffer(nodes.as_py(), NODE)), sums[g][1])
             if held > 200_000:
                 yield combined()
                 sums, held = {}, 0
@@ -534,20 +582,31 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(groups, pa.string()), batch.column(3)], names=["page_id", "url", "grp", "html"])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    matcher, known = Matcher(), {}
-    for batch in batches:
-        texts, by = [], []
-        for html, blob in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if blob not in known:
-                if len(known) > 200:
-                    known.clear()
-                known[blob] = (np.frombuffer(blob[8:], NODE), int.from_bytes(blob[:8], "little")) if blob else None
-            text, found = extract(html, known[blob], matcher)
-            texts.append(text.encode("utf-8", "replace").decode())
-            by.append(found)
-        cols = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(by, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars", "by_wrapper"])
+def _read(blob: bytes | None) -> tuple[Tree, int] | None:
+    return (Tree(np.frombuffer(blob[8:], NODE)), int.from_bytes(blob[:8], "little")) if blob else None
+
+
+def _extract(blobs: dict[str, bytes] | None):
+    """(page_id, url, html, and the wrapper or, with ``blobs``, the host) to the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, known = Matcher(), {}
+        for batch in batches:
+            texts, by = [], []
+            for html, last in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                page = outline(html)
+                key = last if blobs is None else f"{last}|{page.layout}"
+                if key not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[key] = _read(key if blobs is None else blobs.get(key))
+                text, found = extract(page, known[key], matcher)
+                texts.append(text.encode("utf-8", "replace").decode())
+                by.append(found)
+            cols = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(by, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars", "by_wrapper"])
+
+    return run
 
 
 def wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
@@ -567,10 +626,17 @@ def wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "html", s
     return cut(references.join(lists, "grp").select("grp", "n", "reference", "counts").mapInArrow(_wrappers, "grp string, n long, wrapper binary"))
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
+RESULT = "page_id long, url string, text string, n_chars long, by_wrapper boolean"
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE, small: int = SMALL) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` of every row, and ``by_wrapper``, whether a wrapper found its content."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_and_path(F.col(url_col))[0].alias("host"), F.col(html_col).alias("html"))
     known = wrappers(rows, sample=sample)
+    size = known.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("grp")), F.lit(0)).alias("bytes")).first()["bytes"]
+    if size <= small:  # measured: they go to the tasks by value, and pages stay where they are
+        blobs = {r["grp"]: bytes(r["wrapper"]) for r in known.collect()}
+        return rows.select("page_id", "url", "html", "host").mapInArrow(_extract(blobs), RESULT)
     grouped = rows.mapInArrow(_grouped, "page_id long, url string, grp string, html string")
-    met = spread_lookup(grouped, known, "grp", "n", "page_id", ["wrapper"])
-    return met.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, by_wrapper boolean")
+    met = spread_lookup(grouped, known, "grp", "n", "page_id", ["wrapper"], small=small)
+    return met.select("page_id", "url", "html", "wrapper").mapInArrow(_extract(None), RESULT)

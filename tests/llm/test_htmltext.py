@@ -2,6 +2,7 @@ import random
 from functools import cache
 
 import numpy as np
+import pytest
 
 from hearthspark.llm import htmltext as h
 
@@ -14,6 +15,10 @@ def text(page, *wrapper):
     return h.extract(page, *wrapper)[0]
 
 
+def tree(page):
+    return h.Tree(h.outline(page).nodes)
+
+
 def test_single_pages():
     assert text(PAGE) == "T & U\n\none\n\ntwo <b> é\n\na\n\nb"
     assert text(None) == text("") == text("<nav>x</nav>") == text(" <p> </p>") == ""
@@ -33,14 +38,14 @@ def test_deep_and_long_pages():
     assert text("<article>" + "<span>" * 5000 + "deep" + "</span>" * 5000) == "deep" and text("<p>" + "<b>" * 5000 + "open") == "open"
     nested = "<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000
     assert text(nested) == "deep"
-    a, b = (h.outline(nested + f"<p>{i}").nodes for i in (1, 2))
-    assert len(h.Matcher().align(a, b)) == len(a) == 5003
-    rows = lambda ns: h.outline("<table>" + "".join(f"<tr><td>{i}<td>x{i % 7}" for i in ns)).nodes
+    a, b = (tree(nested + f"<p>{i}") for i in (1, 2))
+    assert len(h.Matcher().align(a, b)) == len(a.keys) == 5003
+    rows = lambda ns: tree("<table>" + "".join(f"<tr><td>{i}<td>x{i % 7}" for i in ns))
     a, b = rows(range(3000)), rows(range(500, 3500))
     pairs = h.Matcher().align(a, b)
-    assert len(pairs) == len(a) and sorted({i - j for i, j in pairs}) == [0]  # as many pairs as there are nodes leave no choice
+    assert len(pairs) == len(a.keys) and sorted({i - j for i, j in pairs}) == [0]  # as many pairs as there are nodes leave no choice
     a, b = rows(range(3000)), rows(range(500, 2500))
-    same = [(i, j) for i, j in h.Matcher().align(a, b) if a["text"][i] == b["text"][j] != 0]
+    same = [(i, j) for i, j in h.Matcher().align(a, b) if a.own[i] == b.own[j] != 0]
     assert len(same) == 4000  # the equal rows meet
 
 
@@ -60,8 +65,8 @@ def brute(a, b):
     return match(a, b)
 
 
-def as_tree(nodes, children, i=0):
-    return int(nodes["key"][i]), tuple(as_tree(nodes, children, c) for c in children[i])
+def as_tree(t, i=0):
+    return t.keys[i], tuple(as_tree(t, c) for c in t.children[i])
 
 
 def random_page(rng, depth=0):
@@ -75,14 +80,13 @@ def random_page(rng, depth=0):
 def test_matching_is_that_of_the_definition():
     rng, matcher = random.Random(3), h.Matcher()
     for _ in range(150):
-        a, b = (h.outline(random_page(rng)).nodes for _ in range(2))
-        below, above = h._children(a["parent"]), h._children(b["parent"])
-        want = brute(as_tree(a, below), as_tree(b, above))
-        assert matcher.score(matcher.classes(a, below)[0], matcher.classes(b, above)[0]) == want
+        a, b = (tree(random_page(rng)) for _ in range(2))
+        want = brute(as_tree(a), as_tree(b))
+        assert matcher.score(a.classes(matcher)[0], b.classes(matcher)[0]) == want
         pairs = matcher.align(a, b)
-        assert len(pairs) == want and all(a["key"][i] == b["key"][j] for i, j in pairs)
+        assert len(pairs) == want and all(a.keys[i] == b.keys[j] for i, j in pairs)
         of = dict(pairs)
-        assert all(of[int(a["parent"][i])] == b["parent"][j] for i, j in pairs if i) and len(set(of.values())) == len(of)
+        assert all(of[a.parents[i]] == b.parents[j] for i, j in pairs if i) and len(set(of.values())) == len(of)
         assert [j for _, j in sorted(pairs)] == sorted(of.values())  # page order is kept
 
 
@@ -92,6 +96,7 @@ def test_halved_tables_are_exact():
         w = rng.integers(0, 4, rng.integers(1, 12, 2))
         total = lambda pairs, w=w: sum(int(w[p]) for p in pairs)
         whole, halved = (h._best(lambda i, w=w: w[i], *w.shape, cells) for cells in (10**6, 4))
+        assert whole == h._small(w.tolist()) and h._last(w.tolist()) == total(whole)
         assert total(whole) == total(halved) == h._rows(lambda i, w=w: w[i], 0, len(w), 0, w.shape[1])[-1]
         assert halved == sorted(halved) and len({j for _, j in halved}) == len(halved)
 
@@ -113,14 +118,15 @@ def teasers(i):
     return f'<body><div class="text">{body}</div><div class="latest"><article>Teaser {i}</article><article>Other {i + 1}</article></div></body>'
 
 
-def test_rows(spark):
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_rows(spark, small):
     rows = [(i, f"http://h.example/{i}", plain(i), "x") for i in range(6)] + [(7, None, None, "x"), (None, "http://h.example/z", PAGE, "x"), (7, None, None, "x"), (8, "http://solo.example/", "<p>" + "word " * 100_000, "x")]
     rows += [(10 + i, "http://one.example/", plain(1), "x") for i in range(3)]  # copies of one page tell nothing
     # Two layouts on one host, and a third.
     rows += [(100 + i, f"http://two.example/{i}", article(i), "x") for i in range(20)] + [(200 + i, f"http://two.example/t/{i}", teasers(i), "x") for i in range(5)]
     rows += [(300, "http://deep.example/1", "<article>" + "<div>" * 3000 + "a", "x"), (301, "http://deep.example/2", "<article>" + "<div>" * 3000 + "b", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string").repartition(5)
-    got = h.main_text(df).collect()
+    got = h.main_text(df, small=small).collect()
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
     by = {r["page_id"]: r for r in got}
     assert by[3]["text"] == "Story 3\n\nText number 3 with words of its own 21." and by[3]["by_wrapper"]
@@ -132,4 +138,4 @@ def test_rows(spark):
     for i in range(5):
         assert by[200 + i]["text"].count("\n\n") == 7 and "Teaser" not in by[200 + i]["text"]
     assert (by[300]["text"], by[301]["text"]) == ("a", "b")
-    assert h.main_text(df.limit(0)).count() == 0
+    assert h.main_text(df.limit(0), small=small).count() == 0
