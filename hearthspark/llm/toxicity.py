@@ -4,13 +4,14 @@ Each token is clean or toxic. All tokens have features: the word, its prefixes a
 per document, so token labels are those that a document's label implies: in a clean document every token is clean, in a toxic one at least one
 token is not, and which is left to the chain (a hidden-state field). The weights maximise the conditional likelihood of the labels, sum of -log Z over
 clean and of log(1 - 1/Z) over toxic documents, where the all-clean path has weight one: forward-backward gives each token's
-marginal and with it the gradient. A document's score is the chain's probability of any toxic token; spans are the tokens whose marginal is high.
+marginal and with it the gradient. A document's score is the chain's probability of any toxic token, calibrated by a logistic function of its log odds that is fitted on the training documents; spans are
+the tokens whose marginal is high, in a flagged document at least the highest.
 
 That likelihood is not concave, so the fit begins from evidence: features are counted by class, and those whose surplus in toxic documents passes a likelihood-ratio test over all
 features start at their log odds, the others at zero and under a stronger ridge, which leaves them to many documents' evidence.
 
 The fit is distributed: the training texts, at most ``max_train`` labelled rows and whole, are packed into arrays of token numbers once; each step of L-BFGS is
-a job whose tasks return one gradient each (half a megabyte). The driver holds weights and a few gradients, no texts. The model's size is fixed, it goes to the workers
+a job whose tasks return one gradient each (two megabytes). The driver holds weights and a few gradients, no texts. The model's size is fixed, it goes to the workers
 by value; texts are scored where they lie, without a shuffle. Chains are cut into segments of SEGMENT tokens whose transfer
 matrices are computed side by side, so long texts cost what their length costs.
 
@@ -26,11 +27,12 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,13 +42,13 @@ from hearthspark.llm.common import cut
 MAX_TRAIN = 12_000
 FOLDS = 5
 #: Weights of hashed features.
-SLOTS = 1 << 17
+SLOTS = 1 << 19
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3,)
 #: Weight of the squared norm against the likelihood, of features with and without evidence of their own; chance of any false evidence; steps of the fit.
-RIDGE, WEAK_RIDGE, ALPHA, STEPS = 0.5, 50.0, 0.05, 20
+RIDGE, WEAK_RIDGE, ALPHA, STEPS = 0.2, 10.0, 0.05, 30
 SEGMENT = 64
 #: Tokens that are held side by side, texts of a pack, and tasks of the fit.
-CHUNK, PACK, TASKS = 200_000, 256, 12
+CHUNK, PACK, TASKS = 200_000, 256, 8
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 250_000
 _OWN = 1 + len(PREFIXES) + len(SUFFIXES)
@@ -59,9 +61,13 @@ def fold(id_col: str, folds: int = FOLDS) -> Column:
 
 def slots(word: str) -> list[int]:
     """Of a word: slots of the word, its prefixes and its end (SLOTS where it is too short), then of a word before and of a word after that is this one."""
-    w = word.lower()
-    names = [f"={w}", *(f"{w[:n]}*" if len(w) > n else "" for n in PREFIXES), *(f"*{w[-n:]}" if len(w) > n else "" for n in SUFFIXES), f"<{w}", f">{w}"]
-    return [xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) % SLOTS if x else SLOTS for x in names]
+    word = word.lower()
+    n, w = len(word), word.encode("utf-8", "surrogatepass")
+    part = (lambda i, j: w[i:j]) if n == len(w) else (lambda i, j: word[i:j].encode("utf-8", "surrogatepass"))
+    out = [crc32(w, 1) % SLOTS]
+    out += [crc32(part(0, k), 2) % SLOTS if n > k else SLOTS for k in PREFIXES]
+    out += [crc32(part(n - k, n), 3) % SLOTS if n > k else SLOTS for k in SUFFIXES]
+    return [*out, crc32(w, 4) % SLOTS, crc32(w, 5) % SLOTS]
 
 
 def least_shingle(text: Column, n: int = 5) -> Column:
@@ -100,7 +106,7 @@ def run_chains(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, full: b
         on = inside[t]
         m[:, 0], m[:, 1] = np.where(on, a / top, m[:, 0]), np.where(on, b / top, m[:, 1])
         scale += np.where(on, np.log(top), 0)
-    flat = m.reshape(4, size).T.tolist()
+    flat, scale = m.reshape(4, size).T.tolist(), scale.tolist()
     log_z, begin = np.zeros(len(lengths)), np.zeros((size, 2))
     for d in range(len(lengths)):
         x, y, logs = 1.0, 0.0, 0.0
@@ -109,7 +115,7 @@ def run_chains(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, full: b
             a, b, c, f = flat[s]
             x, y = x * a + y * c, x * b + y * f
             z = x + y
-            x, y, logs = x / z, y / z, logs + np.log(z) + scale[s]
+            x, y, logs = x / z, y / z, logs + math.log(z) + scale[s]
         log_z[d] = max(logs, 0.0)
     if not full:
         return Chains(log_z)
@@ -156,11 +162,15 @@ def emissions(u: np.ndarray, before: np.ndarray, after: np.ndarray, tokens: np.n
     return emit
 
 
+def _words(theta: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log weights of each distinct word, before another and after it."""
+    w = theta[: SLOTS + 1]
+    return w[ids[:, :_OWN]].sum(axis=1), w[ids[:, _OWN]], w[ids[:, _OWN + 1]]
+
+
 def objective(theta: np.ndarray, ids: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray]:
     """Log-likelihood of the labels and its gradient. ``theta``: SLOTS weights, one that stays zero, bias and three moves; ``ids``: slots() of each distinct word."""
-    w, bias, trans = theta[: SLOTS + 1], theta[SLOTS + 1], theta[SLOTS + 2 :]
-    u, before, after = w[ids[:, :_OWN]].sum(axis=1), w[ids[:, _OWN]], w[ids[:, _OWN + 1]]
-    found = run_chains(emissions(u, before, after, tokens, lengths, bias), lengths, trans, full=True)
+    found = run_chains(emissions(*_words(theta, ids), tokens, lengths, theta[SLOTS + 1]), lengths, theta[SLOTS + 2 :], full=True)
     z = np.maximum(found.log_z, 1e-12)
     value = float(np.where(toxic, np.log(-np.expm1(-z)), -found.log_z).sum())
     c = np.where(toxic, 1 / np.expm1(np.minimum(z, 700)), -1.0)
@@ -214,9 +224,25 @@ def maximise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndar
     return theta
 
 
+def log_odds(log_z: np.ndarray) -> np.ndarray:
+    """Of any toxic token, within bounds: log(z - 1)."""
+    return np.clip(np.where(log_z < 30, np.log(np.maximum(np.expm1(np.minimum(log_z, 30)), 1e-300)), log_z), -20, 20)
+
+
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Logistic regression of the class on the log odds, by Newton steps with a little ridge."""
+    rows, w = np.stack([np.ones_like(x), x], axis=1), np.zeros(2)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        h = (rows * (p * (1 - p))[:, None]).T @ rows + 0.05 * np.eye(2)
+        w = w + np.linalg.solve(h, rows.T @ (y - p) - 0.05 * w)
+    return (float(w[0]), float(w[1])) if w[1] > 0 else (0.0, 1.0)
+
+
 @dataclass
 class Model:
     theta: np.ndarray | None = None
+    link: tuple[float, float] = (0.0, 1.0)
     constant: float | None = None
 
     def scorer(self) -> Scorer:
@@ -227,54 +253,49 @@ class Scorer:
     """Scores texts in a worker; the weights of words met are kept."""
 
     def __init__(self, model: Model) -> None:
-        self.constant = model.constant
+        self.constant, self.link = model.constant, model.link
         if self.constant is None:
             theta = model.theta.astype(np.float64)
-            self.w, self.bias, self.trans = theta[: SLOTS + 1], theta[SLOTS + 1], theta[SLOTS + 2 :]
+            self.theta, self.bias, self.trans = theta, theta[SLOTS + 1], theta[SLOTS + 2 :]
             self._forget()
 
     def _forget(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.rows = np.zeros((1024, 3))
-
-    def _number(self, word: str) -> int:
-        n = len(self.numbers)
-        if n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        ids = slots(word)
-        self.rows[n] = self.w[ids[:_OWN]].sum(), self.w[ids[_OWN]], self.w[ids[_OWN + 1]]
-        self.numbers[word] = n
-        return n
+        self.rows = np.zeros((0, 3))
 
     def chains(self, texts: list[str | None], full: bool = False) -> tuple[Chains, np.ndarray]:
         if len(self.numbers) > _CACHE:
             self._forget()
-        tokens, lengths, numbers = [], [], self.numbers
-        for text in texts:
-            words = _WORD.findall(text or "")
-            tokens += [numbers[w] if w in numbers else self._number(w) for w in words]
-            lengths.append(len(words))
-        tokens, lengths = np.array(tokens, np.int64), np.array(lengths, np.int64)
-        emit = emissions(*self.rows.T, tokens, lengths, self.bias)
-        return run_chains(emit, lengths, self.trans, full), lengths
+        words, numbers = [_WORD.findall(text or "") for text in texts], self.numbers
+        lengths = np.array([len(w) for w in words], np.int64)
+        flat = list(chain.from_iterable(words))
+        new = [w for w in dict.fromkeys(flat) if w not in numbers]
+        if new:
+            ids = np.array([slots(w) for w in new])
+            numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
+            self.rows = np.concatenate([self.rows, np.stack(_words(self.theta, ids), axis=1)])
+        tokens = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
+        return run_chains(emissions(*self.rows.T, tokens, lengths, self.bias), lengths, self.trans, full), lengths
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The probability of any toxic token."""
+        """The calibrated probability of any toxic token."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         out, at, held = [], 0, 0
         for i, text in enumerate(texts):
             held += len(text or "") // 6
             if held > CHUNK or i == len(texts) - 1:
-                out.append(-np.expm1(-self.chains(texts[at : i + 1])[0].log_z))
+                x = log_odds(self.chains(texts[at : i + 1])[0].log_z)
+                out.append(1 / (1 + np.exp(-self.link[0] - self.link[1] * x)))
                 at, held = i + 1, 0
         return np.concatenate(out) if out else np.zeros(0)
 
     def spans(self, text: str | None, at_least: float) -> list[dict]:
-        """Tokens of the text as it stands, in code points, end exclusive, whose marginal is ``at_least`` that."""
+        """Tokens of the text as it stands, in code points, end exclusive, whose marginal is ``at_least`` that, or the highest."""
         if self.constant is not None:
             return []
         p = self.chains([text], full=True)[0].marginals
+        at_least = min(at_least, p.max(initial=0))
         return [{"start": m.start(), "end": m.end(), "score": float(x)} for m, x in zip(_WORD.finditer(text or ""), p, strict=True) if x >= at_least]
 
 
@@ -318,14 +339,27 @@ def _gradients(theta: np.ndarray):
     return run
 
 
+def _odds(theta: np.ndarray):
+    """(x, y): log odds and class of the packs' documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(i) for i in range(4)), strict=True):
+                ids, tokens, lengths, toxic = _arrays(row)
+                emit = emissions(*_words(theta, ids), tokens, lengths, theta[SLOTS + 1])
+                yield pa.RecordBatch.from_arrays([pa.array(log_odds(run_chains(emit, lengths, theta[SLOTS + 2 :]).log_z)), pa.array(toxic.astype(float))], names=["x", "y"])
+
+    return run
+
+
 def _support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Clean and toxic documents in which each slot occurs."""
+    """Clean and toxic documents in which each slot of a word itself occurs."""
     counts = np.zeros((2, SLOTS + 1), "<i4")
     for batch in batches:
         for row in zip(*(batch.column(i) for i in range(4)), strict=True):
             ids, tokens, lengths, toxic = _arrays(row)
             for part, y in zip(np.split(tokens, np.cumsum(lengths)[:-1]), toxic, strict=True):
-                counts[int(y), np.unique(ids[np.unique(part)])] += 1
+                counts[int(y), np.unique(ids[np.unique(part), :_OWN])] += 1  # a word beside is no evidence of its own
     yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
 
 
@@ -349,7 +383,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # Copies and near copies would count as independent witnesses: of texts with one least shingle, that of the least hash is kept.
     order = F.struct(F.xxhash64("_id"), "_id", F.xxhash64("text"))
     train = train.groupBy(F.coalesce(least_shingle(F.col("text")), F.lit(0)).alias("_key"), "toxic").agg(F.min_by("text", order).alias("text"))
-    packs = cut(train.select("text", "toxic").repartition(TASKS, "_key").mapInArrow(_pack, "ids binary, tokens binary, lengths binary, toxic binary, n long, t long"))
+    # So few tasks, whatever the cluster, as each returns a gradient.
+    packs = cut(train.repartition(TASKS).sortWithinPartitions("_key", "toxic").select("text", "toxic").mapInArrow(_pack, "ids binary, tokens binary, lengths binary, toxic binary, n long, t long"))
     n = packs.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
     if not n["n"] or n["t"] in (0, n["n"]):
         return Model(constant=n["t"] / n["n"] if n["n"] else 0.0)
@@ -370,14 +405,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             total, grad = total + row["value"], grad + np.frombuffer(row["grad"], "<f4")
         return total - float(ridge @ theta**2) / 2, grad - ridge * theta
 
-    return Model(maximise(value, theta).astype(np.float32))
+    theta = maximise(value, theta)
+    # At most max_train rows of two numbers.
+    odds = np.array([tuple(r) for r in packs.mapInArrow(_odds(theta), "x double, y double").collect()])
+    return Model(theta.astype(np.float32), calibrate(*odds.T))
 
 
 SCORED = "score double, spans array<struct<start:int,end:int,score:double>>"
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", at_least: float = 0.5) -> DataFrame:
-    """``docs`` with ``score`` and ``spans``: tokens whose marginal is ``at_least`` that, in code points, end exclusive."""
+    """``docs`` with ``score`` and, where that is a half or more, ``spans``: tokens whose marginal is ``at_least`` that or the highest, in code points, end exclusive."""
     names = [c for c in docs.columns if c not in ("score", "spans")]
     kept = docs.select(*names)
     at_text = names.index(text_col)
@@ -387,8 +425,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", at_least:
         for batch in batches:
             texts = batch.column(at_text).to_pylist()
             scores = scorer.scores(texts)
-            # A token's marginal is never above the score, the probability of any.
-            spans = [scorer.spans(t, at_least) if s >= at_least else [] for t, s in zip(texts, scores, strict=True)]
+            spans = [scorer.spans(t, at_least) if s >= 0.5 else [] for t, s in zip(texts, scores, strict=True)]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], names=[*names, "score", "spans"])
 
