@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthspark.llm import decontaminate, jaccard, sampling, secrets, simhash, toxicity
-from hearthspark.llm.common import cut, fresh_dir, numbered
+from hearthspark.llm.common import cut, fresh_dir, numbered, remove
 from hearthspark.sources.tables import table
 
 _ROW = "_pipeline_row"
@@ -80,10 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. A stage's table is deleted when the next one's is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         path = fresh_dir(spark, f"stage{i}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
