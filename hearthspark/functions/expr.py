@@ -13,11 +13,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_upper(c: Column) -> Column:
-    return F.translate(c, _LOWER, _UPPER)
+    """a-z to A-Z and nothing else; all-ASCII texts take the built-in, which is much faster."""
+    return F.when(F.octet_length(c) == F.length(c), F.upper(c)).otherwise(F.translate(c, _LOWER, _UPPER))
 
 
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, _UPPER, _LOWER)
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _LOWER))
 
 
 def trim_ws(c: Column) -> Column:
@@ -160,8 +161,12 @@ def tokens(text: Column) -> Column:
 
 def norm_token(token: Column) -> Column:
     """Upper case without marks at either end; a misread NIK is mended."""
-    t = F.regexp_replace(ascii_upper(token), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return F.when(t == "N1K", "NIK").otherwise(t)
+    return norm_upper(ascii_upper(token))
+
+
+def norm_upper(token: Column) -> Column:
+    """norm_token() of a token in upper case."""
+    return F.regexp_replace(F.regexp_replace(token, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), "^N1K$", "NIK")
 
 
 def repair_digits(text: Column) -> Column:
@@ -196,11 +201,21 @@ def parse_date(text: Column, newest_year: int = 2100) -> Column:
     return F.when((y != "") & year.between(1900, newest_year), day)
 
 
-def header_value(line: Column, name: str) -> Column:
-    """Value after a label, upper case: ``LABEL x : value``, ``LABEL value`` or a bare label (empty value); null if the line has another label."""
-    up = trim_ws(F.replace(ascii_upper(line), F.lit("N0MOR"), F.lit("NOMOR")))
+def header_text(line: Column) -> Column:
+    """A line in upper case, as labels are looked for in it."""
+    return trim_ws(F.replace(ascii_upper(line), F.lit("N0MOR"), F.lit("NOMOR")))
+
+
+def labelled(text: Column, name: str) -> Column:
+    """Of a header_text(), the value after a label: ``LABEL x : value``, ``LABEL value`` or a bare label (empty value); null if the line has another label."""
     colon = rf"^{name}\s*[A-Z0-9]?\s*:\s*(.*)$"
-    return F.when(up.rlike(colon), F.regexp_extract(up, colon, 1)).when(up.rlike(rf"^{name}\s+"), F.regexp_extract(up, rf"^{name}\s+(.*)$", 1)).when(up == name, F.lit(""))
+    value = F.when(text.rlike(colon), F.regexp_extract(text, colon, 1)).when(text.rlike(rf"^{name}\s+"), F.regexp_extract(text, rf"^{name}\s+(.*)$", 1)).when(text == name, F.lit(""))
+    return F.when(text.startswith(name), value)
+
+
+def header_value(line: Column, name: str) -> Column:
+    """labelled() of a line as it is."""
+    return labelled(header_text(line), name)
 
 
 def mime_type(content: Column) -> Column:

@@ -1,17 +1,18 @@
-"""Household records from scanned text: lines, windows and aggregates over all documents at once, no Python in the tasks.
+"""Household records from scanned text: a projection of each row on arrays, no shuffle and no Python in the tasks.
 
-A document's lines become rows. Labels before the members' table give the household's fields, the first value of each wins. In the table, a line with a
-sixteen-digit number begins a member, following lines continue it, numbered lines without such a number end it; a running count of beginnings
-numbers the members. A member's fields are found in its token array by position and by the longest known phrase.
+A document's lines are an array. Labels before the members' table give the household's fields, the first value of each wins. In the table, a line with a
+sixteen-digit number begins a member, following lines continue it, numbered lines without such a number end it. A member's fields are found in its token array by
+position and by the longest known phrase. Rows don't meet, so ids may repeat or be null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthspark.functions import expr as E
-from hearthspark.sources.cuts import cut
 
 # Labels in the order they are tried, words of the tables' vocabulary, markers, misread words.
 HEADER_LABELS = {
@@ -30,6 +31,9 @@ VOCABULARY = {
     "marital_status": ["BELUM KAWIN", "CERAI HIDUP", "CERAI MATI", "KAWIN"],
     "family_relation": ["KEPALA KELUARGA", "ORANG TUA", "FAMILI LAIN", "MENANTU", "CUCU", "MERTUA", "ISTRI", "ANAK", "LAINNYA"],
 }
+#: How a card writes RT and RW together: both labelled, joined by a mark, or as the only two numbers.
+_NUMBER = r"(\d{1,3})"
+RT_RW = [r"(?i)" + ".*?".join(rf"{label}\s*[:.]?\s*{_NUMBER}" for label in ("RT", "RW")), rf"{_NUMBER}\s*[-/]\s*{_NUMBER}", rf"^\D*{_NUMBER}\D+{_NUMBER}\D*$"]
 #: Fields whose values are codes, with underscores.
 CODED = ("marital_status", "family_relation")
 ALIASES = {"N1K": "NIK", "KAT0LIK": "KATOLIK", "KR1STEN": "KRISTEN", "H1NDU": "HINDU", "BUDHHA": "BUDDHA", "KAW1N": "KAWIN", "1STRI": "ISTRI", "AN4K": "ANAK"}
@@ -42,9 +46,10 @@ _PAIR = "struct<raw:string,norm:string>"
 _ID = r"^\d{16}$"
 
 
-def line_tokens(line: Column) -> Column:
-    """Array of (raw, norm); runs of two or more short numbers with sixteen digits together are one token."""
-    pairs = F.transform(E.tokens(line), lambda x: F.struct(x.alias("raw"), E.norm_token(x).alias("norm")))
+def line_tokens(line: Column, upper: Column | None = None) -> Column:
+    """Array of (raw, norm) of a line (and the same in upper case); runs of two or more short numbers with sixteen digits together are one token."""
+    upper = E.ascii_upper(line) if upper is None else upper
+    pairs = F.zip_with(E.tokens(line), E.tokens(upper), lambda x, y: F.struct(x.alias("raw"), E.norm_upper(y).alias("norm")))
     joined = lambda run: F.array_join(run["raw"], "")
 
     def flushed(acc: Column) -> Column:
@@ -53,12 +58,15 @@ def line_tokens(line: Column) -> Column:
         return F.concat(acc["out"], F.when((F.size(acc["run"]) >= 2) & (F.length(whole) == 16), one).otherwise(acc["run"]))
 
     none = F.expr(f"cast(array() as array<{_PAIR}>)")
-    return F.aggregate(
+    # Appending costs the length so far each time; lines without two short numbers side by side need none of it.
+    runs = F.contains(F.array_join(F.transform(pairs, lambda x: F.when(x["norm"].rlike(r"^\d{1,6}$"), "1").otherwise("0")), ""), F.lit("11"))
+    merged = F.aggregate(
         pairs, F.struct(none.alias("out"), none.alias("run")),
         lambda acc, x: F.when(x["norm"].rlike(r"^\d{1,6}$"), F.struct(acc["out"].alias("out"), F.array_append(acc["run"], x).alias("run")))
         .otherwise(F.struct(F.array_append(flushed(acc), x).alias("out"), none.alias("run"))),
         flushed,
     )
+    return F.when(runs, merged).otherwise(pairs)
 
 
 def tsv_text(words: DataFrame, key: str) -> DataFrame:
@@ -72,171 +80,200 @@ def tsv_text(words: DataFrame, key: str) -> DataFrame:
     return words.select(key).distinct().join(found, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("_t", F.lit("")).alias("raw_text"), F.coalesce("_c", F.lit(0.0)).alias("confidence"), F.coalesce("_n", F.lit(0)).alias("word_count"))
 
 
+def _with(df: DataFrame, column: str, keep: str, **fields: Callable[[Column], Column]) -> DataFrame:
+    """Each struct of an array with its fields ``keep`` and new ones. A step copies what it keeps, so fields are made several at a time and let go when used."""
+    return df.withColumn(column, F.transform(column, lambda x: F.struct(*[x[k].alias(k) for k in keep.split()], *[f(x).alias(name) for name, f in fields.items()])))
+
+
+def _has(tokens: Column, word: str) -> Column:
+    return F.exists(tokens, lambda x: x["norm"] == word)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines with tokens; ``h``: the line of the table's heading, null without one."""
-    rows = docs.select("id", F.posexplode(E.normalize_lines(F.coalesce("raw_text", F.lit("")))).alias("i", "line")).withColumn("t", line_tokens(F.col("line")))
-    order, whole = Window.partitionBy("id").orderBy("i"), Window.partitionBy("id")
-    rows = rows.withColumn("_nama", F.exists("t", lambda x: x["norm"] == "NAMA"))
-    near = F.col("_nama") | F.coalesce(F.lag("_nama").over(order), F.lit(False)) | F.coalesce(F.lead("_nama").over(order), F.lit(False))
-    rows = rows.withColumn("_head", F.exists("t", lambda x: x["norm"] == "NIK") & near).withColumn("next", F.lead("line").over(order))
-    return rows.withColumn("h", F.min(F.when(F.col("_head"), F.col("i"))).over(whole)).drop("_nama", "_head")
-
-
-def _header(lines: DataFrame) -> DataFrame:
-    """Per document the household's fields and ``hw``, warnings by line."""
-    label = F.coalesce(*[F.when(E.header_value(F.col("line"), name).isNotNull(), F.struct(F.lit(key).alias("key"), F.trim(E.header_value(F.col("line"), name)).alias("value"))) for key, name in HEADER_LABELS.items()])
-    rows = lines.filter(F.col("h").isNull() | (F.col("i") < F.col("h"))).withColumn("kv", label)
-    key, value = F.col("kv.key"), F.nullif(F.col("kv.value"), F.lit(""))
-    is_kk = key.isin("NOMOR_KARTU_KELUARGA", "NOMOR_KK", "NO_KK")
+    """``lines``, array of (i, line, up: the line in upper case, t: tokens); ``h``: place of the table's heading, null without one: a line with NIK, NAMA in it or beside it."""
+    df = docs.withColumn("_l", E.normalize_lines(F.coalesce("raw_text", F.lit(""))))
+    df = df.withColumn("lines", F.transform("_l", lambda x, i: F.struct(i.alias("i"), x.alias("line"), E.ascii_upper(x).alias("up")))).drop("_l")
+    df = _with(df, "lines", "i line up", t=lambda x: line_tokens(x["line"], x["up"]))
+    df = df.withColumn("_nama", F.transform("lines", lambda x: _has(x["t"], "NAMA")))
+    near = lambda i: F.coalesce(F.get("_nama", i), F.lit(False))
+    at = F.array_position(F.transform("lines", lambda x, i: _has(x["t"], "NIK") & (near(i - 1) | near(i) | near(i + 1))), True).cast("int")
+    return df.withColumn("h", F.nullif(at, F.lit(0)) - 1).drop("_nama")
+
+
+_KK = ("NOMOR_KARTU_KELUARGA", "NOMOR_KK", "NO_KK")
+
+
+def _header(df: DataFrame) -> DataFrame:
+    """The household's fields, the first value of each, and ``hw``, warnings by line."""
+    # The first label that fits, by number, then its value.
+    number = lambda x: F.array_position(F.array(*[E.labelled(x["text"], name).isNotNull() for name in HEADER_LABELS.values()]), True).cast("int")
+    nth = lambda n, values: F.get(F.array(*values), n - 1)
+    text = lambda x: F.coalesce(*[F.when(x["n"] == n, F.trim(E.labelled(x["text"], name))) for n, name in enumerate(HEADER_LABELS.values(), 1)])
     id16 = lambda x: F.coalesce(F.nullif(E.id16(x, repair=False), F.lit("")), F.nullif(E.id16(E.ascii_upper(x)), F.lit("")))
-    patterns = [r"(?i)RT\s*[:.]?\s*(\d{1,3}).*?RW\s*[:.]?\s*(\d{1,3})", r"(\d{1,3})\s*[-/]\s*(\d{1,3})", r"^\D*(\d{1,3})\D+(\d{1,3})\D*$"]
-    pair = lambda g: F.coalesce(*[F.nullif(F.regexp_extract(value, p, g), F.lit("")) for p in patterns])
-    short = F.translate(E.ascii_upper(value), "OIL", "011")
-    both = key == "RT_RW"
-    rows = rows.select(
-        "id", "i", "line", "t", key.alias("key"), value.alias("value"),
-        F.when(is_kk, F.coalesce(id16(value), F.when(value.isNull(), id16(F.col("next"))))).alias("kk"),
-        F.when(key == "ALAMAT", value).alias("address"),
-        F.when(both, E.area_number(pair(1))).when(key == "RT", E.area_number(short)).alias("rt"),
-        F.when(both, E.area_number(pair(2))).when(key == "RW", E.area_number(short)).alias("rw"),
-        F.when(key == "LINGKUNGAN", F.regexp_replace(F.regexp_replace(value, r"\s+", " "), r"(?i)^LINGKUNGAN\s+(.+)$", "Lingkungan $1")).alias("lingkungan"),
+    is_kk, both = (lambda x: x["key"].isin(*_KK)), (lambda x: x["key"] == "RT_RW")
+    pair = lambda x, g: F.coalesce(*[F.nullif(F.regexp_extract(x["value"], p, g), F.lit("")) for p in RT_RW])
+    short = lambda x: E.area_number(F.translate(E.ascii_upper(x["value"]), "OIL", "011"))
+    df = df.withColumn("hl", F.slice("lines", F.lit(1), F.coalesce("h", F.size("lines"))))
+    df = _with(df, "hl", "i line t", next=lambda x: F.get("lines", x["i"] + 1)["line"], text=lambda x: E.trim_ws(F.replace(x["up"], F.lit("N0MOR"), F.lit("NOMOR"))))
+    df = _with(df, "hl", "i line t next text", n=number)
+    df = _with(df, "hl", "i line t next", key=lambda x: nth(x["n"], map(F.lit, HEADER_LABELS)), value=lambda x: F.nullif(text(x), F.lit("")))
+    df = _with(
+        df, "hl", "i line t key value", kk_number=lambda x: F.when(is_kk(x), F.coalesce(id16(x["value"]), F.when(x["value"].isNull(), id16(x["next"])))),
+        address=lambda x: F.when(x["key"] == "ALAMAT", x["value"]), rt=lambda x: F.when(both(x), E.area_number(pair(x, 1))).when(x["key"] == "RT", short(x)),
+        rw=lambda x: F.when(both(x), E.area_number(pair(x, 2))).when(x["key"] == "RW", short(x)),
+        lingkungan=lambda x: F.when(x["key"] == "LINGKUNGAN", F.regexp_replace(F.regexp_replace(x["value"], r"\s+", " "), r"(?i)^LINGKUNGAN\s+(.+)$", "Lingkungan $1")),
     )
-    whole = Window.partitionBy("id")
-    for f in ("kk", "address", "rt", "rw", "lingkungan"):
-        rows = rows.withColumn(f"{f}1", F.min_by(f, F.when(F.col(f).isNotNull(), F.col("i"))).over(whole))
-    at = F.min(F.when(F.col("address").isNotNull(), F.col("i"))).over(whole)
-    further = F.col("key").isNull() & ~F.contains("line", F.lit(":")) & ~F.exists("t", lambda x: (x["norm"] == "NIK") | x["norm"].rlike(_ID))
-    rows = rows.withColumn("more", F.when(further & (F.col("i") > at), F.struct("i", "line")))
-    differs = lambda f: F.col(f).isNotNull() & (F.col(f) != F.col(f"{f}1"))
+    for f in ("kk_number", "address", "rt", "rw", "lingkungan"):
+        df = df.withColumn(f, F.get(F.filter("hl", lambda x: x[f].isNotNull()), F.lit(0))[f])
+    differs = lambda x, f: x[f].isNotNull() & (x[f] != F.col(f))
     say = lambda cond, *parts: F.when(F.coalesce(cond, F.lit(False)), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
-    pair_row, kk_row = F.col("key") == "RT_RW", F.col("key").isin("NOMOR_KARTU_KELUARGA", "NOMOR_KK", "NO_KK")
-    told = F.array(
-        say(kk_row & F.col("kk").isNull() & F.col("value").isNotNull(), "Nomor KK tidak terbaca pada baris: ", F.col("value")),
-        say(differs("kk"), "Nomor KK ganda tidak konsisten: ", F.col("kk"), " diabaikan."),
-        say(differs("address"), "Label ALAMAT ditemukan lebih dari satu kali." + KEPT),
-        say(pair_row & F.col("rt").isNull() & F.col("rw").isNull(), "Nilai RT/RW ditemukan tetapi formatnya tidak dikenali."),
-        say(pair_row & differs("rt"), "Nilai RT berbeda ditemukan pada dokumen." + KEPT), say(pair_row & differs("rw"), "Nilai RW berbeda ditemukan pada dokumen." + KEPT),
-        say(~pair_row & differs("rt"), "Nilai RT ganda tidak konsisten." + KEPT), say(~pair_row & differs("rw"), "Nilai RW ganda tidak konsisten." + KEPT),
-        say(differs("lingkungan"), "Nilai lingkungan ganda tidak konsisten." + KEPT),
+    told = lambda x: F.filter(F.array(
+        say(is_kk(x) & x["kk_number"].isNull() & x["value"].isNotNull(), "Nomor KK tidak terbaca pada baris: ", x["value"]),
+        say(differs(x, "kk_number"), "Nomor KK ganda tidak konsisten: ", x["kk_number"], " diabaikan."),
+        say(differs(x, "address"), "Label ALAMAT ditemukan lebih dari satu kali." + KEPT),
+        say(both(x) & x["rt"].isNull() & x["rw"].isNull(), "Nilai RT/RW ditemukan tetapi formatnya tidak dikenali."),
+        say(both(x) & differs(x, "rt"), "Nilai RT berbeda ditemukan pada dokumen." + KEPT), say(both(x) & differs(x, "rw"), "Nilai RW berbeda ditemukan pada dokumen." + KEPT),
+        say(~both(x) & differs(x, "rt"), "Nilai RT ganda tidak konsisten." + KEPT), say(~both(x) & differs(x, "rw"), "Nilai RW ganda tidak konsisten." + KEPT),
+        say(differs(x, "lingkungan"), "Nilai lingkungan ganda tidak konsisten." + KEPT),
+    ), lambda w: w.isNotNull())
+    df = df.withColumn("hw", F.flatten(F.transform("hl", told)))
+    # Lines without a label that follow the address belong to it.
+    at = F.get(F.filter("hl", lambda x: x["address"].isNotNull()), F.lit(0))["i"]
+    further = lambda x: x["key"].isNull() & (x["i"] > at) & ~F.contains(x["line"], F.lit(":")) & ~F.exists(x["t"], lambda y: (y["norm"] == "NIK") | y["norm"].rlike(_ID))
+    more = F.transform(F.filter("hl", further), lambda x: x["line"])
+    return df.withColumn("address", F.when(F.col("address").isNotNull(), F.array_join(F.concat(F.array("address"), more), " "))).drop("hl")
+
+
+def _segments(df: DataFrame) -> DataFrame:
+    """``m``, the members as (i, ordinal, t), and ``lost``, warnings of the table as (i, w)."""
+    up = lambda x: x["up"]
+    ends = lambda x: F.array_position(F.transform(F.array(*[F.lit(m) for m in END_MARKERS]), lambda m: F.startswith(up(x), m)), True) > 0
+    # Without a heading there is no table.
+    df = df.withColumn("b", F.slice("lines", F.coalesce(F.col("h") + 2, F.lit(1)), F.when(F.col("h").isNull(), 0).otherwise(F.size("lines"))))
+    df = df.withColumn("_e", F.array_position(F.transform("b", ends), True).cast("int"))
+    df = df.withColumn("b", F.slice("b", F.lit(1), F.when(F.col("_e") > 0, F.col("_e") - 1).otherwise(F.size("b")))).drop("_e")
+    is_id = lambda t: F.exists(t, lambda y: y["norm"].rlike(_ID))
+    df = _with(
+        df, "b", "i line t", kind=lambda x: F.when(is_id(x["t"]), "nik").when(F.get(x["t"], F.lit(0))["norm"].rlike(r"^\d{1,2}$"), "num").when(up(x).isin(NOISE), "noise").otherwise("cont"),
+        digits=lambda x: x["line"].rlike(r"\d{2,}"),
     )
-    rows = rows.withColumn("w", F.struct("i", F.filter(told, lambda x: x.isNotNull()).alias("w")))
-    out = rows.groupBy("id").agg(
-        *[F.first(f"{f}1").alias(f) for f in ("kk", "address", "rt", "rw", "lingkungan")], F.array_sort(F.collect_list("more")).alias("more"), F.array_sort(F.collect_list("w")).alias("hw")
-    )
-    address = F.when(F.col("address").isNotNull(), F.array_join(F.concat(F.array("address"), F.col("more.line")), " "))
-    return out.select("id", F.col("kk").alias("kk_number"), address.alias("address"), "rt", "rw", "lingkungan", F.flatten(F.col("hw.w")).alias("hw"))
-
-
-def _segments(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (id, i, ordinal, t) and the table's warnings (id, i, w)."""
-    up = E.ascii_upper(F.col("line"))
-    order, whole = Window.partitionBy("id").orderBy("i"), Window.partitionBy("id")
-    rows = lines.filter(F.col("i") > F.col("h"))
-    ends = F.lit(False)
-    for m in END_MARKERS:
-        ends = ends | up.startswith(m)
-    rows = rows.withColumn("_end", F.min(F.when(ends, F.col("i"))).over(whole)).filter(F.col("_end").isNull() | (F.col("i") < F.col("_end")))
-    kind = F.when(F.exists("t", lambda x: x["norm"].rlike(_ID)), "nik").when(F.get("t", F.lit(0))["norm"].rlike(r"^\d{1,2}$"), "num").when(up.isin(NOISE), "noise").otherwise("cont")
-    rows = rows.withColumn("kind", kind).withColumn("seg", F.count_if(F.col("kind").isin("nik", "num")).over(order))
-    rows = rows.withColumn("begin", F.first("kind").over(Window.partitionBy("id", "seg").orderBy("i"))).withColumn("before", F.last(F.when(F.col("kind").isin("nik", "num"), F.col("kind")), True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    member = (F.col("begin") == "nik") & (F.col("seg") > 0)
-    digits = F.col("line").rlike(r"\d{2,}")
-    lost = F.when(F.col("kind") == "num", (F.coalesce("before", F.lit("")) == "nik") | digits).otherwise(~member & digits)
-    warned = rows.filter(lost).select("id", "i", F.concat(F.lit("Baris anggota tidak dapat diuraikan (NIK tidak terbaca): "), "line").alias("w"))
-    kept = rows.filter(member & (F.col("kind") != "noise"))
-    members = kept.groupBy("id", "seg").agg(F.min("i").alias("i"), F.min("h").alias("h"), F.array_sort(F.collect_list(F.struct("i", "t"))).alias("parts"))
-    return members.select("id", "i", (F.col("i") - F.col("h")).alias("ordinal"), F.flatten(F.col("parts.t")).alias("t")), warned
-
-
-def _phrase(df: DataFrame, field: str) -> DataFrame:
-    """Adds ``field``: the longest of its phrases in ``v``, the earliest of equals; its words are blanked in ``v``."""
+    # Segments begin at lines with a sixteen-digit or a running number; the one before the first has no beginning.
+    starts = F.filter(F.transform("b", lambda x, i: F.when(x["kind"].isin("nik", "num"), i + 1)), lambda i: i.isNotNull())
+    df = df.withColumn("_s", F.concat(F.array(F.lit(0)), starts))
+    lines = lambda s, j: F.slice("b", F.greatest(s, F.lit(1)), F.coalesce(F.get("_s", j + 1), F.size("b") + 1) - F.greatest(s, F.lit(1)))
+    df = df.withColumn("_seg", F.transform("_s", lambda s, j: F.struct(F.when(s > 0, F.get("b", s - 1)["kind"]).alias("kind"), F.when(j > 0, F.get("b", F.get("_s", j - 1) - 1)["kind"]).alias("before"), lines(s, j).alias("ls"))))
+    member = lambda x: F.coalesce(x["kind"] == "nik", F.lit(False))
+    tokens = lambda x: F.flatten(F.transform(F.filter(x["ls"], lambda y: y["kind"] != "noise"), lambda y: y["t"]))
+    first = lambda x: F.get(x["ls"], F.lit(0))["i"]
+    df = df.withColumn("m", F.transform(F.filter("_seg", member), lambda x: F.struct(first(x).alias("i"), (first(x) - F.col("h")).alias("ordinal"), tokens(x).alias("t"))))
+    lost = lambda x: F.filter(x["ls"], lambda y: y["digits"] | ((y["kind"] == "num") & F.coalesce(x["before"] == "nik", F.lit(False))))
+    told = lambda y: F.struct(y["i"].alias("i"), F.concat(F.lit("Baris anggota tidak dapat diuraikan (NIK tidak terbaca): "), y["line"]).alias("w"))
+    df = df.withColumn("lost", F.transform(F.flatten(F.transform(F.filter("_seg", lambda x: ~member(x)), lost)), told))
+    return df.drop("b", "_s", "_seg", "lines")
+
+
+def _phrase(df: DataFrame, field: str, done: str) -> DataFrame:
+    """Adds ``field`` to the structs of ``ph``: the longest of its phrases in ``v``, the earliest of equals; its words are blanked in ``v``."""
     by_len: dict[int, list[str]] = {}
     for p in VOCABULARY[field]:
         by_len.setdefault(len(p.split()), []).append(p)
-    found = []
-    for n in sorted(by_len, reverse=True):
-        found.append(F.array_position(_starts(n, by_len[n]), True).cast("int"))
-    lens = sorted(by_len, reverse=True)
-    at, size = F.lit(0), F.lit(0)
-    for n, f in reversed(list(zip(lens, found, strict=True))):
-        at, size = F.when(f > 0, f).otherwise(at), F.when(f > 0, n).otherwise(size)
-    df = df.withColumn("_at", at).withColumn("_n", size)
-    text = F.array_join(F.slice("v", F.greatest(F.col("_at"), F.lit(1)), F.col("_n")), " ")
-    df = df.withColumn(field, F.when(F.col("_at") > 0, F.translate(text, " ", "_") if field in CODED else text))
-    blanked = F.transform("v", lambda x, i: F.when((i + 1 >= F.col("_at")) & (i + 1 < F.col("_at") + F.col("_n")), "").otherwise(x))
-    return df.withColumn("v", blanked).drop("_at", "_n")
-
-
-def _starts(n: int, phrases: list[str]) -> Column:
+    longest = sorted(by_len, reverse=True)
+    df = _with(df, "ph", f"v {done}", at=lambda x: F.array(*[F.array_position(_starts(x["v"], n, by_len[n]), True).cast("int") for n in longest]))
+    first = lambda x: F.array_position(F.transform(x["at"], lambda a: a > 0), True).cast("int")
+    df = _with(df, "ph", f"v {done}", f=lambda x: F.when(first(x) > 0, F.struct(F.get(x["at"], first(x) - 1).alias("at"), F.get(F.array(*map(F.lit, longest)), first(x) - 1).alias("n"))))
+
+    def value(x: Column) -> Column:
+        text = F.array_join(F.slice(x["v"], x["f"]["at"], x["f"]["n"]), " ")
+        return F.when(x["f"].isNotNull(), F.translate(text, " ", "_") if field in CODED else text)
+
+    inside = lambda x, i: (i + 1 >= x["f"]["at"]) & (i + 1 < x["f"]["at"] + x["f"]["n"])
+    blanked = lambda x: F.when(x["f"].isNotNull(), F.transform(x["v"], lambda w, i: F.when(inside(x, i), "").otherwise(w))).otherwise(x["v"])
+    return _with(df, "ph", done, v=blanked, **{field: value})
+
+
+def _starts(v: Column, n: int, phrases: list[str]) -> Column:
     """Whether a phrase of ``n`` words begins at each word of ``v``. Words that begin none are settled by their own."""
     if n == 1:
-        return F.transform("v", lambda x: x.isin(phrases))
+        return F.transform(v, lambda x: x.isin(phrases))
     begins = sorted({p.split()[0] for p in phrases})
-    return F.transform("v", lambda x, i: x.isin(begins) & F.concat_ws(" ", x, *[F.coalesce(F.get("v", i + j), F.lit("")) for j in range(1, n)]).isin(phrases))
-
-
-def _members(members: DataFrame, newest_year: int) -> DataFrame:
-    """Fields of each member, ``w`` its warning and ``e`` its errors."""
-    df = members.withColumn("p", F.array_position(F.transform("t", lambda x: x["norm"].rlike(_ID)), True).cast("int"))
-    df = df.withColumn("nik", F.get("t", F.col("p") - 1)["norm"])
-    first = Window.partitionBy("id", "nik").orderBy("i")
-    df = df.withColumn("again", F.row_number().over(first) > 1)
-    lead = F.slice("t", F.lit(1), F.col("p") - 1)
-    skip = F.array_position(F.transform(lead, lambda x: x["norm"].rlike(r"^\d{1,2}$")), False).cast("int")
-    df = df.withColumn("nama", F.when(skip > 0, F.array_join(F.slice(lead["raw"], skip, F.col("p")), " "))).withColumn("a", F.slice("t", F.col("p") + 1, F.size("t")))
-    word = lambda i: F.get("a", i)["norm"]
-    is_gender = lambda x, i: x["norm"].isin("PEREMPUAN", "LAKI-LAKI", "LAKILAKI") | ((x["norm"] == "LAKI") & F.coalesce(word(i + 1) == "LAKI", F.lit(False)))
-    df = df.withColumn("g", F.array_position(F.transform("a", is_gender), True).cast("int"))
-    df = df.withColumn("gender", F.when(F.col("g") > 0, F.when(word(F.col("g") - 1) == "PEREMPUAN", "PEREMPUAN").otherwise("LAKI_LAKI"))).withColumn("gl", F.when(word(F.col("g") - 1) == "LAKI", 2).otherwise(1))
+    return F.transform(v, lambda x, i: x.isin(begins) & F.concat_ws(" ", x, *[F.coalesce(F.get(v, i + j), F.lit("")) for j in range(1, n)]).isin(phrases))
+
+
+def _members(df: DataFrame, newest_year: int) -> DataFrame:
+    """Fields of each member of ``m``, ``w`` its warning and ``e`` its errors."""
+    word = lambda x, i: F.get(x["a"], i)["norm"]
+    is_gender = lambda x: lambda y, i: y["norm"].isin("PEREMPUAN", "LAKI-LAKI", "LAKILAKI") | ((y["norm"] == "LAKI") & F.coalesce(word(x, i + 1) == "LAKI", F.lit(False)))
     shaped = r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}$"
-    df = df.withColumn("dates", F.transform("a", lambda x: F.when(x["norm"].rlike(shaped), E.parse_date(x["norm"], newest_year))))
-    df = df.withColumn("d", F.array_position(F.transform("dates", lambda x: x.isNotNull()), True).cast("int")).withColumn("birth_date", F.get("dates", F.col("d") - 1).cast("string"))
-    wrong = F.get(F.filter("a", lambda x: x["norm"].rlike(shaped)), F.lit(0))["raw"]
-    df = df.withColumn("e", F.when((F.col("d") == 0) & wrong.isNotNull(), F.concat(F.lit("Tanggal lahir tidak valid pada anggota ke-"), F.col("ordinal"), F.lit(": "), wrong)))
-    start = F.col("g") + F.col("gl")
-    between = F.array_join(F.slice(F.col("a")["raw"], F.greatest(start, F.lit(1)), F.greatest(F.col("d") - start, F.lit(0))), " ")
-    loose = E.trim_ws(F.regexp_replace(F.regexp_replace(F.array_join(F.slice(F.col("a")["raw"], F.lit(1), F.greatest(F.col("d") - 1, F.lit(0))), " "), r"(?i)\b(LAKI(-?LAKI)?|PEREMPUAN)\b", ""), r"\s+", " "))
-    df = df.withColumn("birth_place", F.nullif(F.when((F.col("d") > 0) & (F.col("g") > 0) & (F.col("d") > start), between).when((F.col("d") > 1) & (F.col("g") == 0), loose), F.lit("")))
-    begin = F.when(F.col("d") > 0, F.col("d") + 1).when(F.col("g") > 0, start).otherwise(1)
-    mended = lambda x: F.coalesce(E.label(x["norm"], ALIASES, None), x["norm"])
-    df = df.withColumn("v", F.transform(F.slice("a", begin, F.size("a")), mended))
+    lead = lambda x: F.slice(x["t"], F.lit(1), x["p"] - 1)
+    skip = lambda x: F.array_position(F.transform(lead(x), lambda y: y["norm"].rlike(r"^\d{1,2}$")), False).cast("int")
+    wrong = lambda x: F.get(F.filter(x["a"], lambda y: y["norm"].rlike(shaped)), F.lit(0))["raw"]
+    start = lambda x: x["g"] + x["gl"]
+    raw = lambda tokens: F.array_join(F.transform(tokens, lambda y: y["raw"]), " ")
+
+    def birth_place(x: Column) -> Column:
+        between = raw(F.slice(x["a"], F.greatest(start(x), F.lit(1)), F.greatest(x["d"] - start(x), F.lit(0))))
+        before = raw(F.slice(x["a"], F.lit(1), F.greatest(x["d"] - 1, F.lit(0))))
+        loose = E.trim_ws(F.regexp_replace(F.regexp_replace(before, r"(?i)\b(LAKI(-?LAKI)?|PEREMPUAN)\b", ""), r"\s+", " "))
+        return F.nullif(F.when((x["d"] > 0) & (x["g"] > 0) & (x["d"] > start(x)), between).when((x["d"] > 1) & (x["g"] == 0), loose), F.lit(""))
+
+    mended = lambda y: F.coalesce(E.label(y["norm"], ALIASES, None), y["norm"])
+    begin = lambda x: F.when(x["d"] > 0, x["d"] + 1).when(x["g"] > 0, start(x)).otherwise(1)
+    dates = lambda x: F.transform(x["a"], lambda y: y["norm"].rlike(shaped) & E.parse_date(y["norm"], newest_year).isNotNull())
+    df = _with(df, "m", "i ordinal t", p=lambda x: F.array_position(F.transform(x["t"], lambda y: y["norm"].rlike(_ID)), True).cast("int"))
+    df = _with(
+        df, "m", "i ordinal", nik=lambda x: F.get(x["t"], x["p"] - 1)["norm"], nama=lambda x: F.when(skip(x) > 0, raw(F.slice(lead(x), skip(x), x["p"]))),
+        a=lambda x: F.slice(x["t"], x["p"] + 1, F.size(x["t"])),
+    )
+    df = _with(
+        df, "m", "i ordinal nik nama a", g=lambda x: F.array_position(F.transform(x["a"], is_gender(x)), True).cast("int"), d=lambda x: F.array_position(dates(x), True).cast("int"),
+    )
+    df = _with(
+        df, "m", "i ordinal nik nama a g d", gender=lambda x: F.when(x["g"] > 0, F.when(word(x, x["g"] - 1) == "PEREMPUAN", "PEREMPUAN").otherwise("LAKI_LAKI")),
+        gl=lambda x: F.when(word(x, x["g"] - 1) == "LAKI", 2).otherwise(1), birth_date=lambda x: E.parse_date(word(x, x["d"] - 1), newest_year).cast("string"),
+        wrong=lambda x: F.when(x["d"] == 0, wrong(x)),
+    )
+    df = _with(df, "m", "i ordinal nik nama gender birth_date wrong", birth_place=birth_place, v=lambda x: F.transform(F.slice(x["a"], begin(x), F.size(x["a"])), mended))
+    # The words that phrases are looked for in have an array of their own.
+    df, done = df.withColumn("ph", F.transform("m", lambda x: F.struct(x["v"].alias("v")))), ""
     for field in VOCABULARY:
-        df = _phrase(df, field)
-    missing = F.filter(F.array(*[F.when(F.col(f).isNull(), text) for f, text in (("gender", "jenis kelamin"), ("birth_date", "tanggal lahir"), ("religion", "agama"), ("family_relation", "hubungan keluarga"))]), lambda x: x.isNotNull())
-    w = F.when(F.col("again"), F.concat(F.lit("NIK duplikat diabaikan: "), "nik")).when(F.size(missing) > 0, F.concat(F.lit("Anggota ke-"), F.col("ordinal"), F.lit(" belum terbaca lengkap: "), F.array_join(missing, ", "), F.lit(".")))
-    return df.withColumn("w", w).withColumn("e", F.when(~F.col("again"), F.col("e")))
+        df = _phrase(df, field, done)
+        done = f"{done} {field}".strip()
+    df = df.withColumn("_niks", F.transform("m", lambda x: x["nik"]))
+    own = ["i", "ordinal", "nik", "nama", "gender", "birth_date", "birth_place", "wrong"]
+    # What a lambda reads once is moved into it and made anew for each element; these are read several times.
+    of = lambda i: F.get("ph", i)
+    again = lambda x, i: ((F.array_position("_niks", x["nik"]) <= i) & (F.size("_niks") > 1)).alias("again")
+    df = df.withColumn("m", F.transform("m", lambda x, i: F.struct(*[x[f].alias(f) for f in own], *[of(i)[f].alias(f) for f in VOCABULARY], again(x, i)))).drop("_niks", "ph")
+    missing = lambda x: F.filter(F.array(*[F.when(x[f].isNull(), text) for f, text in (("gender", "jenis kelamin"), ("birth_date", "tanggal lahir"), ("religion", "agama"), ("family_relation", "hubungan keluarga"))]), lambda y: y.isNotNull())
+    place = lambda x: x["ordinal"].cast("string")
+    return _with(
+        df, "m", " ".join([*own, *VOCABULARY, "again"]), e=lambda x: F.when(~x["again"] & x["wrong"].isNotNull(), F.concat(F.lit("Tanggal lahir tidak valid pada anggota ke-"), place(x), F.lit(": "), x["wrong"])),
+        w=lambda x: F.when(x["again"], F.concat(F.lit("NIK duplikat diabaikan: "), x["nik"])).when(F.size(missing(x)) > 0, F.concat(F.lit("Anggota ke-"), place(x), F.lit(" belum terbaca lengkap: "), F.array_join(missing(x), ", "), F.lit("."))),
+    )
 
 
 MEMBER = ["nama", "nik", "gender", "birth_place", "birth_date", "religion", "education", "occupation", "marital_status", "family_relation"]
 
 
 def parse_households(docs: DataFrame, newest_year: int) -> DataFrame:
-    """One row per document (id, raw_text, confidence) with the household, its ``members``, ``warnings`` and ``validation_errors``."""
-    # Cut before filters: pushed down, they would carry the whole chain of expressions with them, and both tables are read more than once.
-    lines = cut(_lines(docs))
-    header = _header(lines)
-    members, lost = _segments(lines)
-    parsed = cut(_members(members, newest_year).select("id", "i", "again", "w", "e", *MEMBER))
-    found = parsed.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("again"), F.struct("i", *MEMBER)))).alias("m"), F.array_sort(F.collect_list(F.when(F.col("e").isNotNull(), F.struct("i", "e")))).alias("me")
-    )
-    warned = lost.unionByName(parsed.filter("w is not null").select("id", "i", "w")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("mw"))
-    table = lines.groupBy("id").agg(F.max("h").alias("h"))
-    out = docs.select("id", "confidence").join(header, "id", "left").join(found, "id", "left").join(warned, "id", "left").join(table, "id", "left").join(lines.select("id").distinct().withColumn("_any", F.lit(True)), "id", "left")
+    """One row per row of ``docs`` (id, raw_text, confidence) with the household, its ``members``, ``warnings`` and ``validation_errors``."""
+    df = _members(_segments(_header(_lines(docs.select("id", "raw_text", "confidence")))), newest_year)
+    low, blank = F.col("confidence") < THRESHOLD, F.size(E.normalize_lines(F.coalesce("raw_text", F.lit("")))) == 0
+    df = df.withColumn("kept", F.filter("m", lambda x: ~x["again"]))
+    heads, some = F.size(F.filter("kept", lambda x: x["family_relation"] == "KEPALA_KELUARGA")), F.size("kept") > 0
     empty = F.expr("cast(array() as array<string>)")
-    texts = lambda c, f: F.coalesce(F.col(c)[f], empty)
-    low, blank = F.col("confidence") < THRESHOLD, F.col("_any").isNull()
-    heads = F.size(F.filter("m", lambda x: x["family_relation"] == "KEPALA_KELUARGA"))
-    some = F.coalesce(F.size("m"), F.lit(0)) > 0
     when = lambda cond, text: F.when(F.coalesce(cond, F.lit(False)), F.array(F.lit(text))).otherwise(empty)
+    of = lambda c, f: F.transform(F.array_sort(F.transform(F.filter(c, lambda x: x[f].isNotNull()), lambda x: F.struct(x["i"].alias("i"), x[f].alias("w")))), lambda x: x["w"])
+    told = F.transform(F.array_sort(F.concat("lost", F.transform(F.filter("m", lambda x: x["w"].isNotNull()), lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"))))), lambda x: x["w"])
     warnings = F.concat(
-        when(F.col("confidence") < UNREADABLE, "Gambar tidak terbaca dengan baik (confidence sangat rendah)."), when(blank, "OCR tidak menghasilkan teks (gambar kosong atau tidak terbaca)."), F.coalesce("hw", empty),
-        when(~blank & F.col("h").isNull(), "Baris tabel anggota tidak terdeteksi."), texts("mw", "w"), when(some & (heads == 0), "Kepala Keluarga belum terbaca dari hasil OCR."),
+        when(F.col("confidence") < UNREADABLE, "Gambar tidak terbaca dengan baik (confidence sangat rendah)."), when(blank, "OCR tidak menghasilkan teks (gambar kosong atau tidak terbaca)."), F.col("hw"),
+        when(~blank & F.col("h").isNull(), "Baris tabel anggota tidak terdeteksi."), told, when(some & (heads == 0), "Kepala Keluarga belum terbaca dari hasil OCR."),
     )
     errors = F.concat(
-        when(blank, "OCR tidak menemukan NIK."), texts("me", "e"), when(~blank & F.col("kk_number").isNull(), "Nomor KK tidak ditemukan atau tidak terbaca."),
+        when(blank, "OCR tidak menemukan NIK."), of("m", "e"), when(~blank & F.col("kk_number").isNull(), "Nomor KK tidak ditemukan atau tidak terbaca."),
         when(~blank & ~some, "OCR tidak menemukan NIK anggota keluarga."), when(some & (heads > 1), "OCR menemukan lebih dari satu anggota dengan hubungan Kepala Keluarga. Periksa kembali sebelum menyimpan."),
     )
-    member = lambda x: F.struct(*[x[f].alias(f) for f in MEMBER], F.col("confidence").alias("confidence"), low.alias("low_confidence"))
-    list_ = F.when(some, F.transform("m", member)).otherwise(F.array().cast("array<struct<" + ",".join(f"{f}:string" for f in MEMBER) + ",confidence:double,low_confidence:boolean>>"))
-    return out.select("id", "confidence", low.alias("low_confidence"), "kk_number", "address", "rt", "rw", "lingkungan", list_.alias("members"), warnings.alias("warnings"), errors.alias("validation_errors"))
+    members = F.transform("kept", lambda x: F.struct(*[x[f].alias(f) for f in MEMBER], F.col("confidence").alias("confidence"), low.alias("low_confidence")))
+    # A column that counts as undetermined keeps filters above this projection: pushed below, they would carry the whole chain of expressions with them.
+    members = F.when(F.monotonically_increasing_id() >= 0, members)
+    return df.select("id", "confidence", low.alias("low_confidence"), "kk_number", "address", "rt", "rw", "lingkungan", members.alias("members"), warnings.alias("warnings"), errors.alias("validation_errors"))
