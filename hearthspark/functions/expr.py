@@ -119,12 +119,13 @@ def slug(c: Column) -> Column:
 
 
 def contains_any(columns: list[Column], query: str | None, escape: bool = False) -> Column:
-    """Case-insensitive substring match in any column; a blank query matches all. Wildcards in the query count unless escaped."""
+    """Case-insensitive substring match in any column; a blank query matches all. % and _ in the query count as wildcards unless escaped; a backslash is itself."""
     q = (query or "").strip()
     if not q:
         return F.lit(True)
+    q = q.replace("\\", "\\\\")
     if escape:
-        q = q.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+        q = q.replace("%", "\\%").replace("_", "\\_")
     out = F.lit(False)
     for c in columns:
         out = out | F.coalesce(c.cast("string").ilike(f"%{q}%"), F.lit(False))

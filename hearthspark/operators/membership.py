@@ -59,6 +59,38 @@ def apply_moves(memberships: DataFrame, moves: DataFrame, on: date) -> DataFrame
     return changed.unionByName(fresh)
 
 
+def apply_upsert(known: DataFrame, incoming: DataFrame, reactivate: bool = False) -> DataFrame:
+    """The residents (nik, kk_id, resident_status, moved_at) after ``incoming`` (nik, kk_id; distinct niks): new ones are inserted as active, known active ones move to the incoming
+    household, inactive ones are left as they are; with ``reactivate`` they move too, become active and lose their moved_at."""
+    i = incoming.select(F.col("nik").alias("_nik"), F.col("kk_id").alias("_kk"))
+    met = known.join(i, F.col("nik") == F.col("_nik"), "full")
+    takes = F.col("_nik").isNotNull() & (F.col("nik").isNull() | (F.col("resident_status") == "ACTIVE") | F.lit(reactivate))
+    return met.select(
+        F.coalesce("nik", "_nik").alias("nik"), F.when(takes, F.col("_kk")).otherwise(F.col("kk_id")).alias("kk_id"), F.when(takes, "ACTIVE").otherwise(F.col("resident_status")).alias("resident_status"),
+        F.when(takes & (F.col("nik").isNull() | F.lit(reactivate)), F.lit(None)).otherwise(F.col("moved_at")).alias("moved_at"),
+    )
+
+
+def taken_niks(edits: DataFrame, known: DataFrame) -> DataFrame:
+    """``edits`` (id, nik) that would take the NIK of another resident of ``known`` (id, nik)."""
+    k = known.select(F.col("id").alias("_id"), F.col("nik").alias("_nik"))
+    return edits.join(k, (F.col("nik") == F.col("_nik")) & (F.col("id") != F.col("_id")), "left_semi")
+
+
+def import_rows(rows: DataFrame, batch: str, invalid: Column) -> DataFrame:
+    """The rows to write of batches without an invalid row; batches with one give none."""
+    bad = rows.filter(F.coalesce(invalid, F.lit(False))).select(F.col(batch).alias("_b")).distinct()
+    return rows.join(bad, F.col(batch) == F.col("_b"), "left_anti")
+
+
+def replace_active(versions: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """``versions`` (keys, id, is_active, ...) after ``fresh`` ones of the same columns: what was active for their keys is archived, they are active."""
+    new = fresh.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_new", F.lit(True))
+    cond = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    old = versions.join(new, cond, "left").withColumn("is_active", F.col("is_active") & F.col("_new").isNull())
+    return old.select(*versions.columns).unionByName(fresh.withColumn("is_active", F.lit(True)).select(*versions.columns))
+
+
 def import_plan(rows: DataFrame, batch: str, invalid: Column) -> DataFrame:
     """(batch, st, n): all-or-nothing, a batch with an invalid row is INVALID as a whole."""
     return rows.groupBy(batch).agg(F.when(F.count_if(invalid) > 0, "INVALID").otherwise("SAVED").alias("st"), F.count(F.lit(1)).alias("n"))

@@ -41,6 +41,8 @@ def resident_errors(as_of: date) -> Column:
         rule(c("deceased_at") > today, "deceased_at", "Tanggal meninggal melewati hari ini."),
         rule((c("resident_status") == "PINDAH") & c("moved_at").isNull(), "moved_at", "Tanggal pindah wajib diisi."),
         rule((c("resident_status") == "MENINGGAL") & c("deceased_at").isNull(), "deceased_at", "Tanggal meninggal wajib diisi."),
+        rule((c("resident_status") != "PINDAH") & c("moved_at").isNotNull(), "moved_at", "Tanggal pindah hanya untuk status pindah."),
+        rule((c("resident_status") != "MENINGGAL") & c("deceased_at").isNotNull(), "deceased_at", "Tanggal meninggal hanya untuk status meninggal."),
     )
 
 

@@ -9,8 +9,8 @@ from hearthspark.functions import expr as E
 
 
 def domain(spark: SparkSession, values: list, name: str = "value", schema: str = "string") -> DataFrame:
-    """A small constant table of a domain's values in order."""
-    return spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{name} {schema}, ord int")
+    """A small constant table of a domain's values in order: literals, without Python rows."""
+    return spark.range(1).select(F.posexplode(F.array(*[F.lit(v).cast(schema) for v in values])).alias("ord", name)).select(name, "ord")
 
 
 def count_by_domain(rows: DataFrame, column: str, values: list[str], name: str, total: str = "total") -> DataFrame:

@@ -70,10 +70,11 @@ def morph_join(logs: DataFrame, targets: DataFrame, kind: str, type_col: str, id
 
 
 def conflicts(rows: DataFrame, value: Column, id_: str) -> DataFrame:
-    """Pairs (a, b), a < b, of rows with the same value. Only values that occur twice meet, by their hash first; equality decides."""
-    keyed = rows.select(F.col(id_).alias("_id"), value.alias("_v"), F.xxhash64(value).alias("_h"))
-    left, right = keyed.select(F.col("_id").alias("a"), F.col("_v").alias("va"), "_h"), keyed.select(F.col("_id").alias("b"), F.col("_v").alias("vb"), "_h")
-    return left.join(right, (left["_h"] == right["_h"]) & (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b"))).select("a", "b")
+    """Pairs (a, b), a < b, of rows with the same value: each further row with the first, so a value's rows give pairs in proportion to their number. The first is found by
+    an aggregate over the value's digest, which combines in tasks; a value of very many rows meets it in a join that Spark can split."""
+    keyed = rows.select(F.col(id_).alias("b"), F.sha2(value.cast("string"), 256).alias("_h")).filter("_h is not null")
+    first = keyed.groupBy("_h").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    return keyed.join(first, "_h").filter(F.col("a") < F.col("b")).select("a", "b")
 
 
 def lookup_ids(rows: DataFrame, names: DataFrame, text: Column, name: str = "name", id_: str = "id") -> DataFrame:

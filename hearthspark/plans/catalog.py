@@ -64,12 +64,12 @@ def kpi_overview(spark, d):
     return reports.kpi_overview(table(spark, d, "customer"), table(spark, d, "orders"), table(spark, d, "nation"), c("o_orderstatus") == "O", c("o_orderpriority") == "5-LOW")
 
 
-@query("count_by_status", "count_by_gender", sql="select e.v status, count(o.o_orderkey) total from (values ('O'),('P'),('F'),('X')) e(v) left join orders o on o.o_orderstatus=e.v group by e.v")
+@query("count_by_status", sql="select e.v status, count(o.o_orderkey) total from (values ('O'),('P'),('F'),('X')) e(v) left join orders o on o.o_orderstatus=e.v group by e.v")
 def count_by_status(spark, d):
     return reports.count_by_domain(table(spark, d, "orders"), "o_orderstatus", ["O", "P", "F", "X"], "status")
 
 
-@query("count_by_religion", "count_by_occupation", "count_by_education", sql="select c_mktsegment name, count(*) active_count from customer where c_acctbal>0 group by c_mktsegment order by active_count desc, name")
+@query("count_by_religion", sql="select c_mktsegment name, count(*) active_count from customer where c_acctbal>0 group by c_mktsegment order by active_count desc, name")
 def count_by_lookup(spark, d):
     return reports.count_by_lookup(table(spark, d, "customer").filter("c_acctbal > 0"), c("c_mktsegment"))
 
@@ -88,7 +88,7 @@ def count_by_rt(spark, d):
     return reports.count_by_rt(table(spark, d, "customer").filter("c_mktsegment = 'BUILDING' and c_acctbal < 500"), rts, areas, "c_nationkey")
 
 
-@query("member_count", "sort_by_member_count", sql="select c.c_custkey, count(o.o_orderkey) n from customer c left join orders o on o.o_custkey=c.c_custkey and o.o_orderstatus='O' group by c.c_custkey order by n desc, c.c_custkey")
+@query("member_count", sql="select c.c_custkey, count(o.o_orderkey) n from customer c left join orders o on o.o_custkey=c.c_custkey and o.o_orderstatus='O' group by c.c_custkey order by n desc, c.c_custkey")
 def member_count(spark, d):
     out = views.child_count(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").filter("o_orderstatus = 'O'"), "c_custkey", "o_custkey")
     return out.orderBy(F.desc("n"), "c_custkey")
@@ -185,14 +185,14 @@ def membership_scd2(spark, d):
 
 
 def _incoming(spark, d):
-    return table(spark, d, "lineitem").filter("l_orderkey % 7 = 0").groupBy(c("l_orderkey").alias("nik")).agg(F.min("l_partkey").alias("kk_id"))
+    return table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("nik")).agg(F.min("l_partkey").alias("kk_id"))
 
 
 def _known(spark, d):
     return table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(c("o_orderkey").alias("nik"), c("o_custkey").alias("kk_id"), (c("o_orderstatus") == "O").alias("active"))
 
 
-_PLAN = "from (select l_orderkey k, min(l_partkey) kk from lineitem where l_orderkey%7=0 group by l_orderkey) i left join orders o on o.o_orderkey=i.k and o.o_orderkey%2=0"
+_PLAN = "from (select l_orderkey k, min(l_partkey) kk from lineitem group by l_orderkey) i left join orders o on o.o_orderkey=i.k and o.o_orderkey%2=0"
 
 
 @query("upsert_plan", sql=f"select i.k nik, case when o.o_orderkey is null then 'INSERT' when o.o_orderstatus<>'O' then 'REJECT_INACTIVE' when o.o_custkey=i.kk then 'KEEP' else 'MOVE' end as action {_PLAN}")
@@ -328,13 +328,13 @@ def resident_search_export(spark, d):
     return flagged.filter(E.contains_any([c("o_orderkey")], "77") | c("f")).select("o_orderkey")
 
 
-@query("household_search", "global_search", sql="select c_custkey from customer c where c_name ilike '%00014%' or exists(select 1 from orders o where o.o_custkey=c.c_custkey and o.o_orderpriority='1-URGENT' and cast(o.o_orderkey as varchar(20)) like '%00014%')")
+@query("household_search", sql="select c_custkey from customer c where c_name ilike '%00014%' or exists(select 1 from orders o where o.o_custkey=c.c_custkey and o.o_orderpriority='1-URGENT' and cast(o.o_orderkey as varchar(20)) like '%00014%')")
 def household_search(spark, d):
     heads = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
     return filters.household_search(table(spark, d, "customer"), heads, "00014", ["c_name"], "c_custkey", "o_custkey", ["o_orderkey"]).select("c_custkey")
 
 
-@query("multi_filter_and", "export_filter", sql="select o.o_orderkey from orders o where o_orderstatus='O' and o_orderpriority='2-HIGH' and cast(o_orderdate as date)<=date '2010-03-01' - interval 10 year and exists(select 1 from customer c join nation n on n.n_nationkey=c.c_nationkey where c.c_custkey=o.o_custkey and n.n_regionkey=2)")
+@query("multi_filter_and", sql="select o.o_orderkey from orders o where o_orderstatus='O' and o_orderpriority='2-HIGH' and cast(o_orderdate as date)<=date '2010-03-01' - interval 10 year and exists(select 1 from customer c join nation n on n.n_nationkey=c.c_nationkey where c.c_custkey=o.o_custkey and n.n_regionkey=2)")
 def multi_filter_and(spark, d):
     n = table(spark, d, "nation").filter("n_regionkey = 2")
     homes = filters.keep_with(table(spark, d, "customer"), n, "c_nationkey", "n_nationkey")
@@ -343,7 +343,7 @@ def multi_filter_and(spark, d):
     return filters.keep_with(out, homes, "o_custkey", "c_custkey").select("o_orderkey")
 
 
-@query("age_range_filter", "age_custom", sql="select o_orderkey from orders where cast(o_orderdate as date) <= date '2010-03-01' - interval 13 year and cast(o_orderdate as date) > date '2010-03-01' - interval 18 year")
+@query("age_range_filter", sql="select o_orderkey from orders where cast(o_orderdate as date) <= date '2010-03-01' - interval 13 year and cast(o_orderdate as date) > date '2010-03-01' - interval 18 year")
 def age_range_filter(spark, d):
     return filters.apply_filters(born(table(spark, d, "orders")), filters.FilterSpec(age_min=13, age_max=17), AS_OF).select("o_orderkey")
 
@@ -428,7 +428,7 @@ def export_csv(spark, d):
 
 @query("file_inventory")
 def inventory(spark, d):
-    return file_inventory(spark, f"{d}/region.parquet").select("size", "sha256", "mime_type")
+    return file_inventory(spark, d).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "size", "sha256", "mime_type")
 
 
 @query("rt_rw_label", sql="select n_nationkey, concat_ws(' / ', r_name, concat('RT ',n_name)) l from nation n left join region r on r.r_regionkey=n.n_regionkey and r.r_regionkey<3")
@@ -465,7 +465,7 @@ def morph_join(spark, d):
     return views.morph_join(table(spark, d, "events"), table(spark, d, "customer").select("c_custkey", "c_name"), "signup", "event_type", "user_id", "c_custkey").select("event_id", "c_name")
 
 
-@query("nik_conflicts", sql="select a.doc_id a, b.doc_id b from documents a join documents b on a.text=b.text and a.doc_id<b.doc_id")
+@query("nik_conflicts", sql="select a, doc_id b from (select doc_id, min(doc_id) over (partition by text) a from documents where text is not null) z where a < doc_id")
 def nik_conflicts(spark, d):
     return views.conflicts(table(spark, d, "documents"), c("text"), "doc_id")
 
@@ -490,7 +490,7 @@ def archive_validate(spark, d):
 # Text fields
 
 
-@query("ocr_line_assembly", "tsv_words", sql="select conv_id, string_agg(role,' ' order by turn) line, count(*) words from conversations group by conv_id")
+@query("ocr_line_assembly", sql="select conv_id, string_agg(role,' ' order by turn) line, count(*) words from conversations group by conv_id")
 def ocr_line_assembly(spark, d):
     lines = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("w"))
     return lines.select("conv_id", F.array_join(c("w.role"), " ").alias("line"), F.size("w").cast("long").alias("words"))
@@ -588,7 +588,7 @@ _NTH = "list_extract([{}], cast(o_orderkey % {} + 1 as int))"
 
 
 @query(
-    "parse_members", "merge_digit_runs", "vocab_match", "member_ordinals",
+    "parse_members",
     sql="select o_custkey id, cast(row_number() over (partition by o_custkey order by o_orderkey) as int) ordinal, 'NAMA X' || o_orderkey nama, lpad(cast(o_orderkey as varchar), 16, '0') nik, "
     + _NTH.format("'LAKI_LAKI','PEREMPUAN','LAKI_LAKI'", 3) + " gender, 'KOTA TUA' birth_place, strftime(o_orderdate, '%Y-%m-%d') birth_date, " + _NTH.format("'ISLAM','KATOLIK','HINDU'", 3) + " religion, "
     + _NTH.format("'SD','DIPLOMA I/II','BELUM TAMAT SD/SEDERAJAT'", 3) + " education, " + _NTH.format("'PETANI','BURUH','BURUH HARIAN LEPAS','IBU RUMAH TANGGA'", 4) + " occupation, "
@@ -598,3 +598,6 @@ def parse_members(spark, d):
     # Aliases are values only where phrases match; the text of a phrase is its canonical spelling.
     rows = parse_households(household_texts(spark, d), 2100).select("id", F.posexplode("members").alias("i", "m"))
     return rows.select("id", (c("i") + 1).alias("ordinal"), "m.nama", "m.nik", "m.gender", "m.birth_place", "m.birth_date", "m.religion", "m.education", "m.occupation", "m.marital_status", "m.family_relation")
+
+
+from hearthspark.plans import more  # noqa: E402, F401  registers further queries

@@ -66,7 +66,7 @@ def read_xlsx(path: str) -> list[list[str]]:
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, sha256, mime_type) of every file under a folder."""
+    """(path, size, sha256, mime_type) of every file under a folder but empty ones. A file is one value, so it must fit a task's memory (2 GB at most)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), E.mime_type(F.col("content")).alias("mime_type"))
 

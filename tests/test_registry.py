@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthspark.functions import expr as E
-from hearthspark.operators import filters, membership, quality, reports, views
+from hearthspark.operators import filters, membership, quality, reports, review, views
 from hearthspark.schemas import GENDER, RESIDENT_STATUS, TABLES
 from hearthspark.sources import exports
 
@@ -153,3 +153,36 @@ def test_streaming_ingest(spark, tmp_path):
         ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), 2026).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) == 1 and got[0]["kk_number"] == "3207122801160001"
+
+
+def test_session_in_use_is_left_alone(spark):
+    from hearthspark.session import get_session
+
+    spark.conf.set("spark.sql.shuffle.partitions", 77)
+    try:
+        assert get_session("other") is spark or get_session("other").conf.get("spark.sql.shuffle.partitions") == "77"
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "77"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_birth_dates_under_review(spark):
+    cases = {"2001-02-28": True, "2001-02-30": False, "28/02/2001": True, "1-2-99": False, "1-2-26": True, "01.02.2001": False, "1899-12-31": False, "2027-01-01": False, "5/5/05": True, "2001-2-3": False, "": False}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["ok"] for r in df.select("t", review.valid_birth_date(F.col("t"), 2026).alias("ok")).collect()}
+    assert got == cases
+
+
+def test_search_text_with_a_backslash(spark):
+    df = spark.createDataFrame([(1, "a\\b_c"), (2, "ab")], "id long, t string")
+    assert ids(df.filter(E.contains_any([F.col("t")], "a\\b"))) == [1] and ids(df.filter(E.contains_any([F.col("t")], "\\B_", escape=True))) == [1]
+
+
+def test_inventory_is_of_every_file(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "sub").mkdir()
+    for name, data in {"a.pdf": b"%PDF-1", "sub/b.png": b"\x89PNG\r\n\x1a\nxx", "sub/c": b""}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {(r["path"].rsplit("/", 1)[-1], r["size"], r["sha256"], r["mime_type"]) for r in exports.file_inventory(spark, str(tmp_path)).collect()}
+    assert got == {("a.pdf", 6, hashlib.sha256(b"%PDF-1").hexdigest(), "application/pdf"), ("b.png", 10, hashlib.sha256(b"\x89PNG\r\n\x1a\nxx").hexdigest(), "image/png")}  # Spark's scans leave empty files out
