@@ -37,6 +37,8 @@ SEED = 42
 SEGMENTS = (22, 21, 21)
 #: Generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
+#: Rows of keys that a task should make.
+GROWN = 4_000_000
 _CHUNK = 1 << 16
 
 
@@ -131,6 +133,8 @@ def _emit(which: int):
 def links(fps: DataFrame) -> DataFrame:
     """Pairs (u, v) of the distinct fingerprints in ``fp``, u < v, with at most DISTANCE differing bits; a pair may come up to three times."""
     fps = fps.select("fp")
+    # Each row becomes up to 108, so they are dealt out by what they will be.
+    fps = fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() * 108 // GROWN + 1))
     asked = fps.mapInArrow(_emit(1), "key int, fp bigint").withColumnRenamed("fp", "u")
     stored = fps.mapInArrow(_emit(0), "key int, fp bigint").withColumnRenamed("fp", "v")
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE)
