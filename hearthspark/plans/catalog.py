@@ -318,7 +318,12 @@ def substring_search(spark, d):
 
 @query("resident_search", sql="select o.o_orderkey from orders o left join customer c on c.c_custkey=o.o_custkey left join nation n on n.n_nationkey=c.c_nationkey left join region r on r.r_regionkey=n.n_regionkey where cast(o.o_orderkey as varchar(20)) ilike '%asia%' or c.c_name ilike '%asia%' or n.n_name ilike '%asia%' or r.r_name ilike '%asia%'")
 def resident_search(spark, d):
-    return residents_located(spark, d).filter(E.contains_any([c("o_orderkey"), c("c_name"), c("n_name"), c("r_name")], "asia")).select("o_orderkey")
+    # From the small tables up: matching RTs, the households that match or lie in one, then the residents. Only keys meet the large table.
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    rts = n.join(r, c("n_regionkey") == c("r_regionkey"), "left").filter(E.contains_any([c("n_name"), c("r_name")], "asia"))
+    homes = filters.flag_with(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), rts, "c_nationkey", "n_nationkey", "f").filter(E.contains_any([c("c_name")], "asia") | c("f"))
+    people = filters.flag_with(table(spark, d, "orders").select("o_orderkey", "o_custkey"), homes, "o_custkey", "c_custkey", "f")
+    return people.filter(E.contains_any([c("o_orderkey")], "asia") | c("f")).select("o_orderkey")
 
 
 @query("resident_search_export", sql="select o.o_orderkey from orders o where cast(o.o_orderkey as varchar(20)) ilike '%77%' or exists(select 1 from customer c where c.c_custkey=o.o_custkey and c.c_name ilike '%77%')")
