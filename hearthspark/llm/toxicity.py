@@ -327,8 +327,11 @@ def _arrays(row: tuple) -> tuple[np.ndarray, ...]:
     return ids.reshape(-1, _OWN + 2), tokens.astype(np.int64), lengths.astype(np.int64), toxic == 1
 
 
-def _gradients(theta: np.ndarray):
+def _gradients(sent):
+    """``sent``: broadcast theta."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theta = sent.value.astype(np.float64)
         total, grad = 0.0, np.zeros(len(theta))
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -339,10 +342,11 @@ def _gradients(theta: np.ndarray):
     return run
 
 
-def _odds(theta: np.ndarray):
-    """(x, y): log odds and class of the packs' documents."""
+def _odds(sent):
+    """(x, y): log odds and class of the packs' documents. ``sent``: broadcast theta."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theta = sent.value.astype(np.float64)
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(4)), strict=True):
                 ids, tokens, lengths, toxic = _arrays(row)
@@ -399,15 +403,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     theta *= 0.7
     theta[SLOTS + 1], ridge[SLOTS + 1 :] = -8.0, RIDGE / 10
 
+    def asked(job, theta: np.ndarray, schema: str) -> list:
+        """A job's rows; the weights go out by a broadcast that is taken back, as closures of this size would pile up on disks."""
+        sent = docs.sparkSession.sparkContext.broadcast(theta.astype(np.float32))
+        rows = packs.mapInArrow(job(sent), schema).collect()
+        sent.destroy()
+        return rows
+
     def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
         total, grad = 0.0, np.zeros(len(theta))
-        for row in packs.mapInArrow(_gradients(theta), "value double, grad binary").collect():
+        for row in asked(_gradients, theta, "value double, grad binary"):
             total, grad = total + row["value"], grad + np.frombuffer(row["grad"], "<f4")
         return total - float(ridge @ theta**2) / 2, grad - ridge * theta
 
     theta = maximise(value, theta)
     # At most max_train rows of two numbers.
-    odds = np.array([tuple(r) for r in packs.mapInArrow(_odds(theta), "x double, y double").collect()])
+    odds = np.array([tuple(r) for r in asked(_odds, theta, "x double, y double")])
     return Model(theta.astype(np.float32), calibrate(*odds.T))
 
 
