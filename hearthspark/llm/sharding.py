@@ -75,7 +75,7 @@ class ShardedTable:
         return version, [Run(**r) for r in json.loads(text)["runs"]]
 
     def _commit(self, version: int, runs: list[Run]) -> bool:
-        """False if another writer has committed ``version`` already."""
+        """False if another writer has committed ``version`` already. The check is atomic on HDFS; local disks and object stores look before they rename, so there one committer at a time is assumed."""
         part = self._path(f"manifest/.{uuid.uuid4().hex}")
         stream = self._fs.create(part, False)
         stream.write(bytearray(json.dumps({"version": version, "runs": [asdict(r) for r in runs]}).encode()))
