@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hearthspark.sources.cuts import cut, fresh_dir, remove, shared_dir, written
 
-__all__ = ["cut", "fresh_dir", "spread_lookup", "lower_ascii", "numbered", "remove", "shared_dir", "written"]
+__all__ = ["cut", "fresh_dir", "spread_lookup", "lower_ascii", "numbered", "remove", "shared_dir", "without", "written"]
 
 #: A lookup table of at most so many bytes (as measured) is broadcast.
 SMALL = 8 << 20
@@ -58,3 +58,8 @@ def spread_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spre
     salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 30)).cast("int")).otherwise(F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int"))
     rows = rows.withColumn("_salt", salt)
     return rows.join(found, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left").select(*out)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, small: int = SMALL) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone`` (one column, cut). If that is at most ``small`` bytes, at 64 a row, it is broadcast, so that rows stay where they are."""
+    return rows.join(F.broadcast(gone) if gone.count() * 64 <= small else gone, key, "left_anti")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthspark.llm.common import cut
+from hearthspark.llm.common import cut, fresh_dir, remove
 from hearthspark.llm.graph import components
 
 SHINGLE = 5
@@ -104,8 +104,16 @@ def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """``rid`` of the documents (rid: distinct bigint, text) that leave; of each group of near copies the least ``rid`` stays. ``docs`` should be cut."""
-    left = cut(docs.select("rid", "text").mapInArrow(_prefixes(levels(docs)), "key bigint, rid bigint, n int, at int"))
+    """``rid`` of the documents (rid: distinct bigint, text) that leave; of each group of near copies the least ``rid`` stays. ``docs`` should be cut or a table."""
+    # As tables: checkpoints would take four times the room. Most shingles of prefixes are one document's alone, and go first.
+    spark, schema = docs.sparkSession, "key bigint, rid bigint, n int, at int"
+    paths = [fresh_dir(spark, f"jaccard{i}") for i in range(2)]
+    docs.select("rid", "text").mapInArrow(_prefixes(levels(docs)), schema).write.parquet(paths[0])
+    every = spark.read.schema(schema).parquet(paths[0])
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+    every.join(shared, "key", "left_semi").write.parquet(paths[1])
+    remove(spark, paths[0])
+    left = spark.read.schema(schema).parquet(paths[1])
     gone = []
     while True:
         first = left.groupBy("key").agg(F.min_by(F.struct("rid", "n", "at"), "rid").alias("f"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "f.*")
