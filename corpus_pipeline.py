@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthspark.llm import decontaminate, jaccard, sampling, secrets, simhash, toxicity
-from hearthspark.llm.common import cut, fresh_dir, numbered, remove
+from hearthspark.llm.common import cut, fresh_dir, numbered, remove, without, written
 from hearthspark.sources.tables import table
 
 _ROW = "_pipeline_row"
@@ -28,27 +28,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = numbered(docs, _ROW)
     keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(_ROW)).alias("id"), "text")
     found = simhash.near_duplicates(keyed, "id", "text")
-    kept = found.filter(F.col("id") == F.col("component")).select(F.col(f"id.{_ROW}").alias(_ROW))
-    return rows.join(kept, _ROW, "left_semi").drop(_ROW)
+    gone = cut(found.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col(f"id.{_ROW}").alias(_ROW)))
+    return without(rows, gone, _ROW).drop(_ROW)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What drop_near_duplicates() keeps, without near copies by the general rule: five-word shingles, Jaccard similarity 0.8 or more."""
-    rows = numbered(drop_near_duplicates(spark, docs, sf_dir), _ROW)
-    # Numbers in the order of the ids, so that the smallest id of a group stays.
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(_ROW))
-    ids = cut(rows.select("doc_id", _ROW).orderBy(order).select(_ROW, F.monotonically_increasing_id().alias("rid")))
-    keyed = cut(rows.select(_ROW, "text").join(ids, _ROW).select("rid", "text"))
-    gone = ids.join(jaccard.near_copies(keyed), "rid", "left_semi").select(_ROW)
-    return rows.join(gone, _ROW, "left_anti").drop(_ROW)
+    kept = drop_near_duplicates(spark, docs, sf_dir)
+    # Numbers in the order of the ids, so that the smallest id of a group stays; null ids come last, rows of one id in the order of a hash.
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"))
+    rows = written(kept.orderBy(order).withColumn(_ROW, F.monotonically_increasing_id()), "ordered")
+    return without(rows, cut(jaccard.near_copies(rows.select(F.col(_ROW).alias("rid"), "text")).withColumnRenamed("rid", _ROW)), _ROW).drop(_ROW)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with less than a twentieth of their words inside benchmark passages."""
     rows = numbered(docs, _ROW)
     found = decontaminate.find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col=_ROW)
-    bad = found.filter(decontaminate.contaminated()).select(F.col("id").alias(_ROW))
-    return rows.join(bad, _ROW, "left_anti").drop(_ROW)
+    return without(rows, cut(found.filter(decontaminate.contaminated()).select(F.col("id").alias(_ROW))), _ROW).drop(_ROW)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
