@@ -131,3 +131,21 @@ select page_id, p.host, path, rule, coalesce(said, case when coalesce(distrust,
   coalesce(trust, 0) trust, coalesce(distrust, 0) distrust
 from p left join ranks on ranks.host = p.host
 """
+
+_TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
+INFILL = f"""
+with d as (select doc_id, coalesce(text, '') t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+u as (
+  select doc_id, t, case when t = '' then [] else regexp_extract_all(t, '{_TOKEN}') end w, {", ".join(f"cast('0x' || substr(h, {8 * i + 1}, 8) as bigint) h{i + 1}" for i in range(4))} from d
+),
+c as (select *, len(w) n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) b from u),
+f as (
+  select *, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end form,
+    array_to_string(w[1:a], '') p, array_to_string(w[a + 1:b], '') m, array_to_string(w[b + 1:], '') s
+  from c
+)
+select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then cast(length(p) as bigint) end prefix_chars, case when form <> 'plain' then cast(length(m) as bigint) end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(t) restored_sha256
+from f
+"""

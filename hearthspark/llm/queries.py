@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm import decontaminate, htmltext, oracles, sampling, secrets, sharding, simhash, topk, toxicity, urlfilter, warc
+from hearthspark.llm import decontaminate, htmltext, infill, oracles, sampling, secrets, sharding, simhash, topk, toxicity, urlfilter, warc
 from hearthspark.sources.tables import table, tables
 
 
@@ -52,8 +52,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.digest(sampling.encode_samples(table(spark, sf_dir, "documents"), with_ids=False))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secret_scans, op2_simhash_near_dedup, op3_decontamination, op4_warc, op5_url_filters, op6_toxicity, op7_sharding, op8_exact_top_k, op9_html_extraction,
-    op10_sentencepiece,
+    op10_sentencepiece, op13_fill_in_middle,
 )}
-ORACLES: dict[str, str] = {"op1_secret_scans": oracles.SECRETS, "op3_decontamination": oracles.DECONTAMINATION, "op4_warc": oracles.WARC, "op5_url_filters": oracles.URLS, "op7_sharding": oracles.SHARDS, "op8_exact_top_k": oracles.TOP_K}
+ORACLES: dict[str, str] = {"op1_secret_scans": oracles.SECRETS, "op3_decontamination": oracles.DECONTAMINATION, "op4_warc": oracles.WARC, "op5_url_filters": oracles.URLS, "op7_sharding": oracles.SHARDS, "op8_exact_top_k": oracles.TOP_K, "op13_fill_in_middle": oracles.INFILL}
