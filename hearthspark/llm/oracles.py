@@ -149,3 +149,40 @@ select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then cast(le
   sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(t) restored_sha256
 from f
 """
+
+# Restated: phrases (label, words, whether the contract's) and notices (label, words); a notice may lack a fifth of its words.
+_PHRASES = [
+    ("mit", "under the mit license", 1), ("apache-2", "apache license version 2", 1), ("cc-by-nc", "cc by nc", 1), ("agpl-3", "gnu affero general public license version 3", 0), ("bsd", "under the bsd license", 0),
+    ("cc-by-nd", "cc by nd", 0), ("cc-by-sa", "cc by sa", 0), ("cc0", "cc0 1 0 universal", 0), ("gpl-2", "gnu general public license version 2", 0), ("gpl-3", "gnu general public license version 3", 0),
+    ("lgpl", "gnu lesser general public license", 0), ("mpl-2", "mozilla public license version 2", 0), ("unlicense", "released into the public domain", 0),
+]
+
+
+def _licenses() -> str:
+    """Bands of 16 diagonals from every eighth; runs of three words are compared as text."""
+    from hearthspark.llm.licenses import NOTICES
+
+    notice = lambda t: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in t).lower().split())
+    known = [(label, words, base, 0) for label, words, base in _PHRASES] + [(label, notice(t), 0, 1) for label, t in NOTICES.items()]
+    values = ", ".join(f"({i}, '{label}', string_split('{words}', ' '), {base}, {fuzzy})" for i, (label, words, base, fuzzy) in enumerate(known))
+    return f"""
+with d as (select row_number() over () rid, doc_id, {_WORDS} w from documents),
+t as (select t, label, x, len(x) size, base, case fuzzy when 1 then len(x) // 5 else 0 end lack from (values {values}) v(t, label, x, base, fuzzy)),
+tr as (select t, size, base, lack, i - 1 o, array_to_string(x[i:i + 2], ' ') g from (select *, unnest(range(1, size - 1)) i from t)),
+dr as (select rid, i - 1 pos, array_to_string(w[i:i + 2], ' ') g from (select rid, w, unnest(range(1, len(w) - 1)) i from d)),
+hits as (select rid, t, size, base, lack, o, pos - o dg from dr join tr using (g)),
+exact as (select rid, t, base, dg from hits where lack = 0 group by rid, t, base, dg, size having count(*) = size - 2),
+cover as (
+  select rid, t, size, b, count(distinct p) n from (select rid, t, size, lack, b, unnest(range(o, o + 3)) p from (select *, unnest([floor(dg / 8.0) - 1, floor(dg / 8.0)]) b from hits where lack > 0))
+  group by rid, t, size, lack, b having count(distinct p) >= size - lack
+),
+said as (select rid, t, 1.0::double score from exact union all select rid, t, n::double / size from cover),
+per as (select rid, string_agg(distinct label, ',' order by label) labels, max(score) score from said join t using (t) group by rid),
+based as (select rid, count(*) n, min(dg) a, max(dg) b, string_agg(distinct label, ',' order by label) labels from exact join t using (t) where t.base = 1 group by rid)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(based.n, 0) n_base, cast(based.a as bigint) first_word, cast(based.b as bigint) last_word,
+  coalesce(based.labels, '') base_labels, coalesce(per.labels, '') labels, coalesce(per.score, 0.0) score
+from d left join per using (rid) left join based using (rid)
+"""
+
+
+LICENSES = _licenses()
