@@ -186,3 +186,26 @@ from d left join per using (rid) left join based using (rid)
 
 
 LICENSES = _licenses()
+
+
+def _collocations() -> str:
+    grams = " union all ".join(f"select lang, array_to_string(w[i:i + {k - 1}], ' ') p, {k} k from s where i + {k - 1} <= len(w)" for k in range(1, 5))
+    cuts = " union all ".join(f"select *, {j} j, array_to_string(w[1:{j}], ' ') x, array_to_string(w[{j + 1}:], ' ') y from cand where k > {j}" for j in range(1, 4))
+    subs = " union all ".join(f"select lang, f, array_to_string(w[{i}:{i + n - 1}], ' ') p from cand where k > {n} and k >= {i + n - 1}" for n in (2, 3) for i in range(1, 4))
+    return f"""
+with pieces as (select coalesce(lang, 'und') lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) t from documents),
+w as (select lang, regexp_extract_all(t, '[^\\x20\\x09]+') w from pieces),
+s as (select lang, w, unnest(range(1, len(w) + 1)) i from w),
+n as (select lang, sum(len(w))::bigint n from w group by lang),
+f as (select lang, p, k, count(*)::hugeint f from ({grams}) group by lang, p, k),
+cand as (select lang, p, k, f, string_split(p, ' ') w from f where k >= 2 and f >= 30),
+met as (select c.lang, c.p, c.f a, j, l.f l, r.f r, 2000000 * c.f // (l.f + r.f) score from ({cuts}) c join f l on l.lang = c.lang and l.p = c.x join f r on r.lang = c.lang and r.p = c.y),
+low as (select * from met qualify row_number() over (partition by lang, p order by score, j) = 1),
+held as (select lang, p, max(f) f from ({subs}) group by lang, p),
+kept as (select low.* from low left join held on held.lang = low.lang and held.p = low.p where held.f is null or 100 * held.f < 80 * a)
+select lang, rank, p phrase, a::bigint a, l::bigint l, r::bigint r, n, score::bigint score
+from (select *, row_number() over (partition by lang order by score desc, a desc, p) rank from kept) join n using (lang) where rank <= 2000
+"""
+
+
+COLLOCATIONS = _collocations()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm import decontaminate, htmltext, infill, licenses, oracles, sampling, secrets, sharding, simhash, topk, toxicity, urlfilter, warc
+from hearthspark.llm import collocations, decontaminate, htmltext, infill, licenses, oracles, sampling, secrets, sharding, simhash, topk, toxicity, urlfilter, warc
 from hearthspark.sources.tables import table, tables
 
 
@@ -52,6 +52,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.digest(sampling.encode_samples(table(spark, sf_dir, "documents"), with_ids=False))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -62,6 +66,6 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secret_scans, op2_simhash_near_dedup, op3_decontamination, op4_warc, op5_url_filters, op6_toxicity, op7_sharding, op8_exact_top_k, op9_html_extraction,
-    op10_sentencepiece, op12_license_scans, op13_fill_in_middle,
+    op10_sentencepiece, op11_phrase_collocations, op12_license_scans, op13_fill_in_middle,
 )}
-ORACLES: dict[str, str] = {"op1_secret_scans": oracles.SECRETS, "op3_decontamination": oracles.DECONTAMINATION, "op4_warc": oracles.WARC, "op5_url_filters": oracles.URLS, "op7_sharding": oracles.SHARDS, "op8_exact_top_k": oracles.TOP_K, "op12_license_scans": oracles.LICENSES, "op13_fill_in_middle": oracles.INFILL}
+ORACLES: dict[str, str] = {"op1_secret_scans": oracles.SECRETS, "op3_decontamination": oracles.DECONTAMINATION, "op4_warc": oracles.WARC, "op5_url_filters": oracles.URLS, "op7_sharding": oracles.SHARDS, "op8_exact_top_k": oracles.TOP_K, "op11_phrase_collocations": oracles.COLLOCATIONS, "op12_license_scans": oracles.LICENSES, "op13_fill_in_middle": oracles.INFILL}
