@@ -187,6 +187,28 @@ def rt_rw_pair(text: Column) -> tuple[Column, Column]:
     return F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
 
 
+def area_pair(text: Column) -> Column:
+    """(rt, rw) as written, null where not found: numbers with the labels RT and RW in this order, else the first two with a slash or dash between them, else the only two of up to three digits.
+
+    The text is read as words: runs of digits, the labels, and single marks. Of a longer run the three digits next to its label or mark count.
+    """
+
+    def read(t: Column) -> Column:
+        number = lambda i: F.when(F.get(t, i).rlike("^[0-9]"), F.get(t, i))
+        after = lambda i: F.coalesce(number(i + 1), F.when(F.get(t, i + 1).isin(":", "."), number(i + 2)))
+        of = lambda label: F.transform(t, lambda x, i: F.when(x == label, after(i)))
+        at = F.array_position(F.transform(of("RT"), lambda x: x.isNotNull()), True).cast("int")
+        rt, rw = F.get(of("RT"), at - 1), F.get(F.filter(F.slice(of("RW"), at + 1, F.size(t)), lambda x: x.isNotNull()), F.lit(0))
+        marked = F.transform(t, lambda x, i: F.when(x.isin("-", "/") & number(i - 1).isNotNull() & number(i + 1).isNotNull(), F.struct(F.right(number(i - 1), F.lit(3)).alias("rt"), F.left(number(i + 1), F.lit(3)).alias("rw"))))
+        only = F.filter(t, lambda x: x.rlike("^[0-9]"))
+        short = (F.size(only) == 2) & F.forall(only, lambda x: F.length(x) <= 3)
+        labelled_ = F.when((at > 0) & rw.isNotNull(), F.struct(F.left(rt, F.lit(3)).alias("rt"), F.left(rw, F.lit(3)).alias("rw")))
+        return F.coalesce(labelled_, F.get(F.filter(marked, lambda x: x.isNotNull()), F.lit(0)), F.when(short, F.struct(F.get(only, F.lit(0)).alias("rt"), F.get(only, F.lit(1)).alias("rw"))))
+
+    words = F.regexp_extract_all(ascii_upper(text), F.lit(r"[0-9]+|RT|RW|\S"), F.lit(0))
+    return F.get(F.transform(F.array(words), read), F.lit(0))
+
+
 def area_number(text: Column) -> Column:
     """The first number of up to three digits, without leading zeros, of two digits at least; null without one."""
     raw = F.regexp_extract(repair_digits(text), r"(\d{1,3})", 1)
@@ -209,8 +231,10 @@ def header_text(line: Column) -> Column:
 
 def labelled(text: Column, name: str) -> Column:
     """Of a header_text(), the value after a label: ``LABEL x : value``, ``LABEL value`` or a bare label (empty value); null if the line has another label."""
-    colon = rf"^{name}\s*[A-Z0-9]?\s*:\s*(.*)$"
-    value = F.when(text.rlike(colon), F.regexp_extract(text, colon, 1)).when(text.rlike(rf"^{name}\s+"), F.regexp_extract(text, rf"^{name}\s+(.*)$", 1)).when(text == name, F.lit(""))
+    rest = F.substr(text, F.lit(len(name) + 1))
+    before = trim_ws(F.substring_index(rest, ":", 1))  # of the colon: nothing, or one letter or digit that a misread mark left
+    colon = F.contains(rest, F.lit(":")) & ((before == "") | ((F.length(before) == 1) & before.between("0", "Z") & before.rlike("[0-9A-Z]")))
+    value = F.when(colon, F.ltrim(F.substr(rest, F.instr(rest, ":") + 1))).when(F.substr(rest, F.lit(1), F.lit(1)).isin(" ", "\t"), F.ltrim(rest)).when(rest == "", F.lit(""))
     return F.when(text.startswith(name), value)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hearthspark.functions import expr as E
 
-# Labels in the order they are tried, words of the tables' vocabulary, markers, misread words.
+# Fixed values, down to UNREADABLE: labels in the order they are tried, words of the tables' vocabulary, codes, misread words, markers, headings, a message's ending, thresholds.
 HEADER_LABELS = {
     "NOMOR_KARTU_KELUARGA": "NOMOR KARTU KELUARGA", "NOMOR_KK": "NOMOR KK", "NO_KK": "NO KK", "RT_RW": "RT/RW", "LINGKUNGAN": "LINGKUNGAN", "ALAMAT": "ALAMAT", "RT": "RT", "RW": "RW",
 }
@@ -31,9 +31,6 @@ VOCABULARY = {
     "marital_status": ["BELUM KAWIN", "CERAI HIDUP", "CERAI MATI", "KAWIN"],
     "family_relation": ["KEPALA KELUARGA", "ORANG TUA", "FAMILI LAIN", "MENANTU", "CUCU", "MERTUA", "ISTRI", "ANAK", "LAINNYA"],
 }
-#: How a card writes RT and RW together: both labelled, joined by a mark, or as the only two numbers.
-_NUMBER = r"(\d{1,3})"
-RT_RW = [r"(?i)" + ".*?".join(rf"{label}\s*[:.]?\s*{_NUMBER}" for label in ("RT", "RW")), rf"{_NUMBER}\s*[-/]\s*{_NUMBER}", rf"^\D*{_NUMBER}\D+{_NUMBER}\D*$"]
 #: Fields whose values are codes, with underscores.
 CODED = ("marital_status", "family_relation")
 ALIASES = {"N1K": "NIK", "KAT0LIK": "KATOLIK", "KR1STEN": "KRISTEN", "H1NDU": "HINDU", "BUDHHA": "BUDDHA", "KAW1N": "KAWIN", "1STRI": "ISTRI", "AN4K": "ANAK"}
@@ -111,7 +108,7 @@ def _header(df: DataFrame) -> DataFrame:
     text = lambda x: F.coalesce(*[F.when(x["n"] == n, F.trim(E.labelled(x["text"], name))) for n, name in enumerate(HEADER_LABELS.values(), 1)])
     id16 = lambda x: F.coalesce(F.nullif(E.id16(x, repair=False), F.lit("")), F.nullif(E.id16(E.ascii_upper(x)), F.lit("")))
     is_kk, both = (lambda x: x["key"].isin(*_KK)), (lambda x: x["key"] == "RT_RW")
-    pair = lambda x, g: F.coalesce(*[F.nullif(F.regexp_extract(x["value"], p, g), F.lit("")) for p in RT_RW])
+    pair = lambda x, of: E.area_pair(x["value"])[of]
     short = lambda x: E.area_number(F.translate(E.ascii_upper(x["value"]), "OIL", "011"))
     df = df.withColumn("hl", F.slice("lines", F.lit(1), F.coalesce("h", F.size("lines"))))
     df = _with(df, "hl", "i line t", next=lambda x: F.get("lines", x["i"] + 1)["line"], text=lambda x: E.trim_ws(F.replace(x["up"], F.lit("N0MOR"), F.lit("NOMOR"))))
@@ -119,8 +116,8 @@ def _header(df: DataFrame) -> DataFrame:
     df = _with(df, "hl", "i line t next", key=lambda x: nth(x["n"], map(F.lit, HEADER_LABELS)), value=lambda x: F.nullif(text(x), F.lit("")))
     df = _with(
         df, "hl", "i line t key value", kk_number=lambda x: F.when(is_kk(x), F.coalesce(id16(x["value"]), F.when(x["value"].isNull(), id16(x["next"])))),
-        address=lambda x: F.when(x["key"] == "ALAMAT", x["value"]), rt=lambda x: F.when(both(x), E.area_number(pair(x, 1))).when(x["key"] == "RT", short(x)),
-        rw=lambda x: F.when(both(x), E.area_number(pair(x, 2))).when(x["key"] == "RW", short(x)),
+        address=lambda x: F.when(x["key"] == "ALAMAT", x["value"]), rt=lambda x: F.when(both(x), E.area_number(pair(x, "rt"))).when(x["key"] == "RT", short(x)),
+        rw=lambda x: F.when(both(x), E.area_number(pair(x, "rw"))).when(x["key"] == "RW", short(x)),
         lingkungan=lambda x: F.when(x["key"] == "LINGKUNGAN", F.regexp_replace(F.regexp_replace(x["value"], r"\s+", " "), r"(?i)^LINGKUNGAN\s+(.+)$", "Lingkungan $1")),
     )
     for f in ("kk_number", "address", "rt", "rw", "lingkungan"):

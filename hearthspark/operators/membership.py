@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthspark.sources.cuts import cut
+
 #: What an import does with a resident who is known already.
 MODES = ("reject", "move_active", "force_active")
 
@@ -17,6 +19,31 @@ def history(events: DataFrame, person: str, order: list[str], when: str) -> Data
     return events.withColumn("effective_date", F.col(when).cast("date")).withColumn("end_date", following.cast("date")).withColumn("status", F.when(following.isNull(), "AKTIF").otherwise("KELUAR"))
 
 
+def following(rows: DataFrame, person: str, order: list[str], value: str, name: str, per_task: int = 1_000_000) -> DataFrame:
+    """``rows`` with ``name``: ``value`` of the person's next row, null after the last one. Unlike lead() by person, a person may hold any share of the rows.
+
+    Rows are dealt out by ranges of (person, order), lead() works inside a range, and the last row of a person in a range takes the first of that person's next range; of these first rows
+    there is one per person and range. ``order`` should end in a column that makes it unique; a null person is a person.
+    """
+    parts = max(rows.count() // per_task + 1, rows.sparkSession.sparkContext.defaultParallelism)
+    keyed = rows.withColumn("_range", F.lit(0)).repartitionByRange(parts, person, *order)
+    ranged = cut(keyed.withColumn("_range", F.spark_partition_id()))  # cut, so that ranges stay as they are whoever reads them
+    inside = F.lead(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(person, "_range").orderBy(*order))
+    first = ranged.groupBy(person, "_range").agg(F.min(F.struct(*order, F.col(value).alias("_v")))["_v"].alias("_v"))
+    split = first.groupBy(F.col(person).alias("_p")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    ends = first.join(split, F.col(person).eqNullSafe(F.col("_p")), "left_semi")
+    ends = ends.select(F.col(person).alias("_p"), F.col("_range").alias("_r"), F.lead(F.struct(F.col("_v").alias("v"))).over(Window.partitionBy(person).orderBy("_range")).alias("_next"))
+    met = ranged.withColumn("_inside", inside).join(ends, F.col(person).eqNullSafe(F.col("_p")) & (F.col("_range") == F.col("_r")), "left")
+    return met.select(*rows.columns, F.coalesce("_inside", "_next")["v"].alias(name))
+
+
+def history_of_any(events: DataFrame, person: str, order: list[str], when: str, per_task: int = 1_000_000) -> DataFrame:
+    """history() by following(), for persons of any number of rows."""
+    rows = following(events, person, order, when, "_following", per_task)
+    status = F.when(F.col("_following").isNull(), "AKTIF").otherwise("KELUAR")
+    return rows.withColumn("effective_date", F.col(when).cast("date")).withColumn("end_date", F.col("_following").cast("date")).withColumn("status", status).drop("_following")
+
+
 def upsert_plan(incoming: DataFrame, known: DataFrame, mode: str = "move_active") -> DataFrame:
     """(nik, action) for ``incoming`` (nik, kk_id) against ``known`` (nik, kk_id, active).
 

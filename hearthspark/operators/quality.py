@@ -30,6 +30,7 @@ def is_id16(c: Column) -> Column:
 def resident_errors(as_of: date) -> Column:
     """Of a resident row: identifiers, domains, dates and what each status requires."""
     c, today = F.col, F.lit(as_of)
+    # The messages.
     return errors(
         rule(~is_id16(c("nik")), "nik", "NIK harus 16 digit."),
         rule(blank(c("full_name")), "full_name", "Nama lengkap wajib diisi."),

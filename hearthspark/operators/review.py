@@ -31,6 +31,7 @@ def household_review_errors(kk_number: Column, address: Column, members: Column)
     """(path, message) of a household's own fields."""
     told = lambda path, bad, text: F.when(bad, F.struct(F.lit(path).alias("path"), F.lit(text).alias("message")))
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    # The messages.
     rules = F.array(
         F.coalesce(told("kk_number", empty(kk_number), "Nomor KK wajib diisi"), told("kk_number", ~is_id16(kk_number), "Nomor KK harus 16 digit angka")),
         told("address", empty(address), "Alamat wajib diisi"), told("members", F.coalesce(F.size(members), F.lit(0)) <= 0, "Minimal satu anggota keluarga wajib diisi"),
@@ -43,6 +44,7 @@ def member_review_errors(member: Column, index: Column, newest_year: int) -> Col
 
     def check(field: str, label: str) -> Column:
         value, who = member[field], F.concat(F.lit(f"{label} anggota ke-"), (index + 1).cast("string"))
+        # The messages' endings.
         said = F.when(blank(value), " wajib diisi")
         if field == "nik":
             said = said.when(~is_id16(value), " harus 16 digit angka")

@@ -189,10 +189,10 @@ def _incoming(spark, d):
 
 
 def _known(spark, d):
-    return table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(c("o_orderkey").alias("nik"), c("o_custkey").alias("kk_id"), (c("o_orderstatus") == "O").alias("active"))
+    return table(spark, d, "orders").filter("o_totalprice > 100000").select(c("o_orderkey").alias("nik"), c("o_custkey").alias("kk_id"), (c("o_orderstatus") == "O").alias("active"))
 
 
-_PLAN = "from (select l_orderkey k, min(l_partkey) kk from lineitem group by l_orderkey) i left join orders o on o.o_orderkey=i.k and o.o_orderkey%2=0"
+_PLAN = "from (select l_orderkey k, min(l_partkey) kk from lineitem group by l_orderkey) i left join orders o on o.o_orderkey=i.k and o.o_totalprice>100000"
 
 
 @query("upsert_plan", sql=f"select i.k nik, case when o.o_orderkey is null then 'INSERT' when o.o_orderstatus<>'O' then 'REJECT_INACTIVE' when o.o_custkey=i.kk then 'KEEP' else 'MOVE' end as action {_PLAN}")
@@ -605,4 +605,4 @@ def parse_members(spark, d):
     return rows.select("id", (c("i") + 1).alias("ordinal"), "m.nama", "m.nik", "m.gender", "m.birth_place", "m.birth_date", "m.religion", "m.education", "m.occupation", "m.marital_status", "m.family_relation")
 
 
-from hearthspark.plans import more  # noqa: E402, F401  registers further queries
+from hearthspark.plans import cards, more, versions  # noqa: E402, F401  register further queries

@@ -33,6 +33,28 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file unless it is there already; False if it is. Atomic where the store's create without overwriting is (HDFS); on local disks two writers in the same instant may both pass."""
+    found, store = _path(spark, path)
+    try:
+        out = store.create(found, False)
+    except Exception as e:
+        if store.exists(found):
+            return False
+        raise RuntimeError(f"{path} can't be created") from e
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    found, store = _path(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(found)) if store.exists(found) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that fresh_dir() named."""
     found, store = _path(spark, path)

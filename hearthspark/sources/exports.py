@@ -108,10 +108,10 @@ def snapshot_manifest(tables: dict[str, tuple[DataFrame, str, Column]]) -> DataF
     return out
 
 
-def checksum(rows: DataFrame) -> DataFrame:
-    """One row (n, checksum), whatever the order of rows: the sum of their hashes, so that pairs don't cancel out."""
-    h = F.xxhash64(*[F.col(c).cast("string") for c in sorted(rows.columns)]).cast("decimal(38,0)")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("checksum"))
+def checksum(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row (n, checksum), or one for each value of ``by``, whatever the order of rows: the sum of their hashes, so that pairs don't cancel out."""
+    h = F.xxhash64(*[F.col(c).cast("string") for c in sorted(set(rows.columns) - set(by or []))]).cast("decimal(38,0)")
+    return rows.groupBy(*by or []).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("checksum"))
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str) -> dict:
