@@ -56,3 +56,31 @@ def test_prefixes_meet_at_the_bound(spark):
     left = [t for i, t in rows if i not in gone]
     assert gone and not any(similar(a, b) for n, a in enumerate(left) for b in left[:n])
     assert jaccard.near_copies(spark.createDataFrame([], "rid long, text string")).count() == 0
+
+
+def test_a_shingle_of_a_third_of_all_documents(spark):
+    """Short texts that share their only rare shingles, compared in tiles; some of them are near copies."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    hot = [word() for _ in range(6)]
+    texts = [" ".join(hot + [word() for _ in range(2)]) for _ in range(60)] + [" ".join(word() for _ in range(30)) for _ in range(120)]
+    texts += [texts[3], texts[7] + " x", *(" ".join([*texts[100].split()[:-1], word()]) for _ in range(3))]
+    rows = list(enumerate(texts))
+    for tile in (5, jaccard.HOT):
+        gone = {r["rid"] for r in jaccard.near_copies(spark.createDataFrame(rows, "rid long, text string"), tile).collect()}
+        left = [t for i, t in rows if i not in gone]
+        assert len(gone) >= 4 and not any(similar(a, b) for n, a in enumerate(left) for b in left[:n])
+        assert all(any(similar(texts[i], t) for j, t in rows if j != i) for i in gone)
+
+
+def test_sketches_never_lose_a_pair():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = {rng.getrandbits(64) for _ in range(rng.randrange(1, 700))}
+        b = {x for x in a if rng.random() < 0.9} | {rng.getrandbits(64) for _ in range(rng.randrange(60))}
+        if b:
+            x, y = (jaccard.sketch(jaccard.np.array(sorted(s), jaccard.np.uint64)) for s in (a, b))
+            assert jaccard.apart(x, y) <= len(a ^ b)
+            assert 100 * len(a & b) < 80 * len(a | b) or len(a ^ b) <= jaccard.room(len(a), len(b))
+    far = [jaccard.sketch(jaccard.np.array([rng.getrandbits(64) for _ in range(600)], jaccard.np.uint64)) for _ in range(2)]
+    assert jaccard.apart(*far) > jaccard.room(600, 600)
