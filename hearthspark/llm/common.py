@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthspark.sources.cuts import cut, fresh_dir, remove, shared_dir, written
 
-__all__ = ["cut", "fresh_dir", "spread_lookup", "lower_ascii", "numbered", "remove", "shared_dir", "without", "written"]
+__all__ = ["bound", "cut", "fresh_dir", "lower_ascii", "merged", "numbered", "remove", "running", "shared_dir", "spread_lookup", "without", "written"]
 
+#: Elements of an array that are combined at a time.
+BLOCK = 256
 #: A lookup table of at most so many bytes (as measured) is broadcast.
 SMALL = 8 << 20
 #: Most rows of one key that one task of a lookup should meet.
@@ -35,6 +39,39 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(xs: Column, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column], zero: int) -> Column:
+    """Before each element of ``xs``, its predecessors' values (ints) combined.
+
+    Appending to an array copies it, so elements are combined in blocks, and blocks' totals across them: n elements cost n (BLOCK + n / BLOCK / BLOCK) copies, not n * n.
+    """
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(xs) - 1) / BLOCK).cast("int"), F.lit(0)))
+    part = lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK))
+    start = lambda at: F.struct(at.cast("int").alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    step = lambda acc, v: F.struct(combine(acc["at"], v).cast("int").alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    totals = F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(zero), lambda acc, x: combine(acc, value(x)).cast("int")))
+    offsets = F.aggregate(totals, start(F.lit(zero)), step, lambda acc: acc["out"])
+    return bound(offsets, lambda at: F.flatten(F.transform(blocks, lambda b: F.aggregate(part(b), start(F.get(at, b)), lambda acc, x: step(acc, value(x)), lambda acc: acc["out"]))))
+
+
+def merged(spans: Column, touching: bool) -> Column:
+    """Unions (s, e) of overlapping spans, sorted by start, and of those that touch if ``touching``."""
+    before = running(spans, lambda x: x["e"], F.greatest, -1)
+    new = lambda x, reach: (x["s"] > reach) if touching else (x["s"] >= reach)
+
+    def unions(reach: Column) -> Column:
+        starts = F.filter(F.transform(spans, lambda x, i: F.when(new(x, F.get(reach, i)), i)), lambda i: i.isNotNull())
+        most = F.array_max(F.transform(spans, lambda x: x["e"]))
+        end = lambda at, j: F.coalesce(F.get(reach, F.get(at, j + 1)), most)
+        return bound(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(spans, i)["s"].alias("s"), end(at, j).alias("e"))))
+
+    return F.when(F.size(spans) > 0, bound(before, unions)).otherwise(F.expr("cast(array() as array<struct<s:int,e:int>>)"))
+
+
 def spread_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: str, values: list[str], small: int = SMALL, per_task: int = PER_TASK) -> DataFrame:
     """Left join of ``left`` with ``right``, whose keys are unique; rows of ``left`` are kept, each once.
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthspark.llm.common import cut, lower_ascii
+from hearthspark.llm.common import cut, lower_ascii, merged
 
 SPAN = 13
 K = 5
@@ -114,13 +114,7 @@ def find_contamination(
     real = F.col("bh").isNotNull() & ((F.col("len") > 0) | (F.col("_l") + k + F.col("_r") >= span))
     met = met.select("row_id", "id", "n_words", F.when(real, F.struct(start.alias("s"), (start + size).alias("e"))).alias("span"), F.when(real, F.col("item")).alias("item"))
     out = met.groupBy("row_id", "id").agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    merged = F.aggregate(
-        "spans", F.expr("cast(array() as array<struct<s:int,e:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]),
-            F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))
-        ).otherwise(F.array_append(acc, F.struct(x["s"].alias("s"), x["e"].alias("e")))),
-    )
-    out = out.withColumn("spans", merged)
+    out = out.withColumn("spans", merged(F.col("spans"), True))
     return out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["e"] - x["s"]).cast("long")))
 
 

@@ -12,10 +12,10 @@ Cases: a null text is empty; a null id, owner or repository counts as one value
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthspark.llm.common import cut, spread_lookup
+from hearthspark.llm.common import BLOCK, bound, cut, merged, running, spread_lookup
 
 # The contract's kinds, in its order, and the added kind.
 KINDS = ["assign", "access", "hex", "owned"]
@@ -39,17 +39,11 @@ def _matches(text: str, pattern: str, out: str, df: DataFrame) -> DataFrame:
     What lies between matches comes from split(), only where there are matches; starts are running sums of both lengths.
     """
     df = df.withColumn("_m", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    df = df.withColumn("_z", F.when(F.size("_m") > 0, F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.col("_m").alias("m"))))
-    found = F.aggregate(
-        F.slice("_z", F.lit(1), F.greatest(F.size("_m"), F.lit(0))),
-        F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,m:string>>))"),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["g"])).alias("s"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("e"), x["m"].alias("m"))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return df.withColumn(out, F.coalesce(F.when(F.size("_m") > 0, found), F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)"))).drop("_m", "_z")
+    df = df.withColumn("_z", F.when(F.size("_m") > 0, F.slice(F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.col("_m").alias("m")), F.lit(1), F.greatest(F.size("_m"), F.lit(1)))))
+    df = df.withColumn("_at", F.when(F.size("_m") > 0, running(F.col("_z"), lambda x: F.length(x["g"]) + F.length(x["m"]), lambda a, n: a + n, 0)))
+    span = lambda x, at: F.struct((at + F.length(x["g"])).alias("s"), (at + F.length(x["g"]) + F.length(x["m"])).alias("e"), x["m"].alias("m"))
+    none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
+    return df.withColumn(out, F.coalesce(F.when(F.size("_m") > 0, F.zip_with("_z", "_at", span)), none)).drop("_m", "_z", "_at")
 
 
 def _span(x: Column, kind: int, value: Column) -> Column:
@@ -57,7 +51,7 @@ def _span(x: Column, kind: int, value: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text", out: str = "cands") -> DataFrame:
-    """Adds ``out``, array of (s, k, e, h) sorted by start and kind, and drops ``text``; k indexes KINDS, h hashes the value."""
+    """Adds ``out``, array of (s, k, e, h) sorted by start and kind, and drops ``text``; k indexes KINDS, h hashes the value. Weak ones may overlap others."""
     df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     for name, pattern in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX), ("_weak", WEAK)):
         df = _matches("_t", pattern, name, df)
@@ -67,7 +61,7 @@ def candidates(docs: DataFrame, text: str = "text", out: str = "cands") -> DataF
         F.transform("_access", lambda x: _span(x, 1, x["m"])),
         F.transform("_hex", lambda x: _span(x, 2, x["m"])),
     ))
-    weak = F.filter("_weak", lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    weak = F.filter("_weak", lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"))
     df = df.withColumn(out, F.array_sort(F.concat("_base", F.transform(weak, lambda x: _span(x, 3, x["m"])))))
     return df.drop("_t", "_assign", "_access", "_hex", "_weak", "_base", text)
 
@@ -79,6 +73,16 @@ def ownership(cands: DataFrame) -> DataFrame:
     return by_owner.groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_repos").alias("n_repos"), F.sum("n").alias("n_rows"))
 
 
+def _apart(some: DataFrame) -> DataFrame:
+    """Without weak candidates that overlap a base span: of those that start no later the farthest end is known, of those that start no earlier the first start."""
+    base = lambda c: F.when(F.col("k") < 3, F.col(c))
+    by = lambda order: Window.partitionBy("row_id").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reached, next_ = F.max(base("e")).over(by(F.asc("s"))), F.min(base("s")).over(by(F.desc("s")))
+    marked = some.withColumn("_reached", reached).withColumn("_next", next_)
+    clear = (F.coalesce("_reached", F.lit(0)) <= F.col("s")) & (F.col("_next").isNull() | (F.col("_next") >= F.col("e")))
+    return marked.filter((F.col("k") < 3) | clear).drop("_reached", "_next")
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row per input row: ``row_id``, ``id`` and ``spans``, array of (s, k, e, live, n_owners, n_repos) by start and kind.
 
@@ -88,12 +92,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("_text"))
     rows = cut(candidates(rows, "_text").withColumn("row_id", F.monotonically_increasing_id()))
     some = rows.filter(F.size("cands") > 0).select("row_id", "id", "repo", "owner", F.explode("cands").alias("c"))
-    some = some.select("row_id", "id", "repo", "owner", "c.s", "c.k", "c.e", "c.h")
+    some = cut(_apart(some.select("row_id", "id", "repo", "owner", "c.s", "c.k", "c.e", "c.h")))
     freq = cut(ownership(some))
     known = spread_lookup(some, freq, "h", "n_rows", "row_id", ["n_owners", "n_repos"]).withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     span = F.struct("s", "k", "e", "live", "n_owners", "n_repos")
     found = known.groupBy("row_id", "id").agg(F.array_sort(F.collect_list(F.when((F.col("k") < 3) | F.col("live"), span))).alias("spans"))
-    none = rows.filter(F.size("cands") == 0).select("row_id", "id", F.expr("cast(array() as array<struct<s:int,k:int,e:int,live:boolean,n_owners:bigint,n_repos:bigint>>)").alias("spans"))
+    empty = F.expr("cast(array() as array<struct<s:int,k:int,e:int,live:boolean,n_owners:bigint,n_repos:bigint>>)")
+    none = rows.filter(F.size("cands") == 0).select("row_id", "id", empty.alias("spans"))
     return found.unionByName(none)
 
 
@@ -115,15 +120,20 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """``text`` with each union of overlapping spans replaced by ``mask``; spans sorted by start."""
-    merged = F.aggregate(
-        spans, F.expr("cast(array() as array<struct<s:int,e:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] > x["s"]),
-            F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))
-        ).otherwise(F.array_append(acc, F.struct(x["s"].alias("s"), x["e"].alias("e")))),
-    )
-    return F.aggregate(
-        merged, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mask)).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    """``text`` with each union of overlapping spans replaced by ``mask``; spans sorted by start.
+
+    Finding a place in a string costs its length, so a text is cut into stretches of BLOCK unions first, these into pieces.
+    """
+
+    def stretch(unions: Column, b: Column) -> Column:
+        first, last = b * BLOCK, F.least((b + 1) * BLOCK, F.size(unions)) - 1
+        begin = F.coalesce(F.get(unions, first - 1)["e"], F.lit(0))
+        piece = lambda t, x, i: F.concat(F.substr(t, F.coalesce(F.get(unions, first + i - 1)["e"], F.lit(0)) - begin + 1, x["s"] - F.coalesce(F.get(unions, first + i - 1)["e"], F.lit(0))), F.lit(mask))
+        return bound(F.substr(text, begin + 1, F.get(unions, last)["e"] - begin), lambda t: F.array_join(F.transform(F.slice(unions, first + 1, F.lit(BLOCK)), lambda x, i: piece(t, x, i)), ""))
+
+    def joined(unions: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(unions) - 1) / BLOCK).cast("int"))
+        tail = F.substr(text, F.element_at(unions, -1)["e"] + 1, F.length(text))
+        return F.when(F.size(unions) > 0, F.concat(F.array_join(F.transform(blocks, lambda b: stretch(unions, b)), ""), tail)).otherwise(text)
+
+    return bound(merged(spans, False), joined)

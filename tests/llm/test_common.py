@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,3 +33,23 @@ def test_folders_on_a_cluster_must_be_named(spark, monkeypatch):
         spark.read.parquet(path)
     with pytest.raises(ValueError):
         common.remove(spark, path.replace("hearth-", "other-"))
+
+
+def test_running_and_merged_match_plain_loops(spark):
+    rng = random.Random(12)
+    lists = [[], [(0, 1)], [(0, 5), (5, 6), (7, 9)]]
+    for n in (3, 255, 256, 257, 1000):
+        lists.append(sorted((s, s + rng.randrange(1, 6)) for s in (rng.randrange(4 * n) for _ in range(n))))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "id int, spans array<struct<s:int,e:int>>")
+    got = df.select("id", common.running(F.col("spans"), lambda x: x["e"] - x["s"], lambda a, b: a + b, 0).alias("sums"), *[common.merged(F.col("spans"), t).alias(f"m{t}") for t in (False, True)])
+    for row in got.collect():
+        spans = lists[row["id"]]
+        assert row["sums"] == [sum(e - s for s, e in spans[:i]) for i in range(len(spans))]
+        for touching in (False, True):
+            want = []
+            for s, e in spans:
+                if want and (s <= want[-1][1] if touching else s < want[-1][1]):
+                    want[-1][1] = max(want[-1][1], e)
+                else:
+                    want.append([s, e])
+            assert [list(x) for x in row[f"m{touching}"]] == want
