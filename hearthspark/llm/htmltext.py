@@ -57,7 +57,7 @@ BLOCK = frozenset(
     "address header footer nav aside form fieldset details summary hr center head menu dialog search".split()
 )
 #: Elements that HTML itself sets apart from the main text, and those roles.
-APART = frozenset("nav header footer aside form fieldset menu dialog search head button select datalist noscript template".split()) | RAW
+APART = frozenset("nav header footer aside fieldset menu dialog search head button select datalist noscript template".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
 CONTAINERS = frozenset("html body main article section div td center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -67,7 +67,7 @@ _UNFINISHED = re.compile(r"""<[A-Za-z/][\w:-]*(?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"?|'
 #: An opening tag of the key ends open elements of these tags, up to the nearest of the limits.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Flags of a node.
-SET_APART, CONTAINER, ARTICLE, MAIN, HEADER, HEADING, TEMPLATE = (1 << i for i in range(7))
+SET_APART, CONTAINER, ARTICLE, MAIN, HEADER, HEADING, TEMPLATE, FORM = (1 << i for i in range(8))
 NODE = np.dtype([("key", "<u8"), ("parent", "<i4"), ("text", "<u8"), ("chars", "<i4"), ("flags", "u1")])
 
 
@@ -93,7 +93,7 @@ def _element(tag: str, attrs: str) -> tuple[str, int]:
         main = main or role == "main"
         if tag not in ("html", "body", "article", "main"):
             apart = apart or role in ROLES or "hidden" in found or "display:none" in style or found.get("aria-hidden") == "true"
-    flags = SET_APART * apart | CONTAINER * (tag in CONTAINERS) | ARTICLE * (tag == "article") | MAIN * main | HEADER * (tag == "header") | HEADING * (tag in HEADINGS)
+    flags = SET_APART * apart | CONTAINER * (tag in CONTAINERS) | ARTICLE * (tag == "article") | MAIN * main | HEADER * (tag == "header") | HEADING * (tag in HEADINGS) | FORM * (tag == "form")
     return key, flags
 
 
@@ -204,7 +204,20 @@ def outline(text: str | None) -> Outline:
     if at < len(text) and not mute[-1]:
         parts.append(text[at:])
     flush()
-    return Outline(keys, parents, flags, runs)
+    return Outline(keys, parents, forms(keys, parents, flags, runs), runs)
+
+
+def forms(keys: list[str], parents: list[int], flags: list[int], runs: list[tuple[int, str]]) -> list[int]:
+    """Flags with each form set apart, or a container if it holds an article, a main element, an h1 or over half of the page's text: some pages lie in one form as a whole."""
+    if not any(f & FORM for f in flags):
+        return flags
+    chars, holds = [0] * len(keys), [bool(f & (ARTICLE | MAIN)) or k.split(".")[0] == "h1" for k, f in zip(keys, flags, strict=True)]
+    for i, run in runs:
+        chars[i] += len(run)
+    for i in range(len(keys) - 1, 0, -1):
+        chars[parents[i]] += chars[i]
+        holds[parents[i]] |= holds[i]
+    return [f | (CONTAINER if holds[i] or 2 * chars[i] > chars[0] else SET_APART) if f & FORM else f for i, f in enumerate(flags)]
 
 
 class Matcher:
@@ -492,6 +505,14 @@ def tally(matcher: Matcher, reference: Tree, page: Tree, counts: list[list[int]]
             counts[to[j]][2] += chars[j]
 
 
+def within(tree: Tree, path: list[int], content: int) -> list[bool]:
+    """Which nodes are a content element of this path or inside of one."""
+    inside = [False] * len(path)
+    for i in range(len(path)):
+        inside[i] = path[i] == content or (i > 0 and inside[tree.parents[i]])
+    return inside
+
+
 def extract(page: str | Outline | None, wrapper: tuple[Tree, int] | None = None, matcher: Matcher | None = None) -> tuple[str, bool]:
     """Main text of one page, and whether its group's wrapper found the content."""
     page = page if isinstance(page, Outline) else outline(page)
@@ -505,9 +526,14 @@ def extract(page: str | Outline | None, wrapper: tuple[Tree, int] | None = None,
     found = bool(content) and any(p == content and not o for p, o in zip(path, out, strict=True))
     if not found:
         skip, content = set(), content_path(tree, page.nodes["chars"].tolist(), path, out)
-    parents, inside = tree.parents, [False] * len(path)
-    for i in range(len(path)):
-        inside[i] = path[i] == content or (i > 0 and inside[parents[i]])
+    inside = within(tree, path, content)
+    if found:
+        # Pages that are near copies of each other share their article; a wrapper that would take most of an article's text is of no use to it.
+        chars = page.nodes["chars"].tolist()
+        alone = content_path(tree, chars, path, out)
+        whole = within(tree, path, alone) if any(p == alone and f & (ARTICLE | MAIN) for p, f in zip(path, tree.flags, strict=True)) else []
+        if 2 * sum(n for i, n in enumerate(chars) if inside[i] and not out[i] and i not in skip) < sum(n for i, n in enumerate(chars) if whole and whole[i] and not out[i]):
+            inside, skip, found = whole, set(), False
     return "\n\n".join(t for i, t in page.runs if inside[i] and not out[i] and i not in skip), found
 
 

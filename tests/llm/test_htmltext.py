@@ -139,3 +139,25 @@ def test_rows(spark, small):
         assert by[200 + i]["text"].count("\n\n") == 7 and "Teaser" not in by[200 + i]["text"]
     assert (by[300]["text"], by[301]["text"]) == ("a", "b")
     assert h.main_text(df.limit(0), small=small).count() == 0
+
+
+def test_forms_around_pages():
+    body = "<nav>menu</nav><article><h1>T</h1><p>the text</p><form><p>mail</p><button>go</button></form></article><footer>f</footer>"
+    assert text(f"<body><form id=aspnet>{body}</form>") == "T\n\nthe text"
+    assert text(f"<body><form><div><p>{'long text ' * 9}</p></div></form><div>short</div>") == ("long text " * 9).strip()
+    assert text("<body><form>search here</form><div><p>a text that is longer than that</p></div>") == "a text that is longer than that"
+    # A role or hidden form stays apart, whatever it holds.
+    assert text("<body><form role=search><h1>x</h1></form><p>kept</p>") == "kept"
+
+
+def test_near_copies_keep_their_article(spark):
+    """Four pages of one article that differ in a counter, and a group of different articles with one notice."""
+    story = "".join(f"<p>paragraph {i} of the story, which is the same on each page</p>" for i in range(5))
+    page = lambda n: f"<html><body><nav>menu</nav><article><h1>Story</h1>{story}<p>Views {n}</p></article></body></html>"
+    other = lambda n: f"<html><body><article><p>notice for all</p><p>{' '.join(f'word{n * 50 + j}' for j in range(40))}</p></article></body></html>"
+    rows = [(n, f"http://copies.example/{n}", page(n)) for n in range(4)] + [(10 + n, f"http://notes.example/{n}", other(n)) for n in range(6)]
+    got = {r["page_id"]: r["text"] for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(4):
+        assert got[n].startswith("Story\n\nparagraph 0") and got[n].endswith(f"same on each page\n\nViews {n}")
+    for n in range(6):
+        assert got[10 + n] == " ".join(f"word{n * 50 + j}" for j in range(40))
