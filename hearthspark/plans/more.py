@@ -308,10 +308,10 @@ def import_rows(spark, d):
     return membership.import_rows(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", c("o_totalprice") < 5000).select(c("o_orderkey").alias("nik"), c("o_custkey").alias("kk_id"))
 
 
-@query("duplicate_in_import", sql="with b as (select *, row_number() over (partition by batch_id, nik order by idx)=2 again from (select l_orderkey batch_id, l_linenumber*10000000+l_partkey idx, l_suppkey nik from lineitem) z) select batch_id, coalesce(arg_min(nik, idx) filter (again), arg_min(nik, idx) filter (nik in (select s_suppkey from supplier where s_nationkey=3))) duplicate_nik from b group by batch_id having count(*) filter (again or nik in (select s_suppkey from supplier where s_nationkey=3))>0")
+@query("duplicate_in_import", sql="with b as (select *, row_number() over (partition by batch_id, nik order by idx)=2 again from (select l_orderkey batch_id, l_linenumber*1000000000000000+l_partkey*1000000+l_suppkey idx, l_suppkey nik from lineitem) z) select batch_id, coalesce(arg_min(nik, idx) filter (again), arg_min(nik, idx) filter (nik in (select s_suppkey from supplier where s_nationkey=3))) duplicate_nik from b group by batch_id having count(*) filter (again or nik in (select s_suppkey from supplier where s_nationkey=3))>0")
 def duplicate_in_import(spark, d):
     """The first number that repeats within a batch, else the first that is known already."""
-    batch = table(spark, d, "lineitem").select(c("l_orderkey").alias("batch_id"), (c("l_linenumber") * 10_000_000 + c("l_partkey")).alias("idx"), c("l_suppkey").alias("nik"))
+    batch = table(spark, d, "lineitem").select(c("l_orderkey").alias("batch_id"), (c("l_linenumber").cast("long") * 10**15 + c("l_partkey") * 1_000_000 + c("l_suppkey")).alias("idx"), c("l_suppkey").alias("nik"))
     return membership.duplicate_in_import(batch, table(spark, d, "supplier").filter("s_nationkey = 3").select(c("s_suppkey").alias("nik")))
 
 
