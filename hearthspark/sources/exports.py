@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import zipfile
 from datetime import date
-from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +12,10 @@ from pyspark.sql import functions as F
 from hearthspark.functions import expr as E
 from hearthspark.operators.quality import errors, rule
 from hearthspark.schemas import EXPORT_COLUMNS, GENDER, RESIDENT_STATUS
+from hearthspark.sources import workbooks
 
 # Limits of an archive.
 MAX_ENTRIES, MAX_ENTRY_BYTES, MAX_TOTAL_BYTES = 10_000, 262_144_000, 2_147_483_648
-_EXCEL_ROWS = 1_048_576
 
 
 def export_rows(view: DataFrame, as_of: date) -> DataFrame:
@@ -35,34 +34,27 @@ def write_csv(rows: DataFrame, path: str, single: bool = False) -> None:
     (rows.coalesce(1) if single else rows).write.mode("errorifexists").option("header", True).csv(path)
 
 
-def write_xlsx(rows: DataFrame, path: str, sheet: str = "Data") -> int:
-    """One workbook on the driver's disk, rows streamed a partition at a time; more rows than a sheet holds are refused. Returns the number of rows."""
+def write_xlsx(rows: DataFrame, path: str) -> int:
+    """One workbook on the driver's disk, rows streamed a partition at a time; more rows than a sheet holds are refused. Returns the number of rows. The data source ``workbooks`` writes from tasks."""
     n = 0
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
-        z.writestr("_rels/.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        cell = lambda v: f'<c t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>'
-        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as f:
-            f.write(b'<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
-            f.write(f"<row>{''.join(map(cell, rows.columns))}</row>".encode())
+        for name, text in workbooks.PARTS.items():
+            z.writestr(name, text)
+        with z.open(workbooks.SHEET, "w", force_zip64=True) as f:
+            f.write(workbooks.opening(rows.columns))
             for row in rows.toLocalIterator(prefetchPartitions=True):
                 n += 1
-                if n >= _EXCEL_ROWS:
+                if n >= workbooks.SHEET_ROWS:
                     raise ValueError("more rows than a sheet holds; export CSV")
-                f.write(f"<row>{''.join(map(cell, row))}</row>".encode())
-            f.write(b"</sheetData></worksheet>")
+                f.write(workbooks.line("" if v is None else str(v) for v in row))
+            f.write(workbooks.CLOSING)
     return n
 
 
 def read_xlsx(path: str) -> list[list[str]]:
     """Rows of a workbook that write_xlsx() made."""
-    import xml.etree.ElementTree as ET
-
-    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(path) as z:
-        return [["".join(t.text or "" for t in cell.iter(ns + "t")) for cell in row.iter(ns + "c")] for row in ET.fromstring(z.read("xl/worksheets/sheet1.xml")).iter(ns + "row")]
+    with zipfile.ZipFile(path) as z, z.open(workbooks.SHEET) as sheet:
+        return list(workbooks.sheet_rows(sheet))
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
