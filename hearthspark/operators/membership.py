@@ -13,12 +13,6 @@ from hearthspark.sources.cuts import cut
 MODES = ("reject", "move_active", "force_active")
 
 
-def history(events: DataFrame, person: str, order: list[str], when: str) -> DataFrame:
-    """``effective_date``, ``end_date`` and ``status`` of each membership: one ends where the person's next begins."""
-    following = F.lead(when).over(Window.partitionBy(person).orderBy(*order))
-    return events.withColumn("effective_date", F.col(when).cast("date")).withColumn("end_date", following.cast("date")).withColumn("status", F.when(following.isNull(), "AKTIF").otherwise("KELUAR"))
-
-
 def following(rows: DataFrame, person: str, order: list[str], value: str, name: str, per_task: int = 1_000_000) -> DataFrame:
     """``rows`` with ``name``: ``value`` of the person's next row, null after the last one. Unlike lead() by person, a person may hold any share of the rows.
 
@@ -37,8 +31,8 @@ def following(rows: DataFrame, person: str, order: list[str], value: str, name:
     return met.select(*rows.columns, F.coalesce("_inside", "_next")["v"].alias(name))
 
 
-def history_of_any(events: DataFrame, person: str, order: list[str], when: str, per_task: int = 1_000_000) -> DataFrame:
-    """history() by following(), for persons of any number of rows."""
+def history(events: DataFrame, person: str, order: list[str], when: str, per_task: int = 1_000_000) -> DataFrame:
+    """``effective_date``, ``end_date`` and ``status`` of each membership: one ends where the person's next begins. A person may hold any share of the rows (see following)."""
     rows = following(events, person, order, when, "_following", per_task)
     status = F.when(F.col("_following").isNull(), "AKTIF").otherwise("KELUAR")
     return rows.withColumn("effective_date", F.col(when).cast("date")).withColumn("end_date", F.col("_following").cast("date")).withColumn("status", status).drop("_following")
@@ -69,17 +63,18 @@ def apply_moves(memberships: DataFrame, moves: DataFrame, on: date) -> DataFrame
     the others are closed); without one a new row is opened. New rows have no id yet.
     """
     m = moves.select(F.col("penduduk_id").alias("_p"), F.col("kk_id").alias("_kk"), F.col("family_relation").alias("_rel"))
+    active, there = F.col("status") == "AKTIF", (F.col("penduduk_id") == F.col("_p")) & (F.col("kk_id") == F.col("_kk"))
+    kept = memberships.filter(active).join(m, there).groupBy("penduduk_id").agg(F.min(F.struct("id")).alias("_first")).withColumnRenamed("penduduk_id", "_done")
+    m = m.join(kept, F.col("_p") == F.col("_done"), "left").drop("_done")
     rows = memberships.join(m, F.col("penduduk_id") == F.col("_p"), "left")
-    here = (F.col("status") == "AKTIF") & (F.col("kk_id") == F.col("_kk"))
-    rank = F.row_number().over(Window.partitionBy("penduduk_id").orderBy(F.when(here, 0).otherwise(1), "id"))
-    rows = rows.withColumn("_keep", here & (rank == 1)).withColumn("_close", F.col("_p").isNotNull() & (F.col("status") == "AKTIF") & ~F.col("_keep"))
+    rows = rows.withColumn("_keep", F.coalesce(active & (F.col("kk_id") == F.col("_kk")) & (F.struct("id") == F.col("_first")), F.lit(False)))
+    rows = rows.withColumn("_close", F.coalesce(F.col("_p").isNotNull() & active & ~F.col("_keep"), F.lit(False)))
     changed = rows.select(
         "id", "kk_id", "penduduk_id", F.when(F.col("_keep"), F.col("_rel")).otherwise(F.col("family_relation")).alias("family_relation"),
         F.when(F.col("_close"), "KELUAR").otherwise(F.col("status")).alias("status"), "effective_date",
         F.when(F.col("_close"), F.lit(on)).when(F.col("_keep"), F.lit(None)).otherwise(F.col("end_date")).alias("end_date"),
     )
-    kept = rows.filter("_keep").select(F.col("penduduk_id").alias("_done"))
-    fresh = m.join(kept, F.col("_p") == F.col("_done"), "left_anti").select(
+    fresh = m.filter("_first is null").select(
         F.lit(None).cast("long").alias("id"), F.col("_kk").alias("kk_id"), F.col("_p").alias("penduduk_id"), F.col("_rel").alias("family_relation"),
         F.lit("AKTIF").alias("status"), F.lit(on).alias("effective_date"), F.lit(None).cast("date").alias("end_date"),
     )
@@ -125,8 +120,9 @@ def import_plan(rows: DataFrame, batch: str, invalid: Column) -> DataFrame:
 
 def duplicate_in_import(batch: DataFrame, known: DataFrame) -> DataFrame:
     """(batch_id, duplicate_nik): of ``batch`` (batch_id, idx, nik) the first nik that repeats, else the first that is known; batches without one are left out."""
-    again = F.row_number().over(Window.partitionBy("batch_id", "nik").orderBy("idx")) == 2
-    rows = batch.withColumn("_again", again)
+    places = batch.groupBy(F.col("batch_id").alias("_b"), F.col("nik").alias("_n"), "idx").agg(F.count(F.lit(1)).alias("_same"))  # places may repeat
+    first = places.groupBy("_b", "_n").agg(F.min(F.struct("idx", "_same")).alias("_first"))
+    rows = batch.join(first, F.col("batch_id").eqNullSafe(F.col("_b")) & F.col("nik").eqNullSafe(F.col("_n"))).withColumn("_again", (F.col("idx") > F.col("_first.idx")) | (F.col("_first._same") > 1))
     k = known.select(F.col("nik").alias("_k")).distinct()
     rows = rows.join(k, F.col("nik") == F.col("_k"), "left")
     out = rows.groupBy("batch_id").agg(F.min_by("nik", F.when(F.col("_again"), F.col("idx"))).alias("_r"), F.min_by("nik", F.when(F.col("_k").isNotNull(), F.col("idx"))).alias("_e"))

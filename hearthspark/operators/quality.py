@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthspark.operators.membership import following
 from hearthspark.schemas import FAMILY_RELATION, GENDER, MARITAL_STATUS
 
 
@@ -86,6 +87,6 @@ def several_active(memberships: DataFrame) -> DataFrame:
 
 
 def overlapping(memberships: DataFrame) -> DataFrame:
-    """Memberships that begin before the person's previous one ends."""
-    before = F.lag("end_date").over(Window.partitionBy("penduduk_id").orderBy("effective_date", "id"))
-    return memberships.withColumn("_b", before).filter(F.col("effective_date") < F.col("_b")).drop("_b")
+    """Memberships that begin before the person's previous one ends. A person may hold any share of the rows."""
+    rows = following(memberships.withColumn("_row", F.struct(*memberships.columns)), "penduduk_id", ["effective_date", "id"], "_row", "_next")
+    return rows.filter(F.col("_next.effective_date") < F.col("end_date")).select("_next.*")

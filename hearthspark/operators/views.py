@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthspark.functions import expr as E
+from hearthspark.sources.cuts import cut
 
 
 def resident_view(residents: DataFrame, households: DataFrame, rts: DataFrame, areas: DataFrame, lookups: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -34,8 +35,10 @@ def head_of_household(residents: DataFrame, key: str = "kk_id", id_: str = "id",
 
 
 def active_version(rows: DataFrame, keys: list[str], id_: str) -> DataFrame:
-    """Rows with ``is_active``: the newest of each key."""
-    return rows.withColumn("is_active", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(id_))) == 1)
+    """Rows with ``is_active``: whether a row is the newest of its key, by an aggregate that combines in tasks. Ids are distinct; a row without one isn't active."""
+    newest = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(id_).alias("_newest"))
+    met = rows.join(newest, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return met.select(*rows.columns, F.coalesce(F.col(id_) == F.col("_newest"), F.lit(False)).alias("is_active"))
 
 
 def first_occurrences(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -93,10 +96,20 @@ def grow_dimension(names: DataFrame, incoming: DataFrame) -> DataFrame:
     first = incoming.select(E.title_case(E.trim_ws(F.col("name"))).alias("name"), E.normalized_key(F.col("name")).alias("_k")).filter("_k <> ''").dropDuplicates(["_k"])
     fresh = first.join(names.select(E.normalized_key(F.col("name")).alias("_k")), "_k", "left_anti")
     top = names.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = fresh.withColumn("_rn", F.row_number().over(Window.orderBy("_k"))).crossJoin(F.broadcast(top))  # new names of a lookup are few
+    numbered = numbered_by(fresh, "_k", "_rn").crossJoin(F.broadcast(top))  # one row
     return names.unionByName(numbered.select((F.col("top") + F.col("_rn")).cast("long").alias("id"), "name"))
 
 
+def numbered_by(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` numbered from 1 in the order of a distinct key: in ranges of it, each with the number of rows before it. No task holds all rows."""
+    ranged = cut(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("_part").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return ranged.withColumn("_inside", inside).join(starts, F.col("_part") == F.col("_at")).select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
 def backfill_area(households: DataFrame, members: DataFrame, key: str, child_key: str, id_: str, is_head: Column, value: Column) -> DataFrame:
     """(key, rt): the newest head's value, else that of the lowest member id with one. One aggregate over the members."""
     per = members.groupBy(F.col(child_key).alias("_k")).agg(F.max_by(F.when(is_head, value), F.when(is_head, F.col(id_))).alias("_h"), F.min_by(value, F.when(value.isNotNull(), F.col(id_))).alias("_m"))

@@ -28,7 +28,7 @@ def upsert_versioned(spark, d):
 def membership_of_any(spark, d):
     """Membership history where a person may hold any share of the rows."""
     rows = table(spark, d, "events").select("event_id", "user_id", "ts")
-    return membership.history_of_any(rows, "user_id", ["ts", "event_id"], "ts").drop("ts")
+    return membership.history(rows, "user_id", ["ts", "event_id"], "ts").drop("ts")
 
 
 @query("indexed_search", sql="select c_custkey, c_name from customer where c_name ilike '%mer#0000000%' or c_mktsegment ilike '%mer#0000000%'")

@@ -82,9 +82,9 @@ def test_following_of_a_hot_person(spark, per_task):
     data = [(i, rng.choice([1, 1, 1, 2, 3, None, 40 + i]), start + timedelta(hours=rng.randrange(50)), i % 5) for i in range(600)]
     df = spark.createDataFrame([(i, p, None if i % 17 == 0 else t, k) for i, p, t, k in data], "id long, p long, ts timestamp, k int")
     want = membership.history(df, "p", ["ts", "id"], "ts")
-    got = membership.history_of_any(df, "p", ["ts", "id"], "ts", per_task)
+    got = membership.history(df, "p", ["ts", "id"], "ts", per_task)
     assert got.columns == want.columns and rows(got) == rows(want)
-    assert membership.history_of_any(df.limit(0), "p", ["ts", "id"], "ts").count() == 0
+    assert membership.history(df.limit(0), "p", ["ts", "id"], "ts").count() == 0
 
 
 def test_a_hot_person_spreads_over_tasks(spark):
