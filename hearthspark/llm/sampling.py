@@ -72,6 +72,8 @@ class Vocabulary:
             if p and p not in nodes:
                 nodes[p] = len(nodes) + 1
         chars = sorted({c for p in pieces for c in p})
+        if len(chars) > 4095:  # a step's key has twelve bits for its character
+            raise ValueError(f"the vocabulary has {len(chars)} distinct characters, more than 4095")
         number = {c: i + 1 for i, c in enumerate(chars)}
         self.char = np.zeros(0x110000, np.int32)
         self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)

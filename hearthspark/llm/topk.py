@@ -24,6 +24,8 @@ from hearthspark.llm.common import cut
 SCALE = 1024
 K = 10
 TILE_ROWS = 32768
+#: Bytes of a tile's components as doubles; long vectors make tiles of fewer rows.
+TILE_BYTES = 128 << 20
 #: Vectors that are worth a task of their own.
 LEAST_COLUMN = 2048
 FAN = 16
@@ -72,6 +74,11 @@ def _tile(k: int, scale: int):
     return best
 
 
+def rows_of_tile(dim: int, tile_rows: int = TILE_ROWS) -> int:
+    """Rows that a tile of vectors of that length may hold: at least two, a query and a row."""
+    return max(2, min(tile_rows, TILE_BYTES // (8 * max(1, dim))))
+
+
 def grid(queries: int, rows: int, tile_rows: int, tasks: int) -> tuple[int, int]:
     """(R, C): rows and columns of tiles, so that a tile holds at most about ``tile_rows`` rows of both kinds and least is shuffled; small tables make ``tasks`` columns."""
     side = max(1, min(queries, tile_rows // 2))
@@ -85,8 +92,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", bad)).withColumn("dim", F.size("vec"))
     rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
-    r, c = grid(counts["q"], counts["n"], tile_rows, rows.sparkSession.sparkContext.defaultParallelism)
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.max("dim").alias("dim")).first()
+    r, c = grid(counts["q"], counts["n"], rows_of_tile(counts["dim"] or 0, tile_rows), rows.sparkSession.sparkContext.defaultParallelism)
     asked = rows.filter(is_query).select("id", "rid", "dim", "vec", F.pmod(F.xxhash64("rid"), F.lit(r)).cast("int").alias("row"))
     asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(c - 1))))
     given = rows.select(F.col("id").alias("vid"), F.col("rid").alias("vrid"), F.col("dim").alias("vdim"), F.col("vec").alias("vvec"), F.pmod(F.xxhash64("rid"), F.lit(c)).cast("int").alias("vtile"))

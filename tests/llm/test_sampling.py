@@ -75,3 +75,9 @@ def test_rows(spark):
     assert len(got) == 4 and got[0]["samples"] == got[1]["samples"] and all(x["exact"] for r in got for x in r["samples"])
     assert [len(r["samples"]) for r in got] == [3, 3, 1, 3]
     assert s.digest(s.encode_samples(df.limit(0))).count() == 0
+
+
+def test_too_many_characters_are_refused():
+    pieces = tuple("" if i < 256 else chr(0x4E00 + i) for i in range(256 + 4096))
+    with pytest.raises(ValueError, match="4096 distinct characters"):
+        s.Vocabulary(pieces, tuple(map(float, range(len(pieces)))), 0, 1.0)

@@ -41,3 +41,11 @@ def test_grid_shuffles_least():
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, F.col("id") % 10 == 0).count() == 0
+
+
+def test_long_vectors_make_smaller_tiles(spark, monkeypatch):
+    assert topk.rows_of_tile(64) == topk.TILE_ROWS and topk.rows_of_tile(4096) * 4096 * 8 <= topk.TILE_BYTES and topk.rows_of_tile(0) == topk.TILE_ROWS and topk.rows_of_tile(10**9) == 2
+    monkeypatch.setattr(topk, "TILE_BYTES", 8 * 4 * 10)
+    rng = random.Random(3)
+    rows = [(i, [rng.random() for _ in range(4)]) for i in range(60)]
+    assert sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0, 5).collect()) == brute(rows, 5)
