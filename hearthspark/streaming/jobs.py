@@ -13,9 +13,11 @@ repeated rows are events of their own.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -101,7 +103,13 @@ class JobStates(StatefulProcessor):
 def job_moves(events: DataFrame, timeout_minutes: int, watermark: str = "1 hour") -> DataFrame:
     """MOVE rows of a stream of EVENT rows."""
     rows = events.select("job_id", "at", F.coalesce("seq", F.lit(0)).alias("seq"), "kind", "confidence", F.unix_millis("at").alias("ms")).filter("job_id is not null and at is not null")
-    out = rows.withWatermark("at", watermark).groupBy("job_id").transformWithStateInPandas(JobStates(timeout_minutes * 60_000), "job_id bigint, ms bigint, status string, note string", "Append", "EventTime")
+    # The process that prepares a stateful query on the driver doesn't see files that were sent to the workers, so the processor goes there as a whole and not by its module's name.
+    here = sys.modules[__name__]
+    cloudpickle.register_pickle_by_value(here)
+    try:
+        out = rows.withWatermark("at", watermark).groupBy("job_id").transformWithStateInPandas(JobStates(timeout_minutes * 60_000), "job_id bigint, ms bigint, status string, note string", "Append", "EventTime")
+    finally:
+        cloudpickle.unregister_pickle_by_value(here)
     return out.select("job_id", F.timestamp_millis("ms").alias("at"), "status", "note")
 
 
