@@ -605,4 +605,4 @@ def parse_members(spark, d):
     return rows.select("id", (c("i") + 1).alias("ordinal"), "m.nama", "m.nik", "m.gender", "m.birth_place", "m.birth_date", "m.religion", "m.education", "m.occupation", "m.marital_status", "m.family_relation")
 
 
-from hearthspark.plans import cards, files, kept, more, overlay, versions  # noqa: E402, F401  register further queries
+from hearthspark.plans import cards, files, kept, more, overlay, sqlfunctions, versions  # noqa: E402, F401  register further queries
