@@ -11,7 +11,7 @@ That likelihood is not concave, so the fit begins from evidence: features are co
 features start at their log odds, the others at zero and under a stronger ridge, which leaves them to many documents' evidence.
 
 The fit is distributed: the training texts, at most ``max_train`` labelled rows and whole, are packed into arrays of token numbers once; each step of L-BFGS is
-a job whose tasks return one gradient each (two megabytes). The driver holds weights and a few gradients, no texts. The model's size is fixed, it goes to the workers
+a job whose tasks return one gradient each, of the slots that their texts have (two megabytes at most). The driver holds weights and a few gradients, no texts. The model's size is fixed, it goes to the workers
 by value; texts are scored where they lie, without a shuffle. Chains are cut into segments of SEGMENT tokens whose transfer
 matrices are computed side by side, so long texts cost what their length costs.
 
@@ -327,6 +327,18 @@ def _arrays(row: tuple) -> tuple[np.ndarray, ...]:
     return ids.reshape(-1, _OWN + 2), tokens.astype(np.int64), lengths.astype(np.int64), toxic == 1
 
 
+def _filled(x: np.ndarray, kind: str) -> list[pa.Array]:
+    """A vector, or rows of one length, without the places that are zero throughout: numbers of the others and what is there. Most texts have few of all slots, and the driver holds what all tasks return."""
+    at = np.flatnonzero(x.astype(kind).reshape(-1, x.shape[-1]).any(axis=0))
+    return [pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([x[..., at].astype(kind).tobytes()], pa.binary())]
+
+
+def _add(total: np.ndarray, at: bytes, values: bytes, kind: str) -> None:
+    """Adds what _filled() returned."""
+    places = np.frombuffer(at, "<i4")
+    total[..., places] += np.frombuffer(values, kind).reshape(*total.shape[:-1], len(places))
+
+
 def _gradients(sent):
     """``sent``: broadcast theta."""
 
@@ -337,7 +349,7 @@ def _gradients(sent):
             for row in zip(*(batch.column(i) for i in range(4)), strict=True):
                 value, part = objective(theta, *_arrays(row))
                 total, grad = total + value, grad + part
-        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([grad.astype("<f4").tobytes()], pa.binary())], names=["value", "grad"])
+        yield pa.RecordBatch.from_arrays([pa.array([total]), *_filled(grad, "<f4")], names=["value", "at", "grad"])
 
     return run
 
@@ -364,7 +376,7 @@ def _support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, tokens, lengths, toxic = _arrays(row)
             for part, y in zip(np.split(tokens, np.cumsum(lengths)[:-1]), toxic, strict=True):
                 counts[int(y), np.unique(ids[np.unique(part), :_OWN])] += 1  # a word beside is no evidence of its own
-    yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
+    yield pa.RecordBatch.from_arrays(_filled(counts, "<i4"), names=["at", "counts"])
 
 
 def evidence(counts: np.ndarray, n: int, t: int, alpha: float = ALPHA) -> np.ndarray:
@@ -394,8 +406,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(constant=n["t"] / n["n"] if n["n"] else 0.0)
 
     counts = np.zeros((2, SLOTS + 1), np.int64)
-    for row in packs.mapInArrow(_support, "counts binary").collect():
-        counts += np.frombuffer(row["counts"], "<i4").reshape(2, -1)
+    for row in packs.mapInArrow(_support, "at binary, counts binary").collect():
+        _add(counts, row["at"], row["counts"], "<i4")
     theta = np.zeros(SLOTS + 5)
     theta[: SLOTS + 1] = evidence(counts, n["n"], n["t"])
     ridge = np.where(theta != 0, RIDGE, WEAK_RIDGE)
@@ -412,9 +424,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
         total, grad = 0.0, np.zeros(len(theta))
-        for row in asked(_gradients, theta, "value double, grad binary"):
-            total, grad = total + row["value"], grad + np.frombuffer(row["grad"], "<f4")
-        return total - float(ridge @ theta**2) / 2, grad - ridge * theta
+        for row in asked(_gradients, theta, "value double, at binary, grad binary"):
+            total += row["value"]
+            _add(grad, row["at"], row["grad"], "<f4")
+        total -= float(ridge @ theta**2) / 2
+        grad -= ridge * theta
+        return total, grad
 
     theta = maximise(value, theta)
     # At most max_train rows of two numbers.

@@ -110,3 +110,25 @@ def test_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert t.toxicity(docs, none).first()["score"] == 0.0 and t.toxicity(docs.limit(0), none).count() == 0
+
+
+def test_tasks_return_filled_slots_only():
+    """The driver holds what all tasks return, so a gradient has no places of slots that its texts don't have."""
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array(["a plain text", "a vile text", None]), pa.array([0, 1, 0])], names=["text", "toxic"])
+    packs = list(t._pack(iter([rows])))
+    counts = np.zeros((2, t.SLOTS + 1), np.int64)
+    for b in t._support(iter(packs)):
+        assert b.nbytes < 5_000
+        t._add(counts, b.column("at")[0].as_py(), b.column("counts")[0].as_py(), "<i4")
+    ids = lambda words: np.unique([s for w in words for s in t.slots(w)[: t._OWN]])
+    assert (np.flatnonzero(counts[0]) == ids(["a", "plain", "text"])).all() and (np.flatnonzero(counts[1]) == ids(["a", "vile", "text"])).all()
+    theta = np.zeros(t.SLOTS + 5)
+    theta[t.SLOTS + 1] = -2.0
+    sent = type("Sent", (), {"value": theta.astype(np.float32)})
+    (b,) = t._gradients(sent)(iter(packs))
+    value, want = t.objective(theta, *t._arrays([packs[0].column(i)[0] for i in range(4)]))
+    grad = np.zeros(len(theta))
+    t._add(grad, b.column("at")[0].as_py(), b.column("grad")[0].as_py(), "<f4")
+    assert b.nbytes < 5_000 and b.column("value")[0].as_py() == value and (grad == want.astype("<f4")).all()
