@@ -27,19 +27,17 @@ def depth(tree: Tree) -> int:
 def leaves(rows: DataFrame, levels: int) -> DataFrame:
     """``rows`` (path, value: VARIANT, and others) with each object or list of ``value`` taken apart, down by ``levels`` levels at most; ``value`` is JSON text then."""
     others = [x for x in rows.columns if x not in ("path", "value")]
-    whole = rows
-    done = []
+    out = rows.select(*others, "path", "value")
     for _ in range(levels):
+        # Rows that are leaves by now go through as they are, so that ``rows`` is read and made once, not once for each level.
         text = F.to_json("value")
         inner = F.coalesce(text.rlike(r"^[\[{]") & ~text.isin("{}", "[]"), F.lit(False))
-        done.append(whole.filter(~inner).select(*others, "path", F.coalesce(text, F.lit("null")).alias("value")))
-        parts = whole.filter(inner).alias("w").lateralJoin(whole.sparkSession.tvf.variant_explode(F.col("w.value").outer()).alias("p"))
+        whole = out.withColumn("_inner", inner).alias("w")
+        parts = whole.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.when(F.col("w._inner"), F.col("w.value")).outer()).alias("p"))
         step = F.coalesce(F.col("p.key"), F.col("p.pos").cast("string"))
-        whole = parts.select(*[F.col(f"w.{x}") for x in others], F.when(F.col("w.path") == "", step).otherwise(F.concat("w.path", F.lit("."), step)).alias("path"), F.col("p.value").alias("value"))
-    out = whole.select(*others, "path", F.coalesce(F.to_json("value"), F.lit("null")).alias("value"))
-    for x in done:
-        out = out.unionByName(x)
-    return out
+        path = F.when(~F.col("w._inner"), F.col("w.path")).when(F.col("w.path") == "", step).otherwise(F.concat("w.path", F.lit("."), step))
+        out = parts.select(*[F.col(f"w.{x}") for x in others], path.alias("path"), F.when(F.col("w._inner"), F.col("p.value")).otherwise(F.col("w.value")).alias("value"))
+    return out.select(*others, "path", F.coalesce(F.to_json("value"), F.lit("null")).alias("value"))
 
 
 def refused_level(path: Column, tree: Tree) -> Column:

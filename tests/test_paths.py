@@ -78,3 +78,12 @@ def test_one_aggregate_without_python(spark):
     base = documents(spark, [(1, '{"kk": "1"}')])
     plan = paths.overlay(base, spark.createDataFrame([(1, "kk", '"2"', 1)], FIX), TREE)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_rows_are_read_once(spark):
+    """Whatever the levels, the plan reads its rows in one place; leaves of all levels come out."""
+    rows = spark.range(3).selectExpr("id", "'' as path", """parse_json('{"a":{"b":[1,{"c":null}],"d":{}},"e":"x","f":[]}') as value""")
+    found = paths.leaves(rows, 4)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    got = sorted((r["path"], r["value"]) for r in found.collect() if r["id"] == 1)
+    assert got == [("a.b.0", "1"), ("a.b.1.c", "null"), ("a.d", "{}"), ("e", '"x"'), ("f", "[]")]
