@@ -328,17 +328,24 @@ def _arrays(row: tuple) -> tuple[np.ndarray, ...]:
 
 
 def _filled(x: np.ndarray, kind: str) -> list[pa.Array]:
-    """A vector, or rows of one length, without the places that are zero throughout: numbers of the others and what is there. Most texts have few of all slots, and the driver holds what all tasks return."""
-    at = np.flatnonzero(x.astype(kind).reshape(-1, x.shape[-1]).any(axis=0))
-    return [pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([x[..., at].astype(kind).tobytes()], pa.binary())]
+    """A vector, or rows of one length, without the places that are zero throughout: numbers of the others, or a bit for each place where that is shorter, and what is there. Most texts have few of all slots, and the driver holds what all tasks return."""
+    there = x.astype(kind).reshape(-1, x.shape[-1]).any(axis=0)
+    at, bits = np.flatnonzero(there).astype("<i4"), np.packbits(there)
+    return [pa.array([(at if at.nbytes < bits.nbytes else bits).tobytes()], pa.binary()), pa.array([x[..., there].astype(kind).tobytes()], pa.binary())]
 
 
-def _add(total: np.ndarray, at: bytes, values: bytes, kind: str) -> None:
+def _add(total: np.ndarray, at: bytes | pa.Buffer, values: bytes | pa.Buffer, kind: str) -> None:
     """Adds what _filled() returned."""
-    places = np.frombuffer(at, "<i4")
+    size, places = total.shape[-1], np.frombuffer(at, "u1")
+    places = places.view("<i4") if len(places) < -(-size // 8) else np.flatnonzero(np.unpackbits(places, count=size))
     total[..., places] += np.frombuffer(values, kind).reshape(*total.shape[:-1], len(places))
 
 
+def _binaries(rows: pa.Table) -> Iterator[tuple[pa.Buffer, ...]]:
+    """Rows of binary columns, not copied."""
+    return (tuple(x.as_buffer() for x in row) for row in zip(*rows.columns, strict=True))
+
+
 def _gradients(sent):
     """``sent``: broadcast theta."""
 
@@ -406,8 +413,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(constant=n["t"] / n["n"] if n["n"] else 0.0)
 
     counts = np.zeros((2, SLOTS + 1), np.int64)
-    for row in packs.mapInArrow(_support, "at binary, counts binary").collect():
-        _add(counts, row["at"], row["counts"], "<i4")
+    for at, found in _binaries(packs.mapInArrow(_support, "at binary, counts binary").toArrow()):
+        _add(counts, at, found, "<i4")
     theta = np.zeros(SLOTS + 5)
     theta[: SLOTS + 1] = evidence(counts, n["n"], n["t"])
     ridge = np.where(theta != 0, RIDGE, WEAK_RIDGE)
@@ -415,26 +422,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     theta *= 0.7
     theta[SLOTS + 1], ridge[SLOTS + 1 :] = -8.0, RIDGE / 10
 
-    def asked(job, theta: np.ndarray, schema: str) -> list:
-        """A job's rows; the weights go out by a broadcast that is taken back, as closures of this size would pile up on disks."""
+    def asked(job, theta: np.ndarray, schema: str) -> pa.Table:
+        """A job's rows, as Arrow, which the driver's JVM passes on as it gets them; the weights go out by a broadcast that is taken back, as closures of this size would pile up on disks."""
         sent = docs.sparkSession.sparkContext.broadcast(theta.astype(np.float32))
-        rows = packs.mapInArrow(job(sent), schema).collect()
+        rows = packs.mapInArrow(job(sent), schema).toArrow()
         sent.destroy()
         return rows
 
     def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        total, grad = 0.0, np.zeros(len(theta))
-        for row in asked(_gradients, theta, "value double, at binary, grad binary"):
-            total += row["value"]
-            _add(grad, row["at"], row["grad"], "<f4")
+        rows, grad = asked(_gradients, theta, "value double, at binary, grad binary"), np.zeros(len(theta))
+        total = sum(rows["value"].to_pylist())
+        for at, part in _binaries(rows.drop_columns("value")):
+            _add(grad, at, part, "<f4")
         total -= float(ridge @ theta**2) / 2
         grad -= ridge * theta
         return total, grad
 
     theta = maximise(value, theta)
     # At most max_train rows of two numbers.
-    odds = np.array([tuple(r) for r in asked(_odds, theta, "x double, y double")])
-    return Model(theta.astype(np.float32), calibrate(*odds.T))
+    odds = asked(_odds, theta, "x double, y double")
+    return Model(theta.astype(np.float32), calibrate(odds["x"].to_numpy(), odds["y"].to_numpy()))
 
 
 SCORED = "score double, spans array<struct<start:int,end:int,score:double>>"

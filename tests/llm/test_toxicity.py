@@ -132,3 +132,11 @@ def test_tasks_return_filled_slots_only():
     grad = np.zeros(len(theta))
     t._add(grad, b.column("at")[0].as_py(), b.column("grad")[0].as_py(), "<f4")
     assert b.nbytes < 5_000 and b.column("value")[0].as_py() == value and (grad == want.astype("<f4")).all()
+
+
+def test_many_filled_slots_are_marked_by_bits():
+    for kind, x in (("<f4", np.arange(999.0)), ("<i4", np.arange(1998).reshape(2, 999) % 7), ("<f4", np.eye(1, 999, 5)[0]), ("<f4", np.zeros(999))):
+        at, values = (c[0].as_buffer() for c in t._filled(x, kind))
+        total = np.ones(x.shape)
+        t._add(total, at, values, kind)
+        assert (total == x + 1).all() and at.size <= 125
