@@ -186,3 +186,24 @@ def test_inventory_is_of_every_file(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {(r["path"].rsplit("/", 1)[-1], r["size"], r["sha256"], r["mime_type"]) for r in exports.file_inventory(spark, str(tmp_path)).collect()}
     assert got == {("a.pdf", 6, hashlib.sha256(b"%PDF-1").hexdigest(), "application/pdf"), ("b.png", 10, hashlib.sha256(b"\x89PNG\r\n\x1a\nxx").hexdigest(), "image/png")}  # Spark's scans leave empty files out
+
+
+def test_inventory_of_long_files_is_a_relay(spark, tmp_path, monkeypatch):
+    """A task reads a bounded part of a file; digests are those of whole files."""
+    import hashlib
+
+    from hearthspark.sources import digests
+
+    data = {f"long {n} %41é.bin": bytes((i * i + n) % 251 for i in range(n)) for n in (1, 63, 999, 1000, 1001, 2000, 5003)}
+    for name, value in data.items():
+        (tmp_path / name).write_bytes(value)
+    want = {(name, len(value), hashlib.sha256(value).hexdigest(), None) for name, value in data.items()}
+    got = exports.file_inventory(spark, str(tmp_path), hop=1000)
+    assert {(r["path"].rsplit("/", 1)[-1], *r[1:]) for r in got.collect()} == want and got.count() == len(want)
+    path, parts, at, state, head, sha = f"file:{tmp_path}/long 5003 %41é.bin", [], 0, None, None, None
+    while sha is None:
+        at, state, head, sha = digests.hashed(path, 5003, at, state, head, 1000)
+        parts.append(at)
+    assert parts == [1000, 2000, 3000, 4000, 5000, 5003] and sha == hashlib.sha256(data["long 5003 %41é.bin"]).hexdigest() and head == data["long 5003 %41é.bin"][:16]
+    monkeypatch.setattr(digests, "_library", lambda: None)
+    assert digests.hashed(path, 5003, 1000, b"", head, 1000) == (5003, None, head, sha)
