@@ -86,3 +86,66 @@ def test_hourly_activity(spark):
     got = hourly_activity(rows, "ts", "kind").select(F.unix_seconds("hour"), "kind", "n").collect()
     base = int(START.timestamp())
     assert sorted(map(tuple, got), key=repr) == sorted([(base, "a", 2), (base + 3600, "a", 1), (base + 3600, "b", 2), (base + 18000, None, 1)], key=repr)
+
+
+def test_events_of_a_batch_wait_as_one_entry(monkeypatch):
+    """A job's state takes an entry for each block of rows, not for each event, and those that are still to come are written again in blocks."""
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.entries, self.written = [], 0
+
+        def get(self):
+            return iter(self.entries)
+
+        def appendValue(self, entry):
+            self.entries, self.written = [*self.entries, entry], self.written + 1
+
+        def appendList(self, entries):
+            self.entries, self.written = [*self.entries, *entries], self.written + len(entries)
+
+        def put(self, entries):
+            self.entries, self.written = entries, self.written + len(entries)
+
+        def exists(self):
+            return bool(self.entries)
+
+        def clear(self):
+            self.entries = []
+
+    class Value:
+        now = None
+        exists = lambda self: self.now is not None
+        get = lambda self: self.now
+
+        def update(self, value):
+            self.now = value
+
+        def clear(self):
+            self.now = None
+
+    class Handle:
+        timers = []
+
+        def getListState(self, name, schema):
+            return State()
+
+        def getValueState(self, name, schema):
+            return Value()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    mark = type("Mark", (), {"getCurrentWatermarkInMs": lambda self: 50})()
+    states = jobs.JobStates(1_000)
+    states.init(Handle())
+    rows = [(i, i, ("queued", "started", "done")[i % 3], None if i % 2 else 80.0) for i in range(90)]
+    for part in (rows[60:], rows[:60]):
+        assert list(states.handleInputRows((7,), iter([pd.DataFrame(part, columns=["ms", "seq", "kind", "confidence"])]), None)) == []
+    assert states.waiting.written == 2 and min(Handle.timers) == 1
+    monkeypatch.setattr(jobs, "ENTRY", 30)
+    (out,) = states.handleExpiredTimer((7,), mark, None)
+    want = [(i, ("PENDING", "PROCESSING", "LOW_CONFIDENCE" if i % 2 else "SUCCESS")[i % 3], rows[i][2]) for i in range(50)]
+    assert list(out[["ms", "status", "note"]].itertuples(index=False, name=None)) == want
+    assert states.waiting.written == 4 and sorted(e for entry in states.waiting.entries for e in zip(*entry)) == rows[50:]
