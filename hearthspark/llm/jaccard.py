@@ -2,7 +2,10 @@
 
 Two sets with similarity of at least SHARE share an element among the first n - ceil(SHARE n) + 1 of each (prefix filter), whatever order all sets are
 held in. The order here puts shingles of often hit counters last, so common lines and passages stay out of the prefixes; the counters' number is fixed
-and bears on speed only. Prefixes are shuffled once, by shingle, and those of one document alone are dropped as they stream by.
+and bears on speed only. A few counters see what large shares of a corpus have in common, but a shingle of some hundreds of documents is lost in their means, which grow with the corpus,
+and such a shingle's pairs grow with its square. So prefixes are counted too, by Spark, on 2 ** 32 slots: shingles that more than CROWD prefixes hold go behind all others but those of the often hit counters,
+and what enters the prefixes for them is counted in turn, until no more are found or PASSES have gone. Only slots of crowded shingles reach the driver, at most CROWDED.
+Prefixes are shuffled by shingle, and those of one document alone are dropped as they stream by.
 
 Candidates are pruned without loss, by lengths and places first, then by parity sketches: bit j is set if an odd number of a set's hashes fall on j, so the sketches of two sets differ in
 at most as many bits as the sets in elements. A sketch has a 32nd to a 64th of its set's size. What remains is checked by the whole sets, so the rule is met exactly, up to
@@ -19,10 +22,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +41,10 @@ SEED = 43
 COUNTERS = 1 << 16
 #: Most elements of the sets that one tile compares with its own, and most documents of a shingle that are compared in one tile.
 TILE, HOT = 2_000_000, 2_000
+#: Most prefixes that a shingle enters in one pass before it goes to the end of the order, most slots of such shingles, and most passes.
+CROWD, CROWDED, PASSES = 16, 1 << 20, 3
+#: Ranks of shingles in the order: 0, then those of crowded slots by the bits of their number, then those of often hit counters.
+OFTEN = 64
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -67,7 +76,73 @@ def levels(docs: DataFrame) -> np.ndarray:
     return np.log2(np.maximum(total / max(total.mean(), 1), 1)).astype(np.int8)
 
 
-def _prefixes(level: np.ndarray):
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+class Order(NamedTuple):
+    """Levels of counters, and crowded slots (sorted) with their ranks."""
+
+    level: np.ndarray
+    slots: np.ndarray
+    ranks: np.ndarray
+
+    def rank(self, hashes: np.ndarray) -> np.ndarray:
+        often = self.level[(hashes % np.uint64(COUNTERS)).astype(np.int64)]
+        if not len(self.slots):
+            return np.where(often > 0, OFTEN + often, 0)
+        slot = _slots(hashes)
+        at = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
+        return np.where(often > 0, OFTEN + often, np.where(self.slots[at] == slot, self.ranks[at], 0))
+
+
+def _prefix(order: Order, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a set, and its ranks."""
+    rank, n = order.rank(found), len(found)
+    first = np.lexsort((found, rank))[: n - -(-SHARE * n // 100) + 1]
+    return found[first], rank[first]
+
+
+def _entered(before: Order | None, now: Order, found: np.ndarray) -> np.ndarray:
+    """Slots of a prefix's shingles of rank 0, without those that were in it before."""
+    first, rank = _prefix(now, found)
+    first = first[rank == 0]
+    return _slots(first if before is None else np.setdiff1d(first, _prefix(before, found)[0], assume_unique=True))
+
+
+def _crowds(shared: Broadcast):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [_entered(*shared.value, shingles(text)) for text in batch.column(0).to_pylist()]
+            if slots:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots).view(np.int32))], names=["slot"])
+
+    return rows
+
+
+def ordered(docs: DataFrame, level: np.ndarray) -> Broadcast:
+    """The order that prefixes are made by. It depends on the texts alone, not on how they are dealt out."""
+    context, before, order = docs.sparkSession.sparkContext, None, Order(level, np.zeros(0, np.uint32), np.zeros(0, np.int8))
+    for _ in range(PASSES):
+        slots = docs.select("text").mapInArrow(_crowds(context.broadcast((before, order))), "slot int").groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+        crowded = cut(slots.filter(F.col("n") > CROWD).select("slot", F.length(F.bin("n")).alias("bits")))
+        # The most crowded ones, as far as there is room, by whole powers of two.
+        room, least = CROWDED - len(order.slots), None
+        for bits, n in sorted(((r["bits"], r["count"]) for r in crowded.groupBy("bits").count().collect()), reverse=True):
+            if n > room:
+                break
+            room, least = room - n, bits
+        if least is None:
+            break
+        new = crowded.filter(F.col("bits") >= least).toArrow()
+        slots = np.concatenate([order.slots, new["slot"].to_numpy().view(np.uint32)])
+        ranks = np.concatenate([order.ranks, new["bits"].to_numpy().astype(np.int8)])
+        at = np.argsort(slots)
+        before, order = order, Order(level, slots[at], ranks[at])
+    return context.broadcast(order)
+
+
+def _prefixes(shared: Broadcast):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rids, sizes, places = [], [], [], []
@@ -75,9 +150,9 @@ def _prefixes(level: np.ndarray):
                 found = shingles(text)
                 n = len(found)
                 if n:
-                    order = np.lexsort((found, level[(found % np.uint64(COUNTERS)).astype(np.int64)]))
-                    k = n - -(-SHARE * n // 100) + 1
-                    keys.append(found[order[:k]].view(np.int64))
+                    first, _ = _prefix(shared.value, found)
+                    k = len(first)
+                    keys.append(first.view(np.int64))
                     rids.append(np.full(k, rid))
                     sizes.append(np.full(k, n, np.int32))
                     places.append(np.arange(k, dtype=np.int32))
@@ -214,7 +289,7 @@ def near_copies(docs: DataFrame, tile: int = HOT) -> DataFrame:
     # As a table: checkpoints would take four times the room.
     spark, schema = docs.sparkSession, "key bigint, rid bigint, n int, at int"
     path = fresh_dir(spark, "jaccard")
-    every = docs.select("rid", "text").mapInArrow(_prefixes(levels(docs)), schema)
+    every = docs.select("rid", "text").mapInArrow(_prefixes(ordered(docs, levels(docs))), schema)
     every.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, schema).write.parquet(path)
     left = spark.read.schema(schema).parquet(path)
     gone = []

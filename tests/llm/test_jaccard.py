@@ -84,3 +84,17 @@ def test_sketches_never_lose_a_pair():
             assert 100 * len(a & b) < 80 * len(a | b) or len(a ^ b) <= jaccard.room(len(a), len(b))
     far = [jaccard.sketch(jaccard.np.array([rng.getrandbits(64) for _ in range(600)], jaccard.np.uint64)) for _ in range(2)]
     assert jaccard.apart(*far) > jaccard.room(600, 600)
+
+
+def test_passages_of_many_texts_are_no_candidates(spark, monkeypatch):
+    """A passage in each of many texts, where the counters' means hide it: candidates don't grow with its texts' square."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(20)]
+    texts = [" ".join(passage + [word() for _ in range(60)]) for _ in range(90)]
+    texts += [texts[3] + " x", " ".join([*texts[7].split()[:-1], word()])]
+    pairs, checked = [], jaccard._checked
+    monkeypatch.setattr(jaccard, "levels", lambda docs: jaccard.np.zeros(jaccard.COUNTERS, jaccard.np.int8))
+    monkeypatch.setattr(jaccard, "_checked", lambda met, *rest: pairs.append(met.distinct().count()) or checked(met, *rest))
+    gone = {r["rid"] for r in jaccard.near_copies(spark.createDataFrame(list(enumerate(texts)), "rid long, text string")).collect()}
+    assert gone == {90, 91} and sum(pairs) < 3 * len(texts)
