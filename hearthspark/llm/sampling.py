@@ -41,6 +41,8 @@ _LITERAL = "\udfff"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Characters of one round of array work.
 _ROUND = 400_000
+#: Pieces that are decoded at a time.
+_PIECES = 1 << 16
 
 
 def load_vocabulary(path: str = MODEL) -> tuple[tuple[str, ...], tuple[float, ...], int]:
@@ -63,6 +65,9 @@ class Vocabulary:
         self.bytes = [p.replace(MARK, " ").encode() for p in pieces]
         for b in range(256):
             self.bytes[byte0 + b] = bytes([b])
+        # The same side by side, for decoding on arrays.
+        self.flat, self.sizes = np.frombuffer(b"".join(self.bytes), np.uint8), np.array([len(x) for x in self.bytes])
+        self.offsets = np.cumsum(self.sizes) - self.sizes
         nodes: dict[str, int] = {}
         inner = {p[:n] for p in pieces for n in range(1, len(p))}
         for prefix in sorted(inner):
@@ -253,14 +258,6 @@ def _walk(lat: Lattices, node: np.ndarray, key: np.ndarray, place: np.ndarray, s
     return edges, count
 
 
-class _Numbers(dict):
-    """Numbers the keys it is asked for."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 class _Sample:
     """The s-th sample of each text that has one: edges, the place of each edge's word, and for the region that each edge leaves
     the logarithm of an exponential arrival time of rate exp(mass): minus a Gumbel at ``mass``, before its parent's bound is put on."""
@@ -279,7 +276,7 @@ def sample_texts(v: Vocabulary, texts: list[str | None], keys: np.ndarray, k: in
     out: list[list] = [[] if n else [(np.zeros(0, np.int32), 0.0, 1.0)] for n in n_units]
     if not units:
         return out
-    index = _Numbers()
+    index = {w: i for i, w in enumerate(dict.fromkeys(units))}
     word = np.fromiter(map(index.__getitem__, units), np.int64, len(units))
     del units
     lat = Lattices(v, list(index))
@@ -395,7 +392,12 @@ def _edges_of(lat: Lattices, edge: int) -> tuple[int, int]:
 
 def decode(v: Vocabulary, ids: np.ndarray) -> str:
     """The text of a segmentation: bytes joined, the leading mark's space dropped."""
-    return b"".join(map(v.bytes.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
+    parts = []
+    for i in range(0, len(ids), _PIECES):
+        sizes = v.sizes[part := ids[i : i + _PIECES]]
+        ends = np.cumsum(sizes)
+        parts.append(v.flat[np.repeat(v.offsets[part] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes())
+    return b"".join(parts).decode("utf-8", "surrogatepass")[1:]
 
 
 SAMPLES = "samples array<struct<n_tokens:int,log_prob:double,inclusion:double,ids_sha256:string,exact:boolean>>"

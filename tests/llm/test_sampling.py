@@ -81,3 +81,14 @@ def test_too_many_characters_are_refused():
     pieces = tuple("" if i < 256 else chr(0x4E00 + i) for i in range(256 + 4096))
     with pytest.raises(ValueError, match="4096 distinct characters"):
         s.Vocabulary(pieces, tuple(map(float, range(len(pieces)))), 0, 1.0)
+
+
+def test_decoding_on_arrays_in_blocks(v, monkeypatch):
+    """Blocks may end inside a character's bytes; empty pieces and no pieces do no harm."""
+    monkeypatch.setattr(s, "_PIECES", 3)
+    text = "naïve \U0001f600 " * 5 + s.MARK + " the end"
+    (found,) = s.sample_texts(v, [text], np.array([7], np.uint64))
+    for ids, _, _ in found:
+        assert s.decode(v, ids) == text == b"".join(v.bytes[i] for i in ids.tolist()).decode()[1:]
+    control = v.bytes.index(b"")
+    assert s.decode(v, np.insert(found[0][0], 1, [control] * 4)) == text and s.decode(v, np.zeros(0, np.int32)) == ""
